@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, packing, pii, simhash, urls
+from . import chat, langid, media, mixing, packing, pii, quality, simhash, toxicity, urls
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,11 +20,14 @@ def queries() -> dict[str, Query]:
     return {
         "op1_telephony_media": over("documents", media.media_digests),
         "op2_url_digest_filter": over("pages", urls.judged_pages),
+        "op3_mcd_outliers": over("documents", quality.judged_documents),
         "op4_poisson_mixing": over("documents", mixing.mixed_documents),
+        "op5_string_kernel_language": over("documents", langid.identified_documents),
         "op6_snapshot_collapse": over("conversations", chat.render_chats),
         "op7_harmonic_packing": over("documents", packing.packed_documents),
         "op8_gray_simhash": over("documents", simhash.near_documents),
         "op9_pii_spans": over("documents", pii.pii_digests),
+        "op10_weak_toxicity": lambda spark, sf_dir: toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }
 
 
