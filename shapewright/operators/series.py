@@ -13,7 +13,7 @@ def growth(levels: DataFrame, horizon: int, key: str = "entity", year: str = "ye
     return levels.withColumn("g", F.log(F.try_divide(later, F.col(value))) / horizon).where("g IS NOT NULL").select(key, year, "g")
 
 
-def change(rows: DataFrame, span: int, key: str, year: str, value: str) -> Column:
+def change(span: int, key: str, year: str, value: str) -> Column:
     """Value minus that of span years before, or what the next span years bring where there is none before."""
     w = Window.partitionBy(key).orderBy(year)
     back, ahead = F.first(value).over(w.rangeBetween(-span, -span)), F.first(value).over(w.rangeBetween(span, span))

@@ -1,4 +1,4 @@
 """Query plans by group; importing this module registers all of them."""
 
-from . import profile, relational  # noqa: F401
+from . import profile, relational, series  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
