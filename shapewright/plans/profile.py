@@ -270,11 +270,11 @@ def search_sql(where: str, farthest: bool = False, k: int = 5) -> tuple[str, str
     ctes = over_pairs(BLEND, where=where + " AND a.entity <> b.entity") + f""", dd AS (SELECT entity, year, b_entity, b_year, (b_year - year)::INT AS dy, round(d, 9) AS d FROM dist),
     one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, b_entity ORDER BY d {order}, abs(dy), b_year) AS n FROM dd) WHERE n = 1),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY entity, year ORDER BY d {order}, abs(dy), b_year, b_entity)::INT AS rank FROM one)"""
-    return on_profiles(f"SELECT entity, year, b_entity, b_year, rank, round(d, 6) + 0.0 AS d FROM ranked WHERE rank <= {k}", ctes), ctes
+    return on_profiles(f"SELECT entity, year, b_entity, b_year, rank, d + 0.0 AS d FROM ranked WHERE rank <= {k}", ctes), ctes
 
 
 def shown(df):
-    return df.select("entity", "year", "b_entity", "b_year", F.col("rank").cast("int").alias("rank"), r6("d").alias("d"))
+    return df.select("entity", "year", "b_entity", "b_year", F.col("rank").cast("int").alias("rank"), (F.col("d") + F.lit(0.0)).alias("d"))
 
 
 SEARCHES = {
@@ -302,30 +302,30 @@ def mmr_sql(k: int = 3, beta: float = 0.5, pool: int = 8) -> str:
         WHERE NOT EXISTS (SELECT 1 FROM ({so_far}) x WHERE x.entity = p.entity AND x.year = p.year AND x.b_entity = p.b_entity) GROUP BY ALL),
         c{t} AS (SELECT entity, year, b_entity, d, rank, {t} AS turn FROM (SELECT *, row_number() OVER (PARTITION BY entity, year ORDER BY round(d + {beta} * near, 9) DESC, rank) AS n FROM s{t}) WHERE n = 1)"""
         chosen.append(f"c{t}")
-    return on_profiles("SELECT entity, year, b_entity, rank::INT AS rank_raw, turn::INT AS turn, round(d, 6) + 0.0 AS d FROM (" + " UNION ALL ".join(f"SELECT * FROM {c}" for c in chosen) + ")", ctes)
+    return on_profiles("SELECT entity, year, b_entity, rank::INT AS rank_raw, turn::INT AS turn, d + 0.0 AS d FROM (" + " UNION ALL ".join(f"SELECT * FROM {c}" for c in chosen) + ")", ctes)
 
 
 @query("different_mmr", mmr_sql())
 def different_mmr(spark, d):
     out = S.diversified(C.profiles(spark, d), S.Query())
-    return out.select("entity", "year", "b_entity", F.col("rank_raw").cast("int").alias("rank_raw"), F.col("turn").cast("int").alias("turn"), r6("d").alias("d"))
+    return out.select("entity", "year", "b_entity", F.col("rank_raw").cast("int").alias("rank_raw"), F.col("turn").cast("int").alias("turn"), (F.col("d") + F.lit(0.0)).alias("d"))
 
 
 BEST = search_sql("TRUE")[1] + ", ed AS (SELECT entity, year, b_entity, min(b_year) AS lo, max(b_year) AS hi FROM dd GROUP BY ALL)"
 
 
-@query("best_year_boundary", on_profiles("SELECT entity, year, b_entity, b_year, round(d, 6) + 0.0 AS d, (b_year = lo OR b_year = hi) AS boundary_hit FROM one JOIN ed USING (entity, year, b_entity)", BEST))
+@query("best_year_boundary", on_profiles("SELECT entity, year, b_entity, b_year, d + 0.0 AS d, (b_year = lo OR b_year = hi) AS boundary_hit FROM one JOIN ed USING (entity, year, b_entity)", BEST))
 def best_year_boundary(spark, d):
     out = S.best_years(C.profiles(spark, d), S.Query("any"))
-    return out.select("entity", "year", "b_entity", "b_year", r6("d").alias("d"), "boundary_hit")
+    return out.select("entity", "year", "b_entity", "b_year", (F.col("d") + F.lit(0.0)).alias("d"), "boundary_hit")
 
 
 ISO = search_sql("a.year = b.year")[1] + ", iso AS (SELECT entity, year, avg(d) AS v FROM ranked WHERE rank <= 5 GROUP BY ALL)"
 
 
-@query("isolation", on_profiles("SELECT entity, year, round(v, 6) + 0.0 AS isolation FROM iso", ISO))
+@query("isolation", on_profiles("SELECT entity, year, round(v, 10) + 0.0 AS isolation FROM iso", ISO))
 def isolation(spark, d):
-    return S.isolation(C.profiles(spark, d)).select(*ids, r6("isolation").alias("isolation"))
+    return S.isolation(C.profiles(spark, d)).select(*ids, (F.round("isolation", 10) + F.lit(0.0)).alias("isolation"))
 
 
 @query("isolation_percentile", on_profiles("SELECT entity, year, round(percent_rank() OVER (PARTITION BY year ORDER BY round(v, 9)), 6) + 0.0 AS percentile FROM iso", ISO))
@@ -334,9 +334,9 @@ def isolation_percentile(spark, d):
     return S.isolation(C.profiles(spark, d)).select(*ids, r6(F.percent_rank().over(w)).alias("percentile"))
 
 
-@query("own_trajectory", on_profiles("SELECT entity, year, b_year, round(d, 6) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY entity, year ORDER BY round(d, 9), abs(b_year - year), b_year) AS n FROM dist) WHERE n = 1", over_pairs(BLEND, where="a.entity = b.entity AND abs(a.year - b.year) >= 2")))
+@query("own_trajectory", on_profiles("SELECT entity, year, b_year, round(d, 9) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY entity, year ORDER BY round(d, 9), abs(b_year - year), b_year) AS n FROM dist) WHERE n = 1", over_pairs(BLEND, where="a.entity = b.entity AND abs(a.year - b.year) >= 2")))
 def own_trajectory(spark, d):
-    return S.own_trajectory(C.profiles(spark, d)).select(*ids, "b_year", r6("d").alias("d"))
+    return S.own_trajectory(C.profiles(spark, d)).select(*ids, "b_year", (F.col("d") + F.lit(0.0)).alias("d"))
 
 
 SHOWN = ("median_value", "high", "low", "base_slope_far", "side_ratio", "modal_bin")

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A stream of Parquet files of events, their schema taken from what is there now."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files: int = 1) -> DataFrame:
+    """A stream of the Parquet files of a table, which is a folder or a single file, its schema taken from what is there now."""
+    path = f"{folder}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
 def tumbling_counts(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
