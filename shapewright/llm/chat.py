@@ -1,7 +1,7 @@
 """Chat formatting: cumulative-snapshot collapse.
 
-A logger that stores a conversation after each exchange leaves many conversations that are prefixes of longer ones. Each turn's
-digest is chained over the turns before it, so a conversation's k-th chained digest names its first k turns. A conversation whose
+A logger that stores a conversation after each exchange leaves many conversations that are prefixes of longer ones. A digest rolls
+over a conversation's turns, so that its k-th value names the first k turns. A conversation whose
 whole digest is a proper prefix digest of another is a snapshot and goes by an anti-join; of equal conversations the one of the
 smallest id stays. What is kept is rendered with role markers.
 
@@ -11,7 +11,7 @@ of texts; the digests joined are distinct on both sides, so a first turn that a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
@@ -23,24 +23,26 @@ def turn_digest(role: Column, text: Column) -> Column:
     return F.md5(F.concat(part(role), part(text)).cast("binary"))
 
 
-def chains(turns: DataFrame) -> DataFrame:
-    """conv_id and chain, the digests of its first 1, 2, ... turns in order of turn, then digest (nulls first)."""
-    each = turns.select("conv_id", F.struct("turn", turn_digest(F.col("role"), F.col("text")).alias("d")).alias("t"))
-    listed = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    chain = F.aggregate(
-        "ts",
-        F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("all")),
-        lambda a, t: F.struct(F.md5(F.concat(a["h"], t["d"]).cast("binary")).alias("h"), F.concat(a["all"], F.array(F.md5(F.concat(a["h"], t["d"]).cast("binary")))).alias("all")),
-    )
-    return listed.select("conv_id", chain["all"].alias("chain"))
+def prefixes(turns: DataFrame) -> DataFrame:
+    """A row for each first 1, 2, ... turns of a conversation: conv_id, k, the digest (a, b) of these turns, and whether they are all.
+
+    Turns are ordered by turn, then digest, nulls first. The digest rolls: each turn's digest is hashed with its place, twice, and
+    added by exclusive or, so a conversation of any length is one pass of a window that spills.
+    """
+    each = turns.select("conv_id", "turn", turn_digest(F.col("role"), F.col("text")).alias("d"))
+    w = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "d")
+    placed = each.withColumn("k", F.row_number().over(w)).withColumn("last", F.lead("d").over(w).isNull())
+    rolled = w.rowsBetween(Window.unboundedPreceding, 0)
+    lane = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "d", "k")).over(rolled)
+    return placed.select("conv_id", "k", "last", lane(1).alias("a"), lane(2).alias("b"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id and n_copies (equal conversations) of each conversation that is no proper prefix of another; one of equal ones."""
-    chained = chains(turns)
-    whole = chained.groupBy(F.element_at("chain", -1).alias("h")).agg(F.min_by("conv_id", F.struct(F.col("conv_id").isNull(), "conv_id")).alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
-    prefixes = chained.select(F.explode(F.slice("chain", 1, F.size("chain") - 1)).alias("h")).distinct()
-    return whole.join(prefixes, "h", "left_anti").select("conv_id", "n_copies")
+    rolled = prefixes(turns)
+    whole = rolled.where("last").groupBy("k", "a", "b").agg(F.min_by("conv_id", F.struct(F.col("conv_id").isNull(), "conv_id")).alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    inner = rolled.where("NOT last").select("k", "a", "b").distinct()
+    return whole.join(inner, ["k", "a", "b"], "left_anti").select("conv_id", "n_copies")
 
 
 def escape(text: Column) -> Column:
