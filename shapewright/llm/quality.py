@@ -31,6 +31,9 @@ SMALLEST = 60
 FLOOR = (0.06, 0.08, 0.08, 0.08)
 """Least standard deviation of each statistic; keeps the scatter regular where a statistic hardly varies."""
 ACCURACY = 10_000
+FEW_GROUPS = 20_000
+"""Up to so many groups, of under 400 bytes each, are broadcast."""
+SALTS = 32
 
 
 def chi2(x: float, dim: int) -> float:
@@ -88,6 +91,14 @@ def statistics() -> dict[str, Column]:
     return {"x0": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), "x1": F.sqrt(F.col("n_symbols") / n), "x2": share("n_repeat_words"), "x3": share("n_capitals")}
 
 
+def attached(rows: DataFrame, small: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """rows joined with one row for each group: broadcast where groups are few, else with groups dealt out over SALTS parts each."""
+    if few:
+        return rows.join(F.broadcast(small), keys)  # FEW_GROUPS rows at most, counted before
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def moments() -> list[Column]:
     pairs = [(a, b) for i, a in enumerate(STATS) for b in STATS[: i + 1]]
     return [F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"m_{a}") for a in STATS], *[F.avg(F.col(a) * F.col(b)).alias(f"s_{a}{b}") for a, b in pairs]]
@@ -109,9 +120,9 @@ def factored(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
     return out.select(*keys, "n", *[f"m_{a}" for a in STATS], *[f"l_{i}{j}" for i in range(DIM) for j in range(i + 1)], det.alias("log_det"))
 
 
-def distances(rows: DataFrame, estimates: DataFrame, keys: list[str], name: str = "d2") -> DataFrame:
+def distances(rows: DataFrame, estimates: DataFrame, keys: list[str], few: bool, name: str = "d2") -> DataFrame:
     """rows with their squared Mahalanobis distance to their group's estimate."""
-    out = rows.join(estimates, keys)
+    out = attached(rows, estimates, keys, few)
     for i in range(DIM):
         z = F.col(STATS[i]) - F.col(f"m_{STATS[i]}") - sum((F.col(f"l_{i}{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"_z{i}", z / F.col(f"l_{i}{i}"))
@@ -119,29 +130,29 @@ def distances(rows: DataFrame, estimates: DataFrame, keys: list[str], name: str
     return out.select(*rows.columns, total.alias(name))
 
 
-def concentrate(rows: DataFrame, distance: DataFrame, keys: list[str]) -> DataFrame:
+def concentrate(distance: DataFrame, keys: list[str], few: bool) -> DataFrame:
     """The estimate of each group from the share H of its rows that are nearest."""
     limits = distance.groupBy(*keys).agg(F.percentile_approx("d2", H, ACCURACY).alias("limit"))
-    near = distance.join(limits, keys).where("d2 <= limit")
+    near = attached(distance, limits, keys, few).where("d2 <= limit")
     return cut(factored(near.groupBy(*keys).agg(*moments()), keys, CONSISTENCY))
 
 
-def estimate(rows: DataFrame) -> DataFrame:
+def estimate(rows: DataFrame, few: bool) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimates by the column g of rows."""
     keys = ["g", "start"]
     first = rows.groupBy("g").agg(*[F.percentile_approx(a, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{a}") for a in STATS])
     first = cut(first)
-    scaled = rows.join(first, "g")
+    scaled = attached(rows, first, ["g"], few)
     z = [(F.col(a) - F.get(f"q_{a}", F.lit(1))) / F.greatest((F.get(f"q_{a}", F.lit(2)) - F.get(f"q_{a}", F.lit(0))) / 1.349, F.lit(f)) for a, f in zip(STATS, FLOOR, strict=True)]
     # start 0 ranks by the sum of squared robust scores, start 1 by their largest, which another half of the group may lead
     starts = F.array(F.struct(F.lit(0).alias("start"), sum((c * c for c in z), F.lit(0.0)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*[F.abs(c) for c in z]).alias("d2")))
     begun = scaled.select("g", *STATS, F.inline(starts))
     both = rows.select("g", *STATS, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
-    found = concentrate(both, begun, keys)
+    found = concentrate(begun, keys, few)
     for _ in range(STEPS - 1):
-        found = concentrate(both, distances(both, found, keys), keys)
+        found = concentrate(distances(both, found, keys, few), keys, few)
     best = found.groupBy("g").agg(F.min_by(F.struct(*[c for c in found.columns if c not in keys]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
-    inner = distances(rows.select("g", *STATS), best, ["g"]).where(F.col("d2") <= REWEIGHT)
+    inner = distances(rows.select("g", *STATS), best, ["g"], few).where(F.col("d2") <= REWEIGHT)
     return cut(factored(inner.groupBy("g").agg(*moments()), ["g"], 0.975 / chi2(REWEIGHT, DIM + 2)))
 
 
@@ -162,13 +173,14 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     group = F.when(F.col("n") >= SMALLEST, F.concat_ws("\x1f", "_lang", "_source")).when(F.col("n_lang") >= SMALLEST, F.concat("_lang", F.lit("\x1f*"))).otherwise("*")
     named = sizes.join(by_lang, "_lang").select("_lang", "_source", group.alias("g"), (F.col("n") >= SMALLEST).alias("own"), (F.col("n_lang") >= SMALLEST).alias("own_lang"))
     named = cut(named)
-    judged = measured.where("NOT base_failed").join(named, ["_lang", "_source"])
+    few = named.count() <= FEW_GROUPS
+    judged = attached(measured.where("NOT base_failed"), named, ["_lang", "_source"], few)
     pools = F.array_compact(F.array(F.col("g"), F.when(F.col("wide_lang") & F.col("own"), F.concat("_lang", F.lit("\x1f*"))), F.when(F.col("wide_all") & (F.col("own") | F.col("own_lang")), F.lit("*"))))
     needed = named.groupBy("_lang").agg(F.max(F.col("g") == F.concat("_lang", F.lit("\x1f*"))).alias("wide_lang"))
     wide = named.select(F.max(F.col("g") == "*")).scalar()
     # a pool's estimate is made from all rows that belong to it, those of large sources too
-    rows = judged.join(needed, "_lang").withColumn("wide_all", F.coalesce(wide, F.lit(False))).select(F.explode(pools).alias("g"), *STATS)
-    far = distances(judged.select("doc_id", "g", *COUNTS, "base_failed", *STATS), estimate(rows), ["g"]).select("doc_id", *COUNTS, "base_failed", "d2")
+    rows = attached(judged, needed, ["_lang"], few).withColumn("wide_all", F.coalesce(wide, F.lit(False))).select(F.explode(pools).alias("g"), *STATS)
+    far = distances(judged.select("doc_id", "g", *COUNTS, "base_failed", *STATS), estimate(rows, few), ["g"], few).select("doc_id", *COUNTS, "base_failed", "d2")
     failed = measured.where("base_failed").select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("d2"))
     return far.unionAll(failed).withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CUTOFF))
 
