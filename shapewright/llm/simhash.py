@@ -31,6 +31,7 @@ BLOCKS = 6
 WORDS = 4
 SEED = 42
 GROUP = 4096
+"""Fingerprints that share a pattern before it is refined; over 2 ** (BITS + 1), so that a refined one has BITS + 1 free bits."""
 FAN = 16
 """Fingerprints of a leaf, and children of a node."""
 
@@ -183,21 +184,30 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
         if len(held[0]):
             yield out(*held)
 
-    rows, masks, found = nodes, root_masks(bits), None
-    finer = None
-    while masks:
-        keyed = rows.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks]) if finer is None else finer).alias("mask"))
-        keyed = keyed.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("pattern"), "fp")
+    roots, known = root_masks(bits), {}
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """mask and fp for each mask below a row's own."""
+        for batch in batches:
+            mask, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for m in np.unique(mask):
+                if m not in known:
+                    known[m] = [signed(x) for x in finer_masks(int(m) % (1 << 64), bits)]
+                own = fp[mask == m]
+                for x in known[m]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), x, np.int64)), pa.array(own)], names=["mask", "fp"])
+
+    masked, found = nodes.select(F.explode(F.array(*[F.lit(signed(m)) for m in roots])).alias("mask"), "fp"), None
+    while True:
+        keyed = masked.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("pattern"), "fp")
         large = cut(keyed.groupBy("mask", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("mask", "pattern"))
-        over = [r[0] for r in large.select("mask").distinct().collect()] if large.take(1) else []  # at most as many as there are masks
+        over = bool(large.take(1))
         small = keyed.join(large, ["mask", "pattern"], "left_anti") if over else keyed
         new = small.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(run, "a long, b long")
         found = new if found is None else found.unionAll(new)
-        if over:
-            rows = cut(keyed.join(large, ["mask", "pattern"], "left_semi"))
-            finer = F.create_map(*[x for m in over for x in (F.lit(m), F.array(*[F.lit(signed(c)) for c in finer_masks(m % (1 << 64), bits)]))])[F.col("mask")]
-        masks = over
-    return found
+        if not over:
+            return found
+        masked = cut(keyed.join(large, ["mask", "pattern"], "left_semi").select("mask", "fp").mapInArrow(refine, "mask long, fp long"))
 
 
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
