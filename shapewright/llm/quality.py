@@ -92,11 +92,14 @@ def statistics() -> dict[str, Column]:
 
 
 def attached(rows: DataFrame, small: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """rows joined with one row for each group: broadcast where groups are few, else with groups dealt out over SALTS parts each."""
+    """rows joined with one row for each group: broadcast where groups are few, else with groups dealt out over SALTS parts each.
+
+    A row's part is its stored column salt, so that rows recomputed after a loss go where they went before.
+    """
     if few:
         return rows.join(F.broadcast(small), keys)  # FEW_GROUPS rows at most, counted before
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, [*keys, "salt"])
 
 
 def moments() -> list[Column]:
@@ -146,13 +149,13 @@ def estimate(rows: DataFrame, few: bool) -> DataFrame:
     z = [(F.col(a) - F.get(f"q_{a}", F.lit(1))) / F.greatest((F.get(f"q_{a}", F.lit(2)) - F.get(f"q_{a}", F.lit(0))) / 1.349, F.lit(f)) for a, f in zip(STATS, FLOOR, strict=True)]
     # start 0 ranks by the sum of squared robust scores, start 1 by their largest, which another half of the group may lead
     starts = F.array(F.struct(F.lit(0).alias("start"), sum((c * c for c in z), F.lit(0.0)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*[F.abs(c) for c in z]).alias("d2")))
-    begun = scaled.select("g", *STATS, F.inline(starts))
-    both = rows.select("g", *STATS, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
+    begun = scaled.select("g", "salt", *STATS, F.inline(starts))
+    both = rows.select("g", "salt", *STATS, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
     found = concentrate(begun, keys, few)
     for _ in range(STEPS - 1):
         found = concentrate(distances(both, found, keys, few), keys, few)
     best = found.groupBy("g").agg(F.min_by(F.struct(*[c for c in found.columns if c not in keys]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
-    inner = distances(rows.select("g", *STATS), best, ["g"], few).where(F.col("d2") <= REWEIGHT)
+    inner = distances(rows.select("g", "salt", *STATS), best, ["g"], few).where(F.col("d2") <= REWEIGHT)
     return cut(factored(inner.groupBy("g").agg(*moments()), ["g"], 0.975 / chi2(REWEIGHT, DIM + 2)))
 
 
@@ -167,7 +170,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = counts(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), name(lang).alias("_lang"), name(source).alias("_source"))).drop("text")
-    measured = cut(measured.withColumn("base_failed", base).withColumns(statistics()))
+    salt = F.floor(F.rand(7) * SALTS).cast("int")  # drawn before the cut, never again
+    measured = cut(measured.withColumn("base_failed", base).withColumn("salt", salt).withColumns(statistics()))
     sizes = measured.where("NOT base_failed").groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
     by_lang = sizes.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
     group = F.when(F.col("n") >= SMALLEST, F.concat_ws("\x1f", "_lang", "_source")).when(F.col("n_lang") >= SMALLEST, F.concat("_lang", F.lit("\x1f*"))).otherwise("*")
@@ -179,8 +183,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     needed = named.groupBy("_lang").agg(F.max(F.col("g") == F.concat("_lang", F.lit("\x1f*"))).alias("wide_lang"))
     wide = named.select(F.max(F.col("g") == "*")).scalar()
     # a pool's estimate is made from all rows that belong to it, those of large sources too
-    rows = attached(judged, needed, ["_lang"], few).withColumn("wide_all", F.coalesce(wide, F.lit(False))).select(F.explode(pools).alias("g"), *STATS)
-    far = distances(judged.select("doc_id", "g", *COUNTS, "base_failed", *STATS), estimate(rows, few), ["g"], few).select("doc_id", *COUNTS, "base_failed", "d2")
+    rows = attached(judged, needed, ["_lang"], few).withColumn("wide_all", F.coalesce(wide, F.lit(False))).select(F.explode(pools).alias("g"), "salt", *STATS)
+    far = distances(judged.select("doc_id", "g", "salt", *COUNTS, "base_failed", *STATS), estimate(rows, few), ["g"], few).select("doc_id", *COUNTS, "base_failed", "d2")
     failed = measured.where("base_failed").select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("d2"))
     return far.unionAll(failed).withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CUTOFF))
 

@@ -151,6 +151,13 @@ def test_mcd_rejects_planted_outliers(spark):
     assert {r["doc_id"]: r["kept"] for r in quality.judged_documents(spark.createDataFrame(rows[::-1], DOCS)).collect()} == kept
 
 
+def test_mcd_many_groups_join_as_few(spark, docs, monkeypatch):
+    rows = lambda: sorted(tuple(r)[:8] for r in quality.judged_documents(docs).collect())
+    few = rows()
+    monkeypatch.setattr(quality, "FEW_GROUPS", 0)
+    assert rows() == few
+
+
 def test_chi2():
     assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.chi2_quantile(0.5, 6) == pytest.approx(5.3481, abs=1e-3)
 
