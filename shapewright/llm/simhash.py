@@ -22,9 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .shared import cut, slices
+from .shared import append_columns, cut, quoted, slices
 
 BITS = 4
 BLOCKS = 6
@@ -52,14 +53,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint_array(texts: list) -> list[pa.Array]:
+    return [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id (the key) and fp (a long with the fingerprint's bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
-                fp = np.array([fingerprint(t) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *fingerprint_array(part.column("text").to_pylist())], names=["doc_id", "fp"])
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -210,6 +214,19 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
         masked = cut(keyed.join(large, ["mask", "pattern"], "left_semi").select("mask", "fp").mapInArrow(refine, "mask long, fp long"))
 
 
+def rooted_components(df: DataFrame, key: str, text: str, bits: int) -> DataFrame:
+    """doc_id (the key), fp, root (the least fingerprint of the component, as a long) and component_id for each row of df."""
+    each = cut(fingerprints(df, key, text))
+    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    star = components(links(nodes.select("fp"), bits))
+    whole = star.unionAll(star.select(F.col("root").alias("node"), "root").distinct())
+    rooted = nodes.join(whole.withColumnRenamed("node", "fp"), "fp")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return each.join(of, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id (the key), fp and component_id, the smallest key that links reach from the row, for each row of df.
 
@@ -217,31 +234,28 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", bits
     others; a null key is no component_id unless a component has no other. Other columns are not read. An empty table gives an
     empty one. Texts are read once and not moved; what is moved are fingerprints.
     """
-    each = cut(fingerprints(df, key, text))
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = components(links(nodes.select("fp"), bits))
-    whole = star.unionAll(star.select(F.col("root").alias("node"), "root").distinct())
-    rooted = nodes.join(whole.withColumnRenamed("node", "fp"), "fp")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    of = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return each.join(of, "fp").select("doc_id", "fp", "component_id")
+    return rooted_components(df, key, text, bits).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df that have the smallest key of their component, with the columns of df.
 
-    Of rows with the same key one stays. Rows with a null key always stay, as nothing tells them apart.
+    Rows with the same key may lie in several components; of those in one component one stays. Rows with a null key always stay, as
+    nothing tells them apart.
     """
-    marked = cut(near_components(df, key, text))
+    marked = cut(rooted_components(df, key, text, BITS))
     gone = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    twice = marked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice")
+    several = marked.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_several")).count().where("count > 1").select("_several")
     kept = df.join(gone, df[key].cast("long") == gone["_gone"], "left_anti")
-    if not twice.take(1):
+    if not several.take(1):
         return kept
-    twice = cut(twice)
-    once = kept.join(twice, kept[key].cast("long") == twice["_twice"], "left_anti")
-    return once.unionAll(kept.join(twice, kept[key].cast("long") == twice["_twice"], "left_semi").dropDuplicates([key]))
+    several = cut(several)
+    once = kept.join(several, kept[key].cast("long") == several["_several"], "left_anti")
+    # a key of several rows doesn't tell which of them to keep; their fingerprints, taken again, do
+    again = append_columns(df.join(several, df[key].cast("long") == several["_several"], "left_semi"), text, lambda: fingerprint_array, [T.StructField("_fp", T.LongType())])
+    least = marked.where("doc_id = component_id").join(several, F.col("doc_id") == F.col("_several"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), F.col("root").alias("_root")).distinct()
+    chosen = again.join(least, (again[key].cast("long") == least["_id"]) & (again["_fp"] == least["_of"])).dropDuplicates([key, "_root"])
+    return once.unionAll(chosen.select(*[quoted(c) for c in df.columns]))
 
 
 def near_documents(docs: DataFrame) -> DataFrame:

@@ -287,6 +287,13 @@ def test_near_dedup_keeps_one(spark, edge):
     assert ids.count(0) == 1 and 1 not in ids and ids.count(2) == 1 and ids.count(None) == 1 and 9 not in ids
 
 
+def test_near_dedup_with_keys_of_several_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(3, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0), (6, b, "en", "s", 0), (7, c, "en", "s", 0), (7, d, "en", "s", 0), (7, d, "en", "s", 0)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(3, a), (5, b), (7, c), (7, d)]
+
+
 def base_spans(t):
     digits = lambda s: re.sub(r"[^0-9]", "", s)
     luhn = lambda d: sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for k, c in enumerate(reversed(d))) % 10 == 0
