@@ -5,8 +5,9 @@ inverting the Poisson distribution of that rate at a uniform value hashed from t
 so many copies, and the copies are shuffled over the whole corpus by a second hash. The counts have the target weights as their
 means, and any worker can draw any document's number alone.
 
-Only the counts of sources are aggregated (partial sums first, so a hot source is no hot task). The table of sources is small
-beside the corpus; Spark broadcasts it only if its measured size is below spark.sql.autoBroadcastJoinThreshold.
+Only the counts of sources are aggregated (partial sums first, so a hot source is no hot task). The sources are counted before
+they meet the documents: up to FEW_SOURCES are broadcast, so that texts move once only, in the global shuffle; more are joined
+with a salt from the document's key, so that a hot source is dealt over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 SEED = 42
 CHUNK = 64.0
 """Largest rate that is inverted at once; a larger one is drawn as a sum of equal smaller ones, which has the same distribution."""
 TAIL = 1e-15
+FEW_SOURCES = 10_000
+"""Up to so many sources, of under 2 kB each, are broadcast."""
+SALTS = 32
 
 
 def uniform(key: Column) -> Column:
@@ -65,7 +71,13 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     steps = with_steps(rates(docs, source, weights, total)).withColumnsRenamed({"source": "_mix_source", "rate": "_mix_rate", "parts": "_mix_parts", "cdf": "_mix_cdf"})
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))
     plain = docs.select(*[c for c in docs.columns if c.lower() not in ("copy_no", "mix_key")])
-    joined = plain.join(steps, plain[source].eqNullSafe(steps["_mix_source"]))
+    steps = cut(steps)
+    same = plain[source].eqNullSafe(steps["_mix_source"])
+    if steps.count() <= FEW_SOURCES:
+        joined = plain.join(F.broadcast(steps), same)
+    else:
+        steps = steps.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = plain.join(steps, same & (F.pmod(F.xxhash64(plain[key]), F.lit(SALTS)) == steps["_mix_salt"]))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col("_mix_parts")),
         F.lit(0),

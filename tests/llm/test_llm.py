@@ -169,6 +169,13 @@ def test_large_rates_and_weights(spark):
     assert 400 < n["one"] < 600 and 1400 < n["big"] < 1600
 
 
+def test_many_sources_join_as_few(spark, docs, edge, monkeypatch):
+    rows = lambda: sorted(map(str, mixing.mix(docs.unionByName(edge)).collect()))
+    few = rows()
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert rows() == few
+
+
 def test_language_accuracy(docs):
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
     out = langid.identified_documents(docs).collect()
