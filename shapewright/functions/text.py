@@ -48,11 +48,18 @@ def bin_label(pos: Column, bins: int = 10, width: int = 5) -> Column:
     return F.concat(side, F.lit(" "), F.when(k == bins - 1, F.concat((k * width + 1).cast("string"), F.lit("+"))).otherwise(F.concat_ws("-", (k * width + 1).cast("string"), ((k + 1) * width).cast("string"))))
 
 
+def starts(text: Column, word: str) -> Column:
+    """Array of the places, from 1, of all occurrences of a word in any case, from left to right without overlap."""
+    parts = F.split(text, r"(?iu)\Q" + word + r"\E")
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda a, part: F.struct((a["at"] + F.length(part) + len(word)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(part))).alias("all"))
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step)["all"]  # a part before each occurrence, and a last one behind
+
+
 def hits(text: Column, words: list[str], reach: int = 30) -> Column:
-    """Array of (word, context) for each word of a deny list that a text has, context the first hit with reach characters around it."""
-    low = F.lower(text)
-    found = F.array(*[F.struct(F.lit(w).alias("word"), F.locate(w, low).alias("at")) for w in words])
-    return F.transform(F.filter(found, lambda x: x["at"] > 0), lambda x: F.struct(x["word"].alias("word"), F.substring(text, F.greatest(x["at"] - reach, F.lit(1)), F.length(x["word"]) + 2 * reach).alias("context")))
+    """Array of (word, context) for each occurrence of each word of a deny list, context the occurrence with reach characters around it."""
+    context = lambda w: lambda at: F.struct(F.lit(w).alias("word"), F.substring(text, F.greatest(at - reach, F.lit(1)), F.lit(len(w) + 2 * reach)).alias("context"))
+    return F.concat(*[F.transform(starts(text, w), context(w)) for w in words])
 
 
 def restated(mode: Column, k: Column, floor: Column) -> Column:
