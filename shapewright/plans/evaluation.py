@@ -195,8 +195,8 @@ SQL_SLUG = "regexp_replace(regexp_replace(lower(translate({}, '" + X.ACCENTED +
 
 @query("slugify", f"SELECT doc_id, {SQL_SLUG.format('substr(text, 1, 80)')} AS slug FROM documents")
 def slugify(spark, d):
-    """A slug of each document's title, its first 80 characters."""
-    return table(spark, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 80)).alias("slug"))
+    """A slug of each document's whole text."""
+    return table(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query("fuzzy_score", "SELECT p_partkey, CASE WHEN n = q THEN 100 WHEN starts_with(n, q) THEN 80 WHEN len(list_filter(regexp_split_to_array(n, '[ _-]'), lambda w: starts_with(w, q))) > 0 THEN 70 WHEN starts_with(lower(p_brand), q) THEN 60 WHEN contains(n, q) THEN 40 END::INT AS score FROM (SELECT *, lower(p_name) AS n, 'part' AS q FROM part)")

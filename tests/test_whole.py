@@ -1,6 +1,7 @@
 """Queries do the whole job: all rows, all hits, all components, held against plain Python over the tables."""
 
 import re
+import unicodedata
 from collections import Counter
 
 from conftest import SF
@@ -23,3 +24,12 @@ def test_deny_list_returns_every_occurrence(spark, duck):
     got = Counter((r["doc_id"], r["word"], r["context"]) for r in QUERIES["deny_list_hits"](spark, SF).collect())
     assert got == want
     assert max(Counter((doc, w) for doc, w, _ in want.elements()).values()) > 1  # some text has a word twice
+
+
+def test_slugs_cover_whole_texts(spark, duck):
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    latin = {i: t for i, t in table(duck, "select doc_id, text from documents") if t is not None and all(ord(c) < 256 or not c.isalnum() for c in t)}
+    got = {r["doc_id"]: r["slug"] for r in QUERIES["slugify"](spark, SF).collect()}
+    assert len(got) == len(table(duck, "select doc_id from documents")) and latin
+    assert {i: got[i] for i in latin} == {i: re.sub("[^a-z0-9]+", "-", plain(t)).strip("-") for i, t in latin.items()}
+    assert max(len(got[i]) for i in latin) > 80
