@@ -95,11 +95,36 @@ def label_recall_vote(spark, d):
 
 @query("embedding_moments", f"WITH {EMB}, x AS (SELECT id, unnest(v) AS v, generate_subscripts(v, 1)::INT AS i FROM e WHERE TRUE), y AS (SELECT * FROM x WHERE i <= 8) SELECT a.i, b.i AS j, round(avg(a.v * b.v) - avg(a.v) * avg(b.v), 6) + 0.0 AS cov FROM y a JOIN y b ON a.id = b.id AND a.i <= b.i GROUP BY ALL")
 def embedding_moments(spark, d):
-    """Covariances of the first components: the sums that a projection on principal axes starts from, in one aggregation."""
-    e = table(spark, d, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(8)])
-    pairs = [(i, j) for i in range(8) for j in range(i, 8)]
-    sums = e.agg(*[(F.avg(F.col(f"x{i}") * F.col(f"x{j}")) - F.avg(f"x{i}") * F.avg(f"x{j}")).alias(f"c{i}_{j}") for i, j in pairs])
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), r6(f"c{i}_{j}").alias("cov")) for i, j in pairs])))
+    """Covariances of all components: the moments that a projection on principal axes starts from.
+
+    Each partition adds the products of its vectors to one matrix, so what is shuffled is a row for each pair of components and
+    partition. Components that are null or beyond a vector's end are left out of their pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        sums = np.zeros((4, 0, 0))  # of each pair (i, j): rows that have both, x_i, x_j, x_i * x_j
+        for batch in batches:
+            v = batch.column("v").drop_null()
+            flat, sizes = v.flatten(), v.value_lengths().to_numpy(zero_copy_only=False)
+            width = int(sizes.max(initial=0))
+            place = np.repeat(np.arange(len(v)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            x, has = np.zeros((2, len(v), width))
+            has[place] = known = flat.is_valid().to_numpy(zero_copy_only=False)
+            x[place] = np.where(known, flat.to_numpy(zero_copy_only=False), 0.0)
+            if width > sums.shape[1]:
+                more = width - sums.shape[1]
+                sums = np.pad(sums, ((0, 0), (0, more), (0, more)))
+            sums[:, :width, :width] += np.stack([has.T @ has, x.T @ has, has.T @ x, x.T @ x])
+        i, j = np.triu_indices(sums.shape[1])
+        n, sx, sy, sxy = sums[:, i, j]
+        yield pa.RecordBatch.from_arrays([pa.array(i + 1, pa.int32()), pa.array(j + 1, pa.int32()), *map(pa.array, (n, sx, sy, sxy))], names=["i", "j", "n", "sx", "sy", "sxy"])
+
+    e = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"))
+    sums = e.mapInArrow(run, "i int, j int, n double, sx double, sy double, sxy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    mean = lambda c: F.col(c) / F.col("n")
+    return sums.where("n > 0").select("i", "j", r6(mean("sxy") - mean("sx") * mean("sy")).alias("cov"))
 
 
 ANY = search_sql("TRUE")[1]

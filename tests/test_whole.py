@@ -4,6 +4,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 from conftest import SF
 
 from shapewright.plans import QUERIES
@@ -33,3 +34,11 @@ def test_slugs_cover_whole_texts(spark, duck):
     assert len(got) == len(table(duck, "select doc_id from documents")) and latin
     assert {i: got[i] for i in latin} == {i: re.sub("[^a-z0-9]+", "-", plain(t)).strip("-") for i, t in latin.items()}
     assert max(len(got[i]) for i in latin) > 80
+
+
+def test_moments_cover_all_components(spark, duck):
+    x = np.array([r[0] for r in table(duck, "select embedding from embeddings")], float)
+    got = {(r["i"], r["j"]): r["cov"] for r in QUERIES["embedding_moments"](spark, SF).collect()}
+    want = np.cov(x.T, bias=True)
+    assert set(got) == {(i + 1, j + 1) for i in range(x.shape[1]) for j in range(i, x.shape[1])}
+    assert all(abs(got[i, j] - want[i - 1, j - 1]) < 2e-6 for i, j in got)
