@@ -58,6 +58,67 @@ def band_pairs(left: DataFrame, right: DataFrame, value: str, width: float, keys
     return met if condition is None else met.where(condition)
 
 
+def band_tiers(rows: DataFrame, key: str, value: str, width: float, group: str) -> DataFrame:
+    """key, n, first and tier of each row: how many others of its group are partners, and the least key among them.
+
+    Partners are the others with |value - value| <= width (tier `caliper`); without any, those of the same tenth of the group
+    (`decile`); without these, all others (`any`). A row alone in its group has none and is left out. Rows of equal value are
+    counted first, and a group's values are sorted once, so no pairs are made. value: double; key: long.
+    """
+    import numpy as np
+    import pandas as pd
+
+    two = lambda a, b: np.sort(np.concatenate([a, b], axis=-1), axis=-1)
+    none = np.iinfo(np.int64).max
+
+    def least(a, b):  # the two least of two pairs of keys that may share some
+        both = two(a, b)
+        both[..., 1:][both[..., 1:] == both[..., :-1]] = none
+        return np.sort(both, axis=-1)[..., :2]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("y", ignore_index=True)
+        y, n = part["y"].to_numpy(), part["n"].to_numpy()
+        tables = [np.stack([part["low"].to_numpy(), part["next"].to_numpy()], axis=1)]
+        while (step := 1 << len(tables) - 1) * 2 <= len(y):
+            tables.append(least(tables[-1][:-step], tables[-1][step:]))
+        before = np.concatenate([[0], np.cumsum(n)])
+
+        def over(low, high):  # rows, and the two least keys, of the values low to high - 1
+            span = np.frexp(high - low)[1] - 1
+            keys = np.empty((len(low), 2), np.int64)
+            for k in np.unique(span):
+                at = span == k
+                keys[at] = least(tables[k][low[at]], tables[k][high[at] - (1 << k)])
+            return before[high] - before[low], keys
+
+        place = np.linspace(0, 1, 11)[1:-1] * (before[-1] - 1)
+        at = lambda p: y[np.searchsorted(before, p, side="right") - 1]
+        low, up = at(np.floor(place)), at(np.ceil(place))
+        tenth = np.searchsorted(low + (up - low) * (place - np.floor(place)), y, side="right")
+        bounds = {
+            "caliper": (np.searchsorted(y, y - width), np.searchsorted(y, y + width, side="right")),
+            "decile": (np.searchsorted(tenth, tenth), np.searchsorted(tenth, tenth, side="right")),
+            "any": (np.zeros(len(y), np.int64), np.full(len(y), len(y))),
+        }
+        out, left = part[["g", "y"]].assign(n=0, a=0, b=0, tier=""), np.ones(len(y), bool)
+        for tier, (low, high) in bounds.items():
+            found, keys = over(low, high)
+            now = left & (found > 1)
+            out.loc[now, "n"], out.loc[now, "a"], out.loc[now, "b"], out.loc[now, "tier"] = found[now] - 1, keys[now, 0], keys[now, 1], tier
+            left &= ~now
+        return out[~left]
+
+    rows = rows.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(value).alias("y"))
+    same = rows.groupBy("g", "y").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"))
+    second = rows.join(same.where("n > 1").select("g", "y", "low"), ["g", "y"]).where("k > low").groupBy("g", "y").agg(F.min("k").alias("next"))
+    met = same.join(second, ["g", "y"], "left").withColumn("next", F.coalesce("next", F.lit(none)))
+    g, k = rows.schema["g"].dataType.simpleString(), rows.schema["k"].dataType
+    tiers = met.groupBy("g").applyInPandas(run, f"g {g}, y double, n long, a long, b long, tier string")
+    first = F.when(F.col("a") == F.col("k"), F.col("b")).otherwise(F.col("a"))
+    return rows.join(tiers, ["g", "y"]).select(F.col("k").alias(key), "n", first.cast(k).alias("first"), "tier")
+
+
 def coverage(rows: DataFrame, keys: list[str], year: str = "year", actual: Column | None = None) -> DataFrame:
     """First, last and number of years, gaps, and the last year that is no forecast."""
     return rows.groupBy(*keys).agg(

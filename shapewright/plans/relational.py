@@ -89,9 +89,9 @@ def asof_tolerance(spark, d):
 
 @query("caliper_band_join", "SELECT a.c_custkey AS custkey, count(*) AS n, min(b.c_custkey) AS first FROM (SELECT *, ln(c_acctbal) AS y FROM customer WHERE c_acctbal > 1000 AND c_custkey % 5 = 0) a JOIN (SELECT *, ln(c_acctbal) AS y FROM customer WHERE c_acctbal > 1000) b ON abs(a.y - b.y) <= 0.05 AND a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY ALL")
 def caliper_band_join(spark, d):
+    """Partners of each customer within a caliper of the log balance, else in its tenth of the nation, else any of the nation."""
     c = table(spark, d, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nation"), F.log("c_acctbal").alias("y"))
-    met = R.band_pairs(c.where("custkey % 5 = 0"), c, "y", 0.05, ["nation"], F.col("custkey") != F.col("b_custkey"))
-    return met.groupBy("custkey").agg(F.count(F.lit(1)).alias("n"), F.min("b_custkey").alias("first"))
+    return R.band_tiers(c, "custkey", "y", 0.35, "nation")
 
 
 @query("interval_overlap", on_profiles("SELECT a.entity, a.year, bool_or(abs(a.year - b.year) < 2) AS overlap FROM k a JOIN k b ON a.entity = b.entity WHERE b.year % 3 = 0 GROUP BY ALL"))

@@ -42,3 +42,31 @@ def test_moments_cover_all_components(spark, duck):
     want = np.cov(x.T, bias=True)
     assert set(got) == {(i + 1, j + 1) for i in range(x.shape[1]) for j in range(i, x.shape[1])}
     assert all(abs(got[i, j] - want[i - 1, j - 1]) < 2e-6 for i, j in got)
+
+
+def tiers(rows, width):
+    out = {}
+    for k, g, y in rows:
+        pool = [(j, v) for j, h, v in rows if h == g and j != k]
+        cuts = np.quantile([v for _, h, v in rows if h == g], np.linspace(0, 1, 11)[1:-1])
+        tenth = lambda v, cuts=cuts: np.searchsorted(cuts, v, side="right")
+        for tier, found in (("caliper", [j for j, v in pool if abs(v - y) <= width]), ("decile", [j for j, v in pool if tenth(v) == tenth(y)]), ("any", [j for j, _ in pool])):
+            if found:
+                out[k] = (len(found), min(found), tier)
+                break
+    return out
+
+
+def test_every_customer_has_its_partners(spark, duck):
+    rows = [(k, g, float(np.log(b))) for k, g, b in table(duck, "select c_custkey, c_nationkey, c_acctbal from customer where c_acctbal > 1000")]
+    got = {r["custkey"]: (r["n"], r["first"], r["tier"]) for r in QUERIES["caliper_band_join"](spark, SF).collect()}
+    assert got == tiers(rows, 0.35) and any(k % 5 for k in got)
+
+
+def test_tiers_of_a_caliper(spark):
+    from shapewright.operators import relational as R
+
+    rows = [(9, 1, 0.0), (3, 1, 0.1), (4, 1, 0.1), (1, 1, 5.0), (2, 2, 1.0), (5, 3, 1.0), (6, 3, 9.0), *[(20 + i, 4, float(i)) for i in range(31)], (60, 4, 4.0)]
+    for width in (0.35, 0.01):
+        got = {r["k"]: (r["n"], r["first"], r["tier"]) for r in R.band_tiers(spark.createDataFrame(rows, "k long, g int, y double"), "k", "y", width, "g").collect()}
+        assert got == tiers(rows, width) and {t for *_, t in got.values()} == {"caliper", "decile", "any"}
