@@ -148,13 +148,15 @@ PROTO_DIST = "pd AS (SELECT a.entity, a.year, b.entity AS b_entity, 5 * sum(abs(
 
 @query("min_soft_min", on_profiles("SELECT entity, round(min(d), 6) + 0.0 AS least, round(list_sort(list(d))[2], 6) + 0.0 AS second, round(min(d) - 0.25 * ln(sum(exp(-(d - m) / 0.25))), 6) + 0.0 AS soft FROM (SELECT *, min(d) OVER (PARTITION BY entity) AS m FROM pd) GROUP BY entity", PROTO_DIST))
 def min_soft_min(spark, d):
+    """Distances of every profile to the set of prototypes: the least, the second and the soft minimum."""
     from ..operators.metrics import w1sex
     from ..operators.search import FIELDS
 
     p = C.profiles(spark, d)
-    met = C.pairs(p.where("year = 1999"), p.where("year = 1996 AND entity % 5 = 0"), F.lit(True), FIELDS)
-    out = St.soft_minimum(met.select("entity", w1sex().alias("d")), ["entity"])
-    return out.select("entity", *[r6(c).alias(c) for c in ("least", "second", "soft")])
+    proto = p.join(prototypes(spark, d).select("entity", "year"), ["entity", "year"], "left_semi")
+    met = C.pairs(p, proto, F.lit(True), FIELDS)
+    out = St.soft_minimum(met.select("entity", "year", w1sex().alias("d")), ["entity", "year"])
+    return out.select("entity", "year", *[r6(c).alias(c) for c in ("least", "second", "soft")])
 
 
 @query("excess_top_quartile", f"WITH {GROWTH}, m AS (SELECT year, median(g) AS med, quantile_cont(g, 0.75) AS q FROM gr WHERE h = 2 GROUP BY year) SELECT entity, year, round(g - med, 6) + 0.0 AS excess, round(g, 12) >= round(q, 12) AS top_q FROM gr JOIN m USING (year) WHERE h = 2")

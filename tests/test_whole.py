@@ -1,5 +1,6 @@
 """Queries do the whole job: all rows, all hits, all components, held against plain Python over the tables."""
 
+import hashlib
 import re
 import unicodedata
 from collections import Counter
@@ -44,6 +45,18 @@ def test_moments_cover_all_components(spark, duck):
     assert all(abs(got[i, j] - want[i - 1, j - 1]) < 2e-6 for i, j in got)
 
 
+def test_all_profiles_meet_all_prototypes(spark, duck):
+    from shapewright.operators import corpus as C
+
+    c = {(r["entity"], r["year"]): np.array(r["c"]) for r in C.profiles(spark, SF).select("entity", "year", "c").collect()}
+    proto = [c[k] for r in QUERIES["prototype_top_decile"](spark, SF).collect() if (k := (r["entity"], r["year"])) in c]
+    got = {(r["entity"], r["year"]): (r["least"], r["second"], r["soft"]) for r in QUERIES["min_soft_min"](spark, SF).collect()}
+    assert set(got) == set(c) and len(proto) > 5
+    for k, v in c.items():
+        d = np.sort([5 * np.abs(v - q).sum() for q in proto])
+        assert np.allclose(got[k], (d[0], d[1], d[0] - 0.25 * np.log(np.exp(-(d - d[0]) / 0.25).sum())), atol=2e-6)
+
+
 def tiers(rows, width):
     out = {}
     for k, g, y in rows:
