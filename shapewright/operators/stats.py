@@ -98,17 +98,19 @@ def uniform_of(*key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in key])), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def bootstrap_means(group_sums: DataFrame, draws: int, key: str = "g", seed: int = 7) -> DataFrame:
+def bootstrap_means(group_sums: DataFrame, draws: int, key: str = "g", seed: int = 7, block: int = 1) -> DataFrame:
     """draw and mean: in each draw every group is replaced by one hashed at random, as groups are numbered 0 to n - 1.
 
-    Groups are summed before they are drawn, so a draw costs as many rows as there are groups. group_sums: key, s, n.
+    Groups are summed before they are drawn, so a draw costs as many rows as there are groups. With a block, so many groups in a row
+    are drawn at once, the first following on the last, and the last block is cut at n. group_sums: key, s, n.
     """
     w = Window.orderBy(key)  # groups are few: one row each
     numbered = group_sums.withColumn("i", F.row_number().over(w) - 1)
     size = numbered.agg(F.count(F.lit(1))).scalar()
     spark = group_sums.sparkSession
     slots = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), size.cast("int") - 1)).alias("slot"))
-    picked = slots.withColumn("i", F.floor(uniform_of(F.lit(seed), F.col("draw"), F.col("slot")) * size).cast("int"))
+    begin = F.floor(uniform_of(F.lit(seed), F.col("draw"), F.floor(F.col("slot") / block)) * size)
+    picked = slots.withColumn("i", ((begin + F.col("slot") % block) % size).cast("int"))
     return picked.join(F.broadcast(numbered), "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 

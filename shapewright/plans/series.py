@@ -222,19 +222,30 @@ def spearman_methods(spark, d):
     return s.select(rank("a").alias("ra"), rank("b").alias("rb")).agg(r6(F.corr("ra", "rb")).alias("rho"))
 
 
+DRAWS, BLOCK_YEARS = 5000, 2
 UNI = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
 
 
 @query("block_bootstrap_ci", f"WITH {EX}, g AS (SELECT entity, sum(e) AS s, count(*) AS n, row_number() OVER (ORDER BY entity) - 1 AS i FROM ex GROUP BY entity), z AS (SELECT count(*) AS c FROM g), sl AS (SELECT draw, slot, floor({UNI.format("concat_ws(':', 7, draw, slot)")} * c)::INT AS i FROM range(200) d(draw), z, range(25) t(slot) WHERE slot < c), m AS (SELECT draw, sum(s) / sum(n) AS mean FROM sl JOIN g USING (i) GROUP BY draw) SELECT round(quantile_cont(mean, 0.025), 6) + 0.0 AS low, round(quantile_cont(mean, 0.975), 6) + 0.0 AS high FROM m")
 def block_bootstrap_ci(spark, d):
-    sums = excess(spark, d).groupBy(F.col("entity").alias("g")).agg(F.sum("e").alias("s"), F.count(F.lit(1)).alias("n"))
-    return St.bootstrap_means(sums, 200).agg(r6(F.percentile("mean", 0.025)).alias("low"), r6(F.percentile("mean", 0.975)).alias("high"))
+    """Interval of the mean excess by DRAWS draws of entities and of circular blocks of years; low and high are the wider of the two.
+
+    degenerate: a block holds all years, so that every draw of blocks is the whole series.
+    """
+    e = excess(spark, d)
+    sums = lambda c: e.groupBy(F.col(c).alias("g")).agg(F.sum("e").alias("s"), F.count("e").alias("n"))
+    ends = lambda x, n: x.agg(F.percentile("mean", 0.025).alias(f"{n}_low"), F.percentile("mean", 0.975).alias(f"{n}_high"))
+    both = ends(St.bootstrap_means(sums("entity"), DRAWS), "entity").crossJoin(ends(St.bootstrap_means(sums("year"), DRAWS, seed=8, block=BLOCK_YEARS), "block"))
+    both = both.crossJoin(e.agg((F.countDistinct("year") <= BLOCK_YEARS).alias("degenerate")))
+    wide = F.col("block_high") - F.col("block_low") > F.col("entity_high") - F.col("entity_low")
+    pick = lambda end: F.when(wide, F.col(f"block_{end}")).otherwise(F.col(f"entity_{end}"))
+    return both.select(r6(pick("low")).alias("low"), r6(pick("high")).alias("high"), F.when(wide, "block").otherwise("entity").alias("scheme"), *[r6(f"{n}_{end}").alias(f"{n}_{end}") for n in ("entity", "block") for end in ("low", "high")], "degenerate")
 
 
 @query("null_n1", f"WITH {EX}, r AS (SELECT draw, year, e, row_number() OVER (PARTITION BY draw, year ORDER BY {UNI.format("concat_ws(':', 11, draw, year, entity)")}, entity) AS k FROM ex, range(50) t(draw)) SELECT draw, round(avg(e), 6) + 0.0 AS mean FROM r WHERE k <= 3 GROUP BY draw")
 def null_n1(spark, d):
-    """Three entities a year drawn at random, fifty times."""
-    drawn = excess(spark, d).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("draw", F.col("draw").cast("long"))
+    """Three entities a year drawn at random, DRAWS times."""
+    drawn = excess(spark, d).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("draw", F.col("draw").cast("long"))
     w = Window.partitionBy("draw", "year").orderBy(St.uniform_of(F.lit(11), F.col("draw"), F.col("year"), F.col("entity")), "entity")
     return drawn.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("draw").agg(r6(F.avg("e")).alias("mean"))
 

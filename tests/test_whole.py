@@ -83,3 +83,33 @@ def test_tiers_of_a_caliper(spark):
     for width in (0.35, 0.01):
         got = {r["k"]: (r["n"], r["first"], r["tier"]) for r in R.band_tiers(spark.createDataFrame(rows, "k long, g int, y double"), "k", "y", width, "g").collect()}
         assert got == tiers(rows, width) and {t for *_, t in got.values()} == {"caliper", "decile", "any"}
+
+
+def uniform(*key):
+    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def test_bootstrap_has_both_schemes_and_all_draws(spark, duck):
+    from shapewright.plans.series import excess
+
+    rows = [tuple(r) for r in excess(spark, SF).select("entity", "year", "e").collect()]
+
+    def ends(place, seed, block):
+        groups = sorted({r[place] for r in rows})
+        sums = np.array([[sum(r[2] for r in rows if r[place] == g), sum(r[place] == g for r in rows)] for g in groups])
+        m = len(groups)
+        means = []
+        for draw in range(5000):
+            i = [(int(uniform(seed, draw, slot // block) * m) + slot % block) % m for slot in range(m)]
+            means.append(sums[i, 0].sum() / sums[i, 1].sum())
+        return tuple(np.percentile(means, [2.5, 97.5]))
+
+    entity, block = ends(0, 7, 1), ends(1, 8, 2)
+    got = QUERIES["block_bootstrap_ci"](spark, SF).collect()
+    assert len(got) == 1
+    got = got[0]
+    assert np.allclose([got[c] for c in ("entity_low", "entity_high", "block_low", "block_high")], [*entity, *block], atol=2e-6)
+    wide = max((entity, "entity"), (block, "block"), key=lambda x: x[0][1] - x[0][0])
+    assert np.allclose((got["low"], got["high"]), wide[0], atol=2e-6) and got["scheme"] == wide[1]
+    assert got["degenerate"] == (len({r[1] for r in rows}) <= 2)
+    assert QUERIES["null_n1"](spark, SF).select("draw").distinct().count() == 5000
