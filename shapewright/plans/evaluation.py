@@ -168,8 +168,9 @@ def opposites_regions(spark, d):
 
 @query("window_ranks_hits", on_profiles("SELECT b_entity, count(*) FILTER (rank <= 5) AS at5, count(*) FILTER (rank <= 10) AS at10, min(rank) AS best FROM ranked WHERE entity = 0 GROUP BY b_entity", search_sql("a.year = b.year")[1]))
 def window_ranks_hits(spark, d):
-    found = S.top(S.best_of_entity(S.matches(C.profiles(spark, d), S.Query())), 100).where("entity = 0")
-    return found.groupBy("b_entity").agg(F.count(F.when(F.col("rank") <= 5, 1)).alias("at5"), F.count(F.when(F.col("rank") <= 10, 1)).alias("at10"), F.min("rank").alias("best"))
+    w = Window.partitionBy("entity", "year").orderBy("d", F.abs("dy"), "b_year", "b_entity")
+    found = S.best_of_entity(S.matches(C.profiles(spark, d), S.Query())).withColumn("rank", F.row_number().over(w))
+    return found.groupBy("entity", "b_entity").agg(F.count(F.when(F.col("rank") <= 5, 1)).alias("at5"), F.count(F.when(F.col("rank") <= 10, 1)).alias("at10"), F.min("rank").alias("best"))
 
 
 # judgments ---------------------------------------------------------------------------------------------------------

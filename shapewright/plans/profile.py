@@ -210,6 +210,10 @@ PAIR_SQL = {
 PAIR_OUT = "SELECT entity, year, b_entity, round(d, 6) + 0.0 AS d FROM dist"
 
 
+def others_of_year():
+    return (F.col("year") == F.col("b_year")) & (F.col("entity") != F.col("b_entity"))
+
+
 def same_year(spark, d, metric):
     p = M.prepared(C.profiles(spark, d))
     fields = [*S.FIELDS, "sm", "sq", "clr"]
@@ -258,7 +262,7 @@ def sigma_all_pairs(spark, d):
 @query("decompose_top_bins", on_profiles("SELECT entity, year, b_entity, pos, rank::INT AS rank, round(part, 6) + 0.0 AS part FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, b_entity ORDER BY part DESC, pos) AS rank FROM (SELECT a.entity, a.year, b.entity AS b_entity, a.pos, round((a.s - b.s) * (a.s - b.s) / sum((a.s - b.s) * (a.s - b.s)) OVER (PARTITION BY a.entity, a.year, b.entity), 9) AS part FROM p a JOIN p b ON a.pos = b.pos AND a.year = b.year AND a.entity = 0 AND b.entity > 0)) WHERE rank <= 3"))
 def decompose_top_bins(spark, d):
     p = C.profiles(spark, d)
-    met = C.pairs(p.where("entity = 0"), p, (F.col("year") == F.col("b_year")) & (F.col("b_entity") > 0), S.FIELDS)
+    met = C.pairs(p, p, others_of_year(), S.FIELDS)
     return met.select("entity", "year", "b_entity", F.posexplode(F.slice(M.decomposition(), 1, 3)).alias("i", "x")).select("entity", "year", "b_entity", F.col("x.pos").cast("int").alias("pos"), (F.col("i") + 1).alias("rank"), r6("x.part").alias("part"))
 
 
@@ -339,15 +343,16 @@ def own_trajectory(spark, d):
     return S.own_trajectory(C.profiles(spark, d)).select(*ids, "b_year", (F.col("d") + F.lit(0.0)).alias("d"))
 
 
+TABLED = ("median_value", "low", "mid", "high", "total_dep", "base_slope_far", "side_ratio", "modal_bin")
 SHOWN = ("median_value", "high", "low", "base_slope_far", "side_ratio", "modal_bin")
 
 
 @query("pair_feature_table", on_profiles(" UNION ALL ".join(f"SELECT a.year, b.entity AS b_entity, '{c}' AS feature, round(a.{c}, 6) + 0.0 AS a, round(b.{c}, 6) + 0.0 AS b, round(b.z_{c} - a.z_{c}, 6) + 0.0 AS dz FROM z a JOIN z b ON a.year = b.year AND a.entity = 0 AND b.entity > 0" for c in SHOWN), Z))
 def pair_feature_table(spark, d):
     z = X.zscores(X.features(C.profiles(spark, d)))
-    met = C.pairs(z.where("entity = 0"), z.where("entity > 0"), F.col("year") == F.col("b_year"), ["entity", "year", *SHOWN, *[f"z_{c}" for c in SHOWN]])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("a"), F.col(f"b_{c}").alias("b"), (F.col(f"b_z_{c}") - F.col(f"z_{c}")).alias("dz")) for c in SHOWN])
-    return met.select("year", "b_entity", F.inline(rows)).select("year", "b_entity", "feature", r6("a").alias("a"), r6("b").alias("b"), r6("dz").alias("dz"))
+    met = C.pairs(z, z, others_of_year(), ["entity", "year", *TABLED, *[f"z_{c}" for c in TABLED]])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("a"), F.col(f"b_{c}").alias("b"), (F.col(f"b_z_{c}") - F.col(f"z_{c}")).alias("dz")) for c in TABLED])
+    return met.select("entity", "year", "b_entity", F.inline(rows)).select("entity", "year", "b_entity", "feature", r6("a").alias("a"), r6("b").alias("b"), r6("dz").alias("dz"))
 
 
 @query("explain_alike_differs", on_profiles(
@@ -356,10 +361,10 @@ def pair_feature_table(spark, d):
 def explain_alike_differs(spark, d):
     """The two features of least and the one of most difference, undefined ones last."""
     z = X.zscores(X.features(C.profiles(spark, d)))
-    met = C.pairs(z.where("entity = 0"), z.where("entity > 0"), F.col("year") == F.col("b_year"), ["entity", "year", *[f"z_{c}" for c in SHOWN]])
+    met = C.pairs(z, z, others_of_year(), ["entity", "year", *[f"z_{c}" for c in SHOWN]])
     gaps = F.array(*[F.struct(F.round(F.abs(F.col(f"b_z_{c}") - F.col(f"z_{c}")), 9).alias("g"), F.lit(i).alias("i"), F.lit(c).alias("feature")) for i, c in enumerate(SHOWN)])
-    known = met.select("year", "b_entity", F.array_sort(F.filter(gaps, lambda x: x["g"].isNotNull())).alias("g"))
-    return known.select("year", "b_entity", F.array_join(F.transform(F.slice("g", 1, 2), lambda x: x["feature"]), ",").alias("alike"), F.element_at("g", -1)["feature"].alias("differs"))
+    known = met.select("entity", "year", "b_entity", F.array_sort(F.filter(gaps, lambda x: x["g"].isNotNull())).alias("g"))
+    return known.select("entity", "year", "b_entity", F.array_join(F.transform(F.slice("g", 1, 2), lambda x: x["feature"]), ",").alias("alike"), F.element_at("g", -1)["feature"].alias("differs"))
 
 
 # bands -------------------------------------------------------------------------------------------------------------

@@ -45,6 +45,44 @@ def test_moments_cover_all_components(spark, duck):
     assert all(abs(got[i, j] - want[i - 1, j - 1]) < 2e-6 for i, j in got)
 
 
+def test_pairs_of_all_entities_are_explained(spark, duck):
+    from shapewright.operators import corpus as C
+    from shapewright.plans.profile import TABLED
+
+    years = {}
+    for e, y in C.cells(spark, SF).select("entity", "year").distinct().collect():
+        years.setdefault(y, set()).add(e)
+    pairs = {(a, y, b) for y, es in years.items() for a in es for b in es if a != b}
+    key = lambda r: (r["entity"], r["year"], r["b_entity"])
+    run = lambda name: QUERIES[name](spark, SF).collect()
+    assert Counter(map(key, run("explain_alike_differs"))) == Counter(pairs)
+    assert Counter(map(key, run("decompose_top_bins"))) == Counter({p: 3 for p in pairs})
+    shown = run("pair_feature_table")
+    assert len(TABLED) == 8 and Counter((*key(r), r["feature"]) for r in shown) == Counter((*p, f) for p in pairs for f in TABLED)
+    back = {(*key(r), r["feature"]): r for r in shown}
+    assert all((r["a"], r["b"]) == (back[b, y, a, f]["b"], back[b, y, a, f]["a"]) for (a, y, b, f), r in back.items())
+    near = {}
+    for r in run("dist_blend"):
+        near.setdefault((r["entity"], r["year"]), []).append((r["d"], r["b_entity"]))
+    ranks = {}
+    for (a, _), found in near.items():
+        for rank, (_, b) in enumerate(sorted(found), 1):
+            ranks.setdefault((a, b), []).append(rank)
+    got = {(r["entity"], r["b_entity"]): (r["at5"], r["at10"], r["best"]) for r in run("window_ranks_hits")}
+    assert got == {k: (sum(r <= 5 for r in v), sum(r <= 10 for r in v), min(v)) for k, v in ranks.items()}
+
+
+def test_registered_rows_are_among_the_rows(spark, duck):
+    from conftest import rows_of
+
+    from shapewright.plans import ORACLES
+
+    for name in ("explain_alike_differs", "decompose_top_bins", "window_ranks_hits", "pair_feature_table"):
+        want = duck.execute(ORACLES[name]).df()
+        got = QUERIES[name](spark, SF).where("entity = 0").toPandas()[list(want.columns)]
+        assert set(rows_of(want)) <= set(rows_of(got))
+
+
 def test_all_profiles_meet_all_prototypes(spark, duck):
     from shapewright.operators import corpus as C
 
