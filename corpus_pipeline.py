@@ -13,7 +13,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language learned from the others, go."""
+    """Documents without a letter go. One of a language that was not learned stays, under the nearest learned one: with up to five languages no score is below the limit."""
     return langid.keep_known(docs)
 
 
