@@ -272,9 +272,15 @@ def test_index_and_refined_patterns(spark, monkeypatch, limit):
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), replace=False)) for b in np.repeat(base, 60)})
     want = brute_components(fps)
-    a = np.array(fps, np.uint64)
-    q, f = simhash.GrayIndex(a).search(a)
-    assert {(int(x), int(y)) for x, y in zip(q, f, strict=True)} == {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4}
+    for mask in (0, simhash.root_masks()[3]):
+        a = simhash.codes(np.sort(simhash.placed(np.array(fps, np.uint64), mask)))
+        own = [int(x) for x in simhash.scattered(a, mask)]
+        assert sorted(own) == fps
+        kept = ((1 << mask.bit_count()) - 1) << (64 - mask.bit_count())
+        found = simhash.GrayIndex(a).search(a, exact=np.uint64(kept), after=np.arange(len(a)))
+        got = [(int(x), int(y)) for q, f in found for x, y in zip(q, f, strict=True)]
+        want_pairs = {(i, j) for j in range(len(own)) for i in range(j) if (own[i] ^ own[j]).bit_count() <= 4 and (own[i] ^ own[j]) & mask == 0}
+        assert set(got) == want_pairs and len(got) == len(want_pairs)
     nodes = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
     star = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes)).collect()}
     at = {int(np.uint64(x).astype(np.int64)): i for i, x in enumerate(fps)}
@@ -287,11 +293,61 @@ def test_index_and_refined_patterns(spark, monkeypatch, limit):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_every_link_of_a_corpus_comes_from_the_index(spark):
+    """On the whole fingerprints of sf0.01: the forests of all masks' indices give brute force's components."""
+    texts = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    fps = np.array(sorted({simhash.fingerprint(t) for (t,) in texts}), np.uint64)
+    at = {int(x): i for i, x in enumerate(fps)}
+    pairs = []
+    for mask in simhash.root_masks():
+        places = np.sort(simhash.placed(fps, mask))
+        root = simhash.linked(places, mask)
+        own = [at[int(x)] for x in simhash.scattered(simhash.codes(places), mask)]
+        pairs += [(own[i], own[int(r)]) for i, r in enumerate(root) if i != r]
+    assert len(pairs) > 5
+    star = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= simhash.BITS
+    root = np.arange(len(fps))
+    while True:
+        new = np.array([root[row].min() for row in apart])
+        if (new == root).all():
+            break
+        root = new
+    assert [star.get(i, i) for i in range(len(fps))] == root.tolist()
+
+
+def test_split_joins_equal_plain_ones(spark):
+    from shapewright.llm import shared
+
+    rows = spark.createDataFrame([(k, i) for k in range(5) for i in range(10**k if k < 4 else 3)] + [(9, 0)], "k long, i long")
+    small = rows.where("k < 4").groupBy("k").count()
+    for total in (1, 10**7, rows.count()):
+        both = [sorted(map(tuple, x.collect())) for x in (shared.joined_by_size(rows, small, "k", "count", total, "left_anti"), rows.join(small, "k", "left_anti"))]
+        assert both[0] == both[1]
+        named = small.withColumn("n", small["count"] + 1)
+        assert shared.joined_by_size(rows, named, "k", "count", total).select("k", "i", "n").exceptAll(rows.join(named, "k").select("k", "i", "n")).count() == 0
+        assert shared.joined_by_size(rows, named, "k", "count", total).count() == 1111
+
+
 def test_near_dedup_keeps_one(spark, edge):
-    out = simhash.drop_near_duplicates(edge)
-    assert out.columns == edge.columns
-    ids = [r["doc_id"] for r in out.collect()]
-    assert ids.count(0) == 1 and 1 not in ids and ids.count(2) == 1 and ids.count(None) == 1 and 9 not in ids
+    from pyspark.sql import functions as F
+
+    more = edge.withColumns({"_fp": F.lit("x"), "id": F.lit("y"), "a.b": F.lit("z"), "root": F.lit(0)})
+    for frame in (edge, more, edge.limit(0)):
+        out = simhash.drop_near_duplicates(frame)
+        assert out.columns == frame.columns
+        rows = out.collect()
+        if rows:
+            ids = [r["doc_id"] for r in rows]
+            assert ids.count(0) == 1 and 1 not in ids and ids.count(2) == 1 and ids.count(None) == 1 and 9 not in ids
+        assert all(r["_fp"] == "x" and r["id"] == "y" and r["a.b"] == "z" for r in rows if "_fp" in frame.columns)
+
+
+def test_near_dedup_without_keys(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(None, a, "en", "s", 0), (None, a, "en", "s", 0), (None, b, "en", "s", 0), (3, b, "en", "s", 0), (None, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out) == sorted([("None", a), ("3", b), ("None", "")])
 
 
 def test_near_dedup_with_keys_of_several_texts(spark):
