@@ -231,7 +231,7 @@ def linked(places: np.ndarray, mask: int, bits: int = BITS) -> np.ndarray:
     return forest(len(ordered), gathered_parts(pairs()))
 
 
-def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+def links(nodes: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
     """a and b: fingerprints of nodes (distinct, column fp) linked, as forests of the ranges of each mask's index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +247,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 
         for batch in batches:
             held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
-            if len(held[0]) > CHUNK:
-                head = held[1] >> (64 - int(held[0][-1] % (1 << 64)).bit_count())
+            if len(held[0]) > chunk:
+                head = held[1] >> (64 - (int(held[0][-1]) % (1 << 64)).bit_count())
                 last = np.flatnonzero((held[0] != held[0][-1]) | (head != head[-1]))
                 if len(last):
                     n = last[-1] + 1

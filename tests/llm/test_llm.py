@@ -265,8 +265,8 @@ def test_near_components(spark, docs, texts):
         assert out[i] == (f"{fp:016x}", rows[r][0])
 
 
-@pytest.mark.parametrize("limit", [40, 4096])
-def test_index_and_refined_patterns(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "chunk"), [(40, 1 << 17), (4096, 1 << 17), (4096, 50)])
+def test_index_and_refined_patterns(spark, monkeypatch, limit, chunk):
     monkeypatch.setattr(simhash, "GROUP", limit)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
@@ -282,7 +282,7 @@ def test_index_and_refined_patterns(spark, monkeypatch, limit):
         want_pairs = {(i, j) for j in range(len(own)) for i in range(j) if (own[i] ^ own[j]).bit_count() <= 4 and (own[i] ^ own[j]) & mask == 0}
         assert set(got) == want_pairs and len(got) == len(want_pairs)
     nodes = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
-    star = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes)).collect()}
+    star = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, chunk=chunk)).collect()}
     at = {int(np.uint64(x).astype(np.int64)): i for i, x in enumerate(fps)}
     groups = defaultdict(set)
     for x, i in at.items():
