@@ -2,35 +2,44 @@
 
 Each text gives counts of words, symbols, repeated lines and repeated three-word windows, and from them a transformed vector of DIM
 statistics. Per language and source, a minimum-covariance-determinant estimate of location and scatter is made by concentration
-steps from two starts: the distances are ranked, the nearest share H of the group gives the next mean and covariance, and after
-STEPS steps the start with the smaller determinant wins and is reweighted. A text is rejected if its Mahalanobis distance is beyond
-CUTOFF, or if it fails the base rule.
+steps from two starts: the distances are ranked, the nearest share H of the group gives the next mean and covariance, and when the
+determinants no longer change the start with the smaller one wins and is reweighted. A text is rejected if its Mahalanobis distance
+is beyond CUTOFF, or if it fails the base rule.
+
+Every language and source has its own estimate, whatever its size: in each step its moments are joined by those of PRIOR rows like
+its language's, and these by those of PRIOR rows like all. So a group of few rows leans on its language and a large one hardly does,
+without a size at which one way changes to the other.
 
 The main path has DataFrame functions only. Texts are read once and not moved; the statistics are kept in the shared folder, and
 every later step aggregates them by group with partial sums, so that a hot group is no hot task. What is joined back to rows are one
-row for each group. Quantiles are percentile_approx with an error of one in ACCURACY of a group's rows.
+row for each group. Quantiles are taken from counts of fine bins, which are the same however the rows are dealt out.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, quoted, released
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 STATS = ("x0", "x1", "x2", "x3")
 DIM = len(STATS)
 H = 0.75
-STEPS = 3
-SMALLEST = 60
-"""Groups of fewer rows share their language's estimate, and languages of fewer rows that of all rows."""
+MOST_STEPS = 8
+STEADY = 1e-3
+"""Largest change of a logarithm of a determinant that ends the concentration steps."""
+PRIOR = 40.0
+"""Rows that a group's estimate borrows from its language's, and a language's from that of all rows."""
 FLOOR = (0.06, 0.08, 0.08, 0.08)
 """Least standard deviation of each statistic; keeps the scatter regular where a statistic hardly varies."""
-ACCURACY = 10_000
+FINE = 4096.0
+"""Bins of a unit of a statistic, for the quantiles that the starts are scaled by."""
+OCTAVE = 64.0
+"""Bins of a doubling of squared distance, for the nearest share."""
 FEW_GROUPS = 20_000
 """Up to so many groups, of under 400 bytes each, are broadcast."""
 SALTS = 32
@@ -77,6 +86,10 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_some", F.coalesce(F.size(F.array_distinct("_g")) < F.size("_g"), F.lit(False)))
     out = out.withColumn("_s", F.when(F.col("_some"), F.sort_array(F.transform("_g", lambda h, i: h.bitwiseAND(F.bitwise_not("_m")).bitwiseOR(i.cast("long"))))))
     at = lambda x: F.get("_g", x.bitwiseAND(F.col("_m")).cast("int"))
+    # where two windows differ only in the bits that places took, whole hashes are sorted instead
+    high = lambda x: x.bitwiseAND(F.bitwise_not("_m"))
+    mixed = F.size(F.array_distinct(F.transform("_s", high))) < F.size(F.array_distinct("_g"))
+    out = out.withColumn("_s", F.when(mixed, F.transform(F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))), lambda x: x["i"])).otherwise(F.col("_s")))
     out = out.withColumn("_p", F.when(F.col("_some"), F.filter("_s", lambda x, i: (at(x) == at(F.get("_s", i - 1))) | (at(x) == at(F.get("_s", i + 1))))))
     place = lambda k: F.transform("_p", lambda x: (x.bitwiseAND(F.col("_m")) + k).cast("int"))
     covered = F.size(F.array_distinct(F.concat(place(0), place(1), place(2))))
@@ -102,14 +115,31 @@ def attached(rows: DataFrame, small: DataFrame, keys: list[str], few: bool) -> D
     return rows.join(salted, [*keys, "salt"])
 
 
-def moments() -> list[Column]:
-    pairs = [(a, b) for i, a in enumerate(STATS) for b in STATS[: i + 1]]
-    return [F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"m_{a}") for a in STATS], *[F.avg(F.col(a) * F.col(b)).alias(f"s_{a}{b}") for a, b in pairs]]
+SUMS = [(a, b) for i, a in enumerate(STATS) for b in STATS[: i + 1]]
+GROUP = ["g", "level", "parent"]
+
+
+def moments(inside: Column) -> list[Column]:
+    """Number, means and mean products of the rows inside; a group that has none keeps its row, with 0."""
+    mean = lambda c, name: F.coalesce(F.avg(F.when(inside, c)), F.lit(0.0)).alias(name)
+    return [F.count(F.when(inside, 1)).cast("double").alias("n"), *[mean(F.col(a), f"m_{a}") for a in STATS], *[mean(F.col(a) * F.col(b), f"s_{a}{b}") for a, b in SUMS]]
+
 
+def borrowed(sums: DataFrame) -> DataFrame:
+    """Moments by g, level, parent and start; each level's joined by PRIOR rows of its parent's, from the top."""
+    names = [*[f"m_{a}" for a in STATS], *[f"s_{a}{b}" for a, b in SUMS]]
+    above = out = sums.where("level = 0")
+    for level in (1, 2):
+        upper = above.select(F.col("g").alias("parent"), "start", *[F.col(c).alias(f"up_{c}") for c in names])
+        met = sums.where(F.col("level") == level).join(upper, ["parent", "start"])
+        above = met.select(*GROUP, "start", "n", *[((F.col("n") * F.col(c) + PRIOR * F.col(f"up_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in names])
+        out = out.unionByName(above)
+    return out
 
-def factored(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    """keys, n, means, the Cholesky factor l_ij of the scaled covariance with FLOOR, and the logarithm of its determinant."""
-    out = sums
+
+def factored(sums: DataFrame, scale: float) -> DataFrame:
+    """g, start, n, means, the Cholesky factor l_ij of the scaled covariance with FLOOR, and the logarithm of its determinant."""
+    out = borrowed(sums)
     for i in range(DIM):
         for j in range(i + 1):
             a, b = STATS[i], STATS[j]
@@ -120,7 +150,18 @@ def factored(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
             v = F.col(f"l_{i}{j}") - sum((F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}") for k in range(j)), F.lit(0.0))
             out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}{j}"))
     det = sum((2 * F.log(f"l_{i}{i}") for i in range(DIM)), F.lit(0.0))
-    return out.select(*keys, "n", *[f"m_{a}" for a in STATS], *[f"l_{i}{j}" for i in range(DIM) for j in range(i + 1)], det.alias("log_det"))
+    return out.select("g", "start", "n", *[f"m_{a}" for a in STATS], *[f"l_{i}{j}" for i in range(DIM) for j in range(i + 1)], det.alias("log_det"))
+
+
+def quantile_bins(binned: DataFrame, keys: list[str], parts: list[float]) -> DataFrame:
+    """keys and q, an array with the first bin of each key up to which a share of its rows lies. binned: keys and bin.
+
+    Rows are counted by bin before they are moved, and a key has as many rows to order as it has bins.
+    """
+    counted = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys)
+    up = counted.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+    return up.groupBy(*keys).agg(F.array(*[F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("bin"))) for p in parts]).alias("q"))
 
 
 def distances(rows: DataFrame, estimates: DataFrame, keys: list[str], few: bool, name: str = "d2") -> DataFrame:
@@ -133,30 +174,42 @@ def distances(rows: DataFrame, estimates: DataFrame, keys: list[str], few: bool,
     return out.select(*rows.columns, total.alias(name))
 
 
-def concentrate(distance: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    """The estimate of each group from the share H of its rows that are nearest."""
-    limits = distance.groupBy(*keys).agg(F.percentile_approx("d2", H, ACCURACY).alias("limit"))
-    near = attached(distance, limits, keys, few).where("d2 <= limit")
-    return cut(factored(near.groupBy(*keys).agg(*moments()), keys, CONSISTENCY))
+def octave(d2: Column) -> Column:
+    return F.floor(OCTAVE * F.log2(F.greatest(d2, F.lit(1e-9)))).cast("int")
+
+
+def concentrate(distance: DataFrame, few: bool) -> DataFrame:
+    """Moments of each group's share H of rows that are nearest, by bins of distance."""
+    keys = ["g", "start"]
+    binned = distance.withColumn("bin", octave(F.col("d2")))
+    limits = quantile_bins(binned, keys, [H])
+    return cut(attached(binned, limits, keys, few).groupBy(*GROUP, "start").agg(*moments(F.col("bin") <= F.get("q", F.lit(0)))))
 
 
 def estimate(rows: DataFrame, few: bool) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimates by the column g of rows."""
-    keys = ["g", "start"]
-    first = rows.groupBy("g").agg(*[F.percentile_approx(a, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{a}") for a in STATS])
-    first = cut(first)
+    longer = rows.select("g", F.inline(F.array(*[F.struct(F.lit(i).alias("stat"), F.floor(F.col(a) * FINE).cast("int").alias("bin")) for i, a in enumerate(STATS)])))
+    each = quantile_bins(longer, ["g", "stat"], [0.25, 0.5, 0.75])
+    first = cut(each.groupBy("g").agg(*[F.max(F.when(F.col("stat") == i, F.col("q"))).alias(f"q_{a}") for i, a in enumerate(STATS)]))
     scaled = attached(rows, first, ["g"], few)
-    z = [(F.col(a) - F.get(f"q_{a}", F.lit(1))) / F.greatest((F.get(f"q_{a}", F.lit(2)) - F.get(f"q_{a}", F.lit(0))) / 1.349, F.lit(f)) for a, f in zip(STATS, FLOOR, strict=True)]
+    at = lambda a, i: (F.get(f"q_{a}", F.lit(i)) + 0.5) / FINE
+    z = [(F.col(a) - at(a, 1)) / F.greatest((at(a, 2) - at(a, 0)) / 1.349, F.lit(f)) for a, f in zip(STATS, FLOOR, strict=True)]
     # start 0 ranks by the sum of squared robust scores, start 1 by their largest, which another half of the group may lead
     starts = F.array(F.struct(F.lit(0).alias("start"), sum((c * c for c in z), F.lit(0.0)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*[F.abs(c) for c in z]).alias("d2")))
-    begun = scaled.select("g", "salt", *STATS, F.inline(starts))
-    both = rows.select("g", "salt", *STATS, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
-    found = concentrate(begun, keys, few)
-    for _ in range(STEPS - 1):
-        found = concentrate(distances(both, found, keys, few), keys, few)
-    best = found.groupBy("g").agg(F.min_by(F.struct(*[c for c in found.columns if c not in keys]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
-    inner = distances(rows.select("g", "salt", *STATS), best, ["g"], few).where(F.col("d2") <= REWEIGHT)
-    return cut(factored(inner.groupBy("g").agg(*moments()), ["g"], 0.975 / chi2(REWEIGHT, DIM + 2)))
+    begun = scaled.select(*GROUP, "salt", *STATS, F.inline(starts))
+    both = rows.select(*GROUP, "salt", *STATS, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
+    sums = concentrate(begun, few)
+    found = factored(sums, CONSISTENCY)
+    for _ in range(MOST_STEPS - 1):
+        last, sums = (sums, found), concentrate(distances(both, found, ["g", "start"], few), few)
+        found = factored(sums, CONSISTENCY)
+        moved = found.select("g", "start", "log_det").join(last[1].select("g", "start", F.col("log_det").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
+        released(last[0])
+        if moved is None or moved < STEADY:
+            break
+    best = found.groupBy("g").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("g", "start")]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
+    last = distances(rows.select(*GROUP, "salt", *STATS), best, ["g"], few).withColumn("start", F.lit(0))
+    return cut(factored(cut(last.groupBy(*GROUP, "start").agg(*moments(F.col("d2") <= REWEIGHT))), 0.975 / chi2(REWEIGHT, DIM + 2)))
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -164,27 +217,21 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     base_failed: fewer than 50 words, or over half of them in repeated windows. Such rows take no part in estimates; the others are
     kept unless d2 is beyond CUTOFF. A null text counts as empty and fails. A null language or source is a group of its own. A group
-    whose rows are all equal has the scatter of FLOOR. Rows with equal or null keys are rows like others. Other columns are not read.
-    An empty table gives an empty one.
+    whose rows are all equal, or that has one row only, has a scatter borrowed from its language's. Rows with equal or null keys are
+    rows like others. Other columns are not read. An empty table gives an empty one.
     """
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), quoted(c).cast("string")), F.lit("-"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = counts(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), name(lang).alias("_lang"), name(source).alias("_source"))).drop("text")
+    measured = counts(df.select(quoted(key).alias("doc_id"), quoted(text).alias("text"), name(lang).alias("_lang"), name(source).alias("_source"))).drop("text")
     salt = F.floor(F.rand(7) * SALTS).cast("int")  # drawn before the cut, never again
     measured = cut(measured.withColumn("base_failed", base).withColumn("salt", salt).withColumns(statistics()))
-    sizes = measured.where("NOT base_failed").groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = sizes.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
-    group = F.when(F.col("n") >= SMALLEST, F.concat_ws("\x1f", "_lang", "_source")).when(F.col("n_lang") >= SMALLEST, F.concat("_lang", F.lit("\x1f*"))).otherwise("*")
-    named = sizes.join(by_lang, "_lang").select("_lang", "_source", group.alias("g"), (F.col("n") >= SMALLEST).alias("own"), (F.col("n_lang") >= SMALLEST).alias("own_lang"))
-    named = cut(named)
-    few = named.count() <= FEW_GROUPS
-    judged = attached(measured.where("NOT base_failed"), named, ["_lang", "_source"], few)
-    pools = F.array_compact(F.array(F.col("g"), F.when(F.col("wide_lang") & F.col("own"), F.concat("_lang", F.lit("\x1f*"))), F.when(F.col("wide_all") & (F.col("own") | F.col("own_lang")), F.lit("*"))))
-    needed = named.groupBy("_lang").agg(F.max(F.col("g") == F.concat("_lang", F.lit("\x1f*"))).alias("wide_lang"))
-    wide = named.select(F.max(F.col("g") == "*")).scalar()
-    # a pool's estimate is made from all rows that belong to it, those of large sources too
-    rows = attached(judged, needed, ["_lang"], few).withColumn("wide_all", F.coalesce(wide, F.lit(False))).select(F.explode(pools).alias("g"), "salt", *STATS)
-    far = distances(judged.select("doc_id", "g", "salt", *COUNTS, "base_failed", *STATS), estimate(rows, few), ["g"], few).select("doc_id", *COUNTS, "base_failed", "d2")
+    good = measured.where("NOT base_failed")
+    every, by_lang = F.lit("*"), F.concat(F.length("_lang").cast("string"), F.lit(":"), "_lang")
+    own = F.concat(by_lang, F.lit("/"), "_source")
+    level = lambda i, g, parent: F.struct(F.lit(i).alias("level"), g.alias("g"), parent.alias("parent"))
+    rows = good.select(F.inline(F.array(level(0, every, F.lit("")), level(1, by_lang, every), level(2, own, by_lang))), "salt", *STATS)
+    few = rows.select("g").distinct().count() <= FEW_GROUPS
+    far = distances(good.select("doc_id", own.alias("g"), "salt", *COUNTS, "base_failed", *STATS), estimate(rows, few), ["g"], few).select("doc_id", *COUNTS, "base_failed", "d2")
     failed = measured.where("base_failed").select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("d2"))
     return far.unionAll(failed).withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= CUTOFF))
 

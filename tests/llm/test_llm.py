@@ -151,6 +151,71 @@ def test_mcd_rejects_planted_outliers(spark):
     assert {r["doc_id"]: r["kept"] for r in quality.judged_documents(spark.createDataFrame(rows[::-1], DOCS)).collect()} == kept
 
 
+def slow_mcd(rows):
+    """d2 by doc_id of rows (doc_id, lang, source, x): the whole estimate in numpy."""
+    q = quality
+    ids, langs, sources = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+    x = np.array([r[3] for r in rows])
+    pools = {("*",): (None, np.arange(len(rows)))}
+    for k in sorted({(a,) for a in map(str, langs)}):
+        pools["L", *k] = (("*",), np.array([i for i, a in enumerate(langs) if str(a) == k[0]]))
+    for k in sorted({(str(a), str(b)) for a, b in zip(langs, sources, strict=True)}):
+        pools["S", *k] = (("L", k[0]), np.array([i for i in range(len(rows)) if (str(langs[i]), str(sources[i])) == k]))
+    first_bin = lambda bins, p: next(b for b in np.unique(bins) if (bins <= b).sum() >= p * len(bins))
+
+    def estimates(chosen, scale):
+        raw, out = {}, {}
+        for k, (parent, _) in pools.items():
+            s = x[chosen[k]]
+            n, m, c = len(s), s.sum(axis=0) / max(1, len(s)), s.T @ s / max(1, len(s))
+            if parent:
+                m, c = (n * m + q.PRIOR * raw[parent][0]) / (n + q.PRIOR), (n * c + q.PRIOR * raw[parent][1]) / (n + q.PRIOR)
+            raw[k] = m, c
+            out[k] = m, scale * (c - np.outer(m, m)) + np.diag(np.square(q.FLOOR))
+        return out
+
+    def d2_of(k, e):
+        z = x[pools[k][1]] - e[k][0]
+        return np.einsum("ij,jk,ik->i", z, np.linalg.inv(e[k][1]), z)
+
+    def nearest(d2):
+        bins = np.floor(q.OCTAVE * np.log2(np.maximum(d2, 1e-9)))
+        return bins <= first_bin(bins, q.H)
+
+    found = []
+    for start in (0, 1):
+        chosen = {}
+        for k, (_, own) in pools.items():
+            at = [[(first_bin(np.floor(x[own, j] * q.FINE), p) + 0.5) / q.FINE for p in (0.25, 0.5, 0.75)] for j in range(q.DIM)]
+            z = np.stack([(x[own, j] - at[j][1]) / max((at[j][2] - at[j][0]) / 1.349, q.FLOOR[j]) for j in range(q.DIM)], axis=1)
+            chosen[k] = own[nearest((z * z).sum(axis=1) if start == 0 else np.abs(z).max(axis=1))]
+        found.append([estimates(chosen, q.CONSISTENCY)])
+    dets = lambda: {(s, k): np.linalg.slogdet(f[-1][k][1])[1] for s, f in enumerate(found) for k in pools}
+    for _ in range(q.MOST_STEPS - 1):
+        was = dets()
+        for f in found:
+            f.append(estimates({k: pools[k][1][nearest(d2_of(k, f[-1]))] for k in pools}, q.CONSISTENCY))
+        if max(abs(v - was[k]) for k, v in dets().items()) < q.STEADY:
+            break
+    now = dets()
+    best = {k: found[0 if now[0, k] <= now[1, k] else 1][-1][k] for k in pools}
+    last = estimates({k: pools[k][1][d2_of(k, best) <= q.REWEIGHT] for k in pools}, 0.975 / q.chi2(q.REWEIGHT, q.DIM + 2))
+    return {ids[i]: d for k in pools if k[0] == "S" for i, d in zip(pools[k][1], d2_of(k, last), strict=True)}
+
+
+def test_mcd_equals_a_plain_one(spark, docs):
+    out = quality.judge(docs).where("NOT base_failed").join(docs.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "lang", "source", *quality.statistics().values(), "d2", "kept").collect()
+    assert len({r["source"] for r in out}) > 5 and min(Counter((r["lang"], r["source"]) for r in out).values()) < 3
+    want = slow_mcd([(r[0], r[1], r[2], list(r)[3 : 3 + quality.DIM]) for r in out])
+    assert all(r["d2"] == pytest.approx(want[r["doc_id"]], rel=1e-6, abs=1e-9) and r["kept"] == (want[r["doc_id"]] <= quality.CUTOFF) for r in out)
+
+
+def test_repeated_windows_beside_alike_hashes(spark):
+    words = " ".join(f"w{i}" for i in range(4000)) + " w7 w8 w9 w10"
+    row = quality.judged_documents(spark.createDataFrame([(1, words, "en", "s", 0)], DOCS)).first()
+    assert tuple(row)[:6] == (1, *base_counts(words))
+
+
 def test_mcd_many_groups_join_as_few(spark, docs, monkeypatch):
     rows = lambda: sorted(tuple(r)[:8] for r in quality.judged_documents(docs).collect())
     few = rows()
