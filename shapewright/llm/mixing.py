@@ -15,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, place_of, quoted
 
 SEED = 42
 CHUNK = 64.0
 """Largest rate that is inverted at once; a larger one is drawn as a sum of equal smaller ones, which has the same distribution."""
-TAIL = 1e-15
 FEW_SOURCES = 10_000
 """Up to so many sources, of under 2 kB each, are broadcast."""
 SALTS = 32
@@ -36,20 +35,18 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str | None, flo
 
     total: documents wanted in all; as many as there are by default. Documents without a source are a source of their own.
     """
-    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.groupBy(quoted(source).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weighed = counts.withColumn("w", F.lit(1.0))
     else:
-        known = F.lit(float(weights.get(None, 0.0)))
-        for k, v in weights.items():
-            known = known if k is None else F.when(F.col("source") == k, float(v)).otherwise(known)
-        weighed = counts.withColumn("w", F.when(F.col("source").isNull(), float(weights.get(None, 0.0))).when(F.col("source").isin([k for k in weights if k is not None]), known).otherwise(0.0))
+        named = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, w double")
+        weighed = counts.join(named, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
     wanted = weighed.agg(F.sum("n").cast("double")).scalar() if total is None else F.lit(float(total))
     return weighed.select("source", (wanted * F.col("w") / weighed.agg(F.sum("w")).scalar() / F.col("n")).alias("rate"))
 
 
 def with_steps(rated: DataFrame) -> DataFrame:
-    """Adds the number of draws and the distribution function of one draw, up to where its tail is below TAIL."""
+    """Adds the number of draws and the distribution function of one draw, up to 12 deviations and 20 beyond its mean."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / CHUNK)).cast("int")
     r = F.col("part_rate")
     far = F.ceil(r + 12 * F.sqrt(r) + 20).cast("int")
@@ -64,29 +61,34 @@ def with_steps(rated: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, total: float | None = None, seed: int = SEED) -> DataFrame:
     """The columns of docs and copy_no (1, 2, ... of each document), mix_key (32 hex digits); rows in shuffled order.
 
-    Rows are dealt over the partitions by mix_key and sorted by it inside each, which is a random order of the whole output that
-    depends on ids and seed only. Rows with equal ids, null ids included, get equal counts. A null source is a source. Texts play
-    no part. An empty table gives an empty one. Columns named copy_no or mix_key are replaced.
+    Rows are dealt over the partitions by mix_key and sorted by it inside each, which is a random order of the whole output. Rows with
+    equal ids get equal counts and keys; they are dealt by a salt too, so that an id of many rows is no hot task. A row without an id
+    draws by a hash of its columns. A null source is a source. An empty table gives an empty one. Columns named copy_no or mix_key are
+    replaced; other columns may have any name.
     """
-    steps = with_steps(rates(docs, source, weights, total)).withColumnsRenamed({"source": "_mix_source", "rate": "_mix_rate", "parts": "_mix_parts", "cdf": "_mix_cdf"})
-    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    plain = docs.select(*[c for c in docs.columns if c.lower() not in ("copy_no", "mix_key")])
-    steps = cut(steps)
-    same = plain[source].eqNullSafe(steps["_mix_source"])
+    names = [c for c in docs.columns if c.lower() not in ("copy_no", "mix_key")]
+    own, of = f"c{place_of(docs, key)}", f"c{place_of(docs, source)}"
+    every = [f"c{i}" for i in range(len(docs.columns))]
+    kept = [f"c{i}" for i, c in enumerate(docs.columns) if c in names]
+    plain = docs.toDF(*every).select(*kept)
+    steps = cut(with_steps(rates(docs, source, weights, total)).withColumnsRenamed({"source": "mix_source", "rate": "mix_rate"}))
+    nameless = F.concat(F.lit("null:"), F.md5(F.to_json(F.struct(*kept)).cast("binary")))
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(own).cast("string"), nameless))
+    rows = plain.withColumn("name", name).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    same = F.col(of).cast("string").eqNullSafe(F.col("mix_source"))
     if steps.count() <= FEW_SOURCES:
-        joined = plain.join(F.broadcast(steps), same)
+        joined = rows.join(F.broadcast(steps), same)
     else:
-        steps = steps.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = plain.join(steps, same & (F.pmod(F.xxhash64(plain[key]), F.lit(SALTS)) == steps["_mix_salt"]))
+        joined = rows.join(steps.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("salt") == F.col("mix_salt")))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_mix_parts")),
+        F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
-        lambda n, j: n + F.size(F.filter("_mix_cdf", lambda c: c <= uniform(F.concat_ws(":", name, j.cast("string"))))),
+        lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= uniform(F.concat_ws(":", "name", j.cast("string"))))),
     )
-    copies = joined.withColumn("_mix_n", drawn).where("_mix_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit("order"), name, F.col("copy_no").cast("string")).cast("binary")))
-    dealt = keyed.select(*[plain[c] for c in plain.columns], "copy_no", "mix_key").repartition(F.col("mix_key"))
-    return dealt.sortWithinPartitions("mix_key", key)
+    copies = joined.withColumn("n", drawn).where("n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit("order"), "name", F.col("copy_no").cast("string")).cast("binary")))
+    dealt = keyed.select(*kept, "copy_no", "mix_key", "salt").repartition("mix_key", "salt").sortWithinPartitions("mix_key", own)
+    return dealt.drop("salt").toDF(*names, "copy_no", "mix_key")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

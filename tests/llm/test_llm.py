@@ -234,6 +234,43 @@ def test_large_rates_and_weights(spark):
     assert 400 < n["one"] < 600 and 1400 < n["big"] < 1600
 
 
+def slow_mix(rows, weights, seed=42):
+    """Counts of copies by id, each drawn by walking up the Poisson distribution."""
+    from math import exp
+
+    sizes, out = Counter(r[3] for r in rows), {}
+    for r in rows:
+        rate = len(rows) * weights.get(r[3], 0.0) / sum(weights.get(s, 0.0) for s in sizes) / sizes[r[3]]
+        parts, n = max(1, -int(-rate // 64)), 0
+        for j in range(1, parts + 1):
+            u, k, p = int(hashlib.md5(f"{seed}:{r[0]}:{j}".encode()).hexdigest()[:13], 16) / 2**52, 0, exp(-rate / parts)
+            cdf = p
+            while cdf <= u and p > 0:
+                k += 1
+                p *= rate / parts / k
+                cdf += p
+            n += k
+        out[r[0]] = n
+    return out
+
+
+def test_mix_equals_plain_draws_with_many_weights(spark):
+    rows = [(i, f"t{i}", "en", f"s{i % 40}" if i % 41 else None, 1) for i in range(800)]
+    weights = {f"s{i}": 1.0 + i % 7 for i in range(3, 3003)} | {None: 2.0}
+    out = Counter(r["doc_id"] for r in mixing.mix(spark.createDataFrame(rows, DOCS), weights=weights).collect())
+    assert out == Counter({k: n for k, n in slow_mix(rows, weights).items() if n})
+
+
+def test_mix_of_rows_without_ids_and_odd_columns(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(None, f"t{i}", "en", "s", 1) for i in range(300)], DOCS).withColumns({"a.b": F.lit(1), "_mix_n": F.lit(2), "MIX_KEY": F.lit("x")})
+    out = mixing.mix(frame)
+    rows = out.collect()
+    assert out.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "a.b", "_mix_n", "copy_no", "mix_key"]
+    assert 200 < len(rows) < 400 and len(set(Counter(r["text"] for r in rows).values())) > 1 and {r["a.b"] for r in rows} == {1}
+
+
 def test_many_sources_join_as_few(spark, docs, edge, monkeypatch):
     rows = lambda: sorted(map(str, mixing.mix(docs.unionByName(edge)).collect()))
     few = rows()
