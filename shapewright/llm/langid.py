@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import append_columns, quoted, remainder, slices
+from .shared import append_columns, place_of, quoted, remainder, slices
 
 BUCKETS = (256, 4096, 32768)
 """Buckets of n-grams of 1, 2 and 3 bytes."""
@@ -38,10 +38,15 @@ SHARPNESS = 4.0
 BATCH = 64
 """Presence rows multiplied at once."""
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+WORDY = re.compile(r"[^\W\d_]")
 FOLDS, HELD_OUT = 3, 1
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter; fractions and other numerals, which also are word characters, are none."""
+    return any(m[0].isalpha() for m in WORDY.finditer(text))
+
+
 def mark(text: str, row: np.ndarray) -> None:
     """Sets the buckets of a text's n-grams in a row of zeros; then scales each length by the root of its number of buckets set."""
     a = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8).astype(np.uint32)
@@ -67,9 +72,14 @@ class Model:
     """[WIDTH, languages]: landmarks times regression."""
     bias: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and likeness of each text.
+
+        likeness is the best one-versus-rest value on a scale that is 0 for a text unlike all landmarks, whatever the number of
+        languages, and about 1 for the texts learned from; with one language it is 1, as there is nothing to tell it from.
+        """
+        languages, scores, likeness = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         rows = np.zeros((min(BATCH, len(known)), WIDTH), np.float32)
         for at in range(0, len(known), BATCH):
             part = known[at : at + BATCH]
@@ -81,8 +91,9 @@ class Model:
             best = values.argmax(axis=1)
             for k, i in enumerate(part):
                 languages[i] = self.languages[best[k]]
+                likeness[i] = float((values[k, best[k]] - self.bias[best[k]]) / (1 - self.bias[best[k]])) if len(self.languages) > 1 else 1.0
                 scores[i] = float(odds[k, best[k]] / odds[k].sum()) if len(self.languages) > 1 else float(np.clip(values[k, 0], 0, 1))
-        return languages, scores
+        return languages, scores, likeness
 
 
 def fit_model(bits: list[bytes], labels: list[str]) -> Model:
@@ -110,7 +121,7 @@ def fit_model(bits: list[bytes], labels: list[str]) -> Model:
 
 def learned_from(key: str) -> Column:
     """Rows that may be learned from."""
-    return F.coalesce(remainder(F.col(key), FOLDS) != HELD_OUT, F.lit(False))
+    return F.coalesce(remainder(quoted(key), FOLDS) != HELD_OUT, F.lit(False))
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -119,7 +130,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     Only rows with a language and a letter whose key's crc32 modulo FOLDS isn't HELD_OUT are used. The sample's keys are chosen from
     narrow columns; its texts are turned into bits where they lie, and only these come to the driver, MOST_ROWS * WIDTH / 8 bytes at most.
     """
-    labelled = df.where(learned_from(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).alias("lang"), quoted(text).alias("text"))
+    labelled = df.where(learned_from(key) & quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(key).cast("string").alias("key"), quoted(lang).alias("lang"), quoted(text).alias("text"))
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     wanted = F.least(F.lit(PER_LANGUAGE), F.lit(MOST_ROWS) / counts.agg(F.count(F.lit(1))).scalar())
     order = F.xxhash64(F.lit("sample"), "key")
@@ -133,7 +144,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
                 bits = []
                 for t in part.column("text").to_pylist():
                     row = np.zeros(WIDTH, np.uint8)
-                    if LETTER.search(t):
+                    if has_letter(t):
                         mark(t, row)
                     bits.append(np.packbits(row).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array(bits, pa.binary())], names=["key", "lang", "bits"])
@@ -144,28 +155,22 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     return fit_model([b for b, _ in kept], [x for _, x in kept])
 
 
-FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-
-
-def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred and score of its text.
+def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """df with lang_pred, score and, where a third name is given, likeness of its text, under these names.
 
     lang_pred is a language of the model, or `und` with score 0 where the text is null or has no letter, or the model has learned
     nothing. Whole texts are read. Ties go to the language that comes first by name. Rows stay as they are; columns named like the
     new ones are replaced. No row is moved.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # WIDTH * languages floats; its size doesn't follow the rows
+    kinds = (pa.string(), pa.float64(), pa.float64())[: len(names)]
 
     def make() -> Callable[[list], list[pa.Array]]:
         own = shared.value
+        return lambda texts: [pa.array(x, kind) for x, kind in zip(own.predict(texts), kinds, strict=False)]
 
-        def step(texts: list) -> list[pa.Array]:
-            languages, scores = own.predict(texts)
-            return [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-
-        return step
-
-    return append_columns(df, text, make, FIELDS)
+    fields = [T.StructField(n, T.StringType() if i == 0 else T.DoubleType()) for i, n in enumerate(names)]
+    return append_columns(df, text, make, fields)
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
@@ -174,12 +179,17 @@ def identified_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(~learned_from("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-LEAST_SCORE = 0.2
+LEAST_LIKENESS = 0.15
+"""Texts less alike to every learned language than this are of none of them. Texts of other languages have 0 to 0.15, texts of a
+learned language down to single words 0.17 and more."""
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is known with a score of LEAST_SCORE; columns as in docs."""
-    names = {f.name for f in FIELDS}
-    if names & {c.lower() for c in docs.columns}:
-        raise ValueError(f"documents have columns named {names}")
-    return identify(docs, fit(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop(*names)
+def keep_known(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that are of a learned language, by LEAST_LIKENESS; columns as in docs, whatever their names.
+
+    Null texts and those without a letter go; where no language could be learned, all go.
+    """
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    told = identify(inner, fit(docs, text=text), f"c{place_of(docs, text)}", ("told", "score", "likeness"))
+    return told.where((F.col("told") != UNKNOWN) & (F.col("likeness") >= LEAST_LIKENESS)).drop("told", "score", "likeness").toDF(*names)

@@ -297,6 +297,59 @@ def test_presence_kernel_matches_sets():
     assert float(k[0] @ k[1]) == pytest.approx(want, abs=1e-5)
 
 
+def test_ridge_equals_a_plain_one():
+    """Kernel by sets, Nystroem features by an eigendecomposition, weighted ridge in plain numpy."""
+    rng = np.random.default_rng(4)
+    syllables = {"aa": ["bo", "ri", "ta", "lem"], "bb": ["sch", "ung", "ver", "ta"], "cc": ["ção", "bo", "que"]}
+    labels = [x for x in syllables for _ in range(40 if x == "aa" else 25)]
+    texts = [" ".join("".join(rng.choice(syllables[x], 2)) for _ in range(12)) for x in labels]
+
+    def grams(t):
+        b = t.lower().encode()
+        two = {((b[i] << 8 | b[i + 1]) * 2654435761 & 0xFFFFFFFF) >> 20 for i in range(len(b) - 1)}
+        three = {(((b[i] << 8 | b[i + 1]) << 8 | b[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 17 for i in range(len(b) - 2)}
+        return set(b), two, three
+
+    kernel = lambda x, y: sum(len(a & b) / np.sqrt(len(a) * len(b)) for a, b in zip(grams(x), grams(y), strict=True)) / 3
+    share = langid.LANDMARKS // 3
+    marks = [t for x in sorted(syllables) for t in [t for t, y in zip(texts, labels, strict=True) if y == x][:share]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    good = values > 1e-6 * values[-1]
+    features = lambda rows: np.array([[kernel(t, m) for m in marks] for t in rows]) @ (vectors[:, good] / np.sqrt(values[good]))
+    z, w = features(texts), np.array([len(labels) / 3 / labels.count(x) for x in labels])
+    y = np.array([[1.0 if x == c else -1.0 for c in sorted(syllables)] for x in labels])
+    bias = (w[:, None] * y).sum(axis=0) / w.sum()
+    ridge = np.linalg.solve((z * w[:, None]).T @ z + langid.RIDGE * len(labels) * np.eye(z.shape[1]), (z * w[:, None]).T @ (y - bias))
+    new = ["bori talem riri", "verung schta", "queção bo", "lem ung que"]
+    want = features(new) @ ridge + bias
+    rows = np.zeros((len(texts), langid.WIDTH), np.uint8)
+    for t, row in zip(texts, rows, strict=True):
+        langid.mark(t, row)
+    model = langid.fit_model([np.packbits(r).tobytes() for r in rows], labels)
+    got, scores, likeness = model.predict(new)
+    best = want.argmax(axis=1)
+    assert got == [sorted(syllables)[i] for i in best]
+    odds = np.exp(langid.SHARPNESS * want)
+    assert scores == pytest.approx((odds.max(axis=1) / odds.sum(axis=1)).tolist(), abs=2e-3)
+    assert likeness == pytest.approx([(v[i] - bias[i]) / (1 - bias[i]) for v, i in zip(want, best, strict=True)], abs=2e-3)
+
+
+OTHERS = ["Это русский текст о погоде, который модель никогда не видела", "Η γλώσσα αυτή δεν είναι γνωστή στο μοντέλο", "これは日本語の文章です。モデルは学習していません", "Tämä on suomenkielinen teksti, jota malli ei ole koskaan nähnyt aikaisemmin eikä tunne"]
+
+
+def test_unlearned_languages_go_and_learned_ones_stay(spark, docs):
+    from pyspark.sql import functions as F
+
+    new = spark.createDataFrame([(10**6 + i, t, "xx", "s", 1) for i, t in enumerate([*OTHERS, "½ ²", "", None])], DOCS)
+    held = new.withColumn("lang", F.lit(None).cast("string"))
+    frame = docs.unionByName(held).withColumns({"score": F.lit(1), "lang_pred": F.lit("x"), "told": F.lit(2), "a.b": F.lit(3)})
+    out = langid.keep_known(frame)
+    ids = {r["doc_id"] for r in out.collect()}
+    lettered = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    assert out.columns == frame.columns and ids == lettered
+    assert {r["lang_pred"] for r in langid.identified_documents(docs.unionByName(held)).where("doc_id = 1000004").collect()} == {"und"}
+
+
 def test_undetermined(spark, edge):
     out = {r["doc_id"]: r["lang_pred"] for r in langid.identified_documents(edge).collect()}
     assert out[0] == out[1] == out[8] == "und" and out[9] != "und"
