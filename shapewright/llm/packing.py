@@ -9,23 +9,30 @@ cut at powers of two, which need no padding. Thus padding does not grow with the
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-import re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices
+from .shared import quoted, slices
 
 CAPACITY = 4096
 LAST = 64
 END_ID = 2
 MEMO = 300_000
 """Entries of each memory of tokenised words in a worker; it is emptied when it has so many."""
+PIECES = 256
+"""Pieces of a batch that a worker gives."""
 TOKENIZER = "word_bpe_49k.json"
+# Fixed values of such tokenizer files: how they normalise and cut texts. None of it reaches across white space.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -35,9 +42,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordTokenizer:
-    """Little-endian 32-bit ids of texts by a `tokenizers` file whose pieces never span white space.
+    """Little-endian 32-bit ids of texts by a `tokenizers` file.
 
-    A text is cut at ASCII blanks and each distinct chunk is tokenised once. A chunk of basic Latin or Latin-1 letters followed by
+    A file that is not known to cut at white space, by NORMALIZERS and CUT, gets every text whole. Otherwise a text is cut at ASCII blanks and each distinct chunk is tokenised once. A chunk of basic Latin or Latin-1 letters followed by
     plain punctuation is split there, as the file's own pre-tokenizer does, and its lower-cased letters go to the file's model
     alone; any other chunk goes through the whole tokenizer.
     """
@@ -48,6 +55,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        about = json.loads(Path(path).read_text())
+        cuts = (about["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.apart = (about["normalizer"] or {}).get("normalizers") == NORMALIZERS and cuts[0] == CUT and [c["type"] for c in cuts[1:]] == ["ByteLevel"] and not cuts[1]["add_prefix_space"]
         self.model = self.whole.model
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -77,14 +87,17 @@ class WordTokenizer:
         return got
 
     def __call__(self, text: str) -> bytes:
+        if not self.apart:
+            return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
         get, chunk = self.chunks.get, self.chunk
         return b"".join([get(x) or chunk(x) for x in re.split("[ \n\t\r]+", text) if x])
 
 
 class Packer:
-    """Gives pieces (document, start, length, sequence, offset) of documents, in one worker.
+    """Gives pieces (document, start, ids, sequence, offset) of documents, in one worker.
 
-    Sequence numbers are first, first + 1, ...; a document is any object.
+    Sequence numbers are first, first + 1, ...; a document is any small object. An open bin holds the ids of its pieces, not those
+    of their whole documents, so all open bins hold fewer than capacity * last ids.
     """
 
     def __init__(self, first: int = 0, capacity: int = CAPACITY, last: int = LAST):
@@ -97,49 +110,51 @@ class Packer:
         self.next += 1
         return self.next - 1
 
-    def add(self, document, tokens: int) -> Iterator[tuple]:
-        start = 0
+    def add(self, document, ids: bytes) -> Iterator[tuple]:
+        start, tokens = 0, len(ids) // 4
         while tokens > start:
             j = -(-self.capacity // (tokens - start))
             while self.capacity // j > tokens - start:
                 j += 1
             if j > self.last:
-                yield from self.add_tail(document, start, tokens - start)
+                yield from self.add_tail(document, start, ids[4 * start :])
                 return
             size = self.capacity // j
             bin_ = self.open.setdefault(j, [])
-            bin_.append((document, start))
+            bin_.append((document, start, ids[4 * start : 4 * (start + size)]))
             start += size
             if len(bin_) == j:
                 s = self.sequence()
-                yield from ((d, b, size, s, k * size) for k, (d, b) in enumerate(bin_))
+                yield from ((d, b, x, s, k * size) for k, (d, b, x) in enumerate(bin_))
                 bin_.clear()
 
-    def add_tail(self, document, start: int, size: int) -> Iterator[tuple]:
-        while size:
-            n = min(size, self.capacity - self.tail_size)
-            self.tail.append((document, start, n))
+    def add_tail(self, document, start: int, ids: bytes) -> Iterator[tuple]:
+        at = 0
+        while 4 * at < len(ids):
+            n = min(len(ids) // 4 - at, self.capacity - self.tail_size)
+            self.tail.append((document, start + at, ids[4 * at : 4 * (at + n)]))
             self.tail_size += n
-            start, size = start + n, size - n
+            at += n
             if self.tail_size == self.capacity:
                 yield from self.lay(self.capacity)
 
     def lay(self, size: int) -> Iterator[tuple]:
         """Makes a sequence of the tail's first size tokens."""
         s, offset, rest = self.sequence(), 0, []
-        for d, b, n in self.tail:
+        for d, b, x in self.tail:
+            n = len(x) // 4
             take = min(n, size - offset)
             if take:
-                yield d, b, take, s, offset
+                yield d, b, x[: 4 * take], s, offset
                 offset += take
             if take < n:
-                rest.append((d, b + take, n - take))
+                rest.append((d, b + take, x[4 * take :]))
         self.tail, self.tail_size = rest, self.tail_size - size
 
     def close(self) -> Iterator[tuple]:
-        for j, bin_ in sorted(self.open.items()):
-            for d, b in bin_:
-                yield from self.add_tail(d, b, self.capacity // j)
+        for _, bin_ in sorted(self.open.items()):
+            for d, b, x in bin_:
+                yield from self.add_tail(d, b, x)
             bin_.clear()
         while self.tail_size:
             yield from self.lay(1 << (self.tail_size.bit_length() - 1))
@@ -161,8 +176,9 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
 
     A document's tokens are those of path's tokenizer, without special ones, then end_id; so a null or empty text is one token.
     Cutting leaves each token in exactly one piece. sequence_id is the task's number times 2**40 plus a count. Repeated rows, equal
-    and null keys are packed as the rows they are; other columns are not read. An empty table gives no pieces. A worker holds fewer
-    than LAST pieces of each class and one tail beside the current slice, so memory is bounded by the longest text.
+    and null keys are packed as the rows they are; other columns are not read, whatever their names; key: a column of integers. An
+    empty table gives no pieces. A worker holds the ids of fewer than j pieces of each class j and of one tail, 1 MB in all, beside
+    the current slice, so memory is bounded by the longest text.
     """
     path = path or tokenizer_path()
 
@@ -172,7 +188,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
         end = end_id.to_bytes(4, "little")
 
         def rows(pieces: list[tuple]) -> pa.RecordBatch:
-            parts = [[d[0] for d, *_ in pieces], [b for _, b, *_ in pieces], [p[2] for p in pieces], [d[1][4 * b : 4 * (b + n)] for d, b, n, *_ in pieces], [len(d[1]) // 4 for d, *_ in pieces], [p[3] for p in pieces], [p[4] for p in pieces]]
+            parts = [[d[0] for d, *_ in pieces], [p[1] for p in pieces], [len(p[2]) // 4 for p in pieces], [p[2] for p in pieces], [d[1] for d, *_ in pieces], [p[3] for p in pieces], [p[4] for p in pieces]]
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if f.name == "ids" else pa.int64()) for x, f in zip(parts, FIELDS, strict=True)], names=[f.name for f in FIELDS])
 
         for whole in batches:
@@ -180,13 +196,17 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
                 out = []
                 for key_, text_ in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids = (tokens(text_) if text_ else b"") + end
-                    out += packer.add((key_, ids), len(ids) // 4)
+                    for piece in packer.add((key_, len(ids) // 4), ids):
+                        out.append(piece)
+                        if len(out) >= PIECES:
+                            yield rows(out)
+                            out = []
                 if out:
                     yield rows(out)
         if out := list(packer.close()):
             yield rows(out)
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, T.StructType(FIELDS))
+    return df.select(quoted(key).cast("long").alias("key"), quoted(text).alias("text")).mapInArrow(run, T.StructType(FIELDS))
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:

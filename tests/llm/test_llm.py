@@ -391,6 +391,29 @@ def test_packing(spark, docs, texts, edge):
         assert lost < 0.02 * sum(r["length"] for r in out)
 
 
+def test_bins_hold_pieces_not_documents():
+    packer = packing.Packer()
+    for i in range(400):
+        for *_, x, _, _ in packer.add(i, b"\0\0\0\0" * (4097 + 997 * i)):
+            assert 0 < len(x) <= 4 * packing.CAPACITY
+        held = [x for bin_ in packer.open.values() for *_, x in bin_] + [x for *_, x in packer.tail]
+        assert sum(map(len, held)) <= 4 * packing.CAPACITY * (packing.LAST + 1)
+
+
+def test_pack_with_a_tokenizer_that_keeps_blanks(spark):
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    texts = ["one  two\n three", " lead", "İx ½"]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).withColumns({"start": F.lit("x"), "ids": F.lit(1), "a.b": F.lit(2)})
+    got = defaultdict(bytes)
+    for r in sorted(packing.pack(frame, path=path).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        got[r["doc_id"]] += bytes(r["ids"])
+    whole = Tokenizer.from_file(path)
+    assert got == {i: np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in enumerate(texts)}
+
+
 def slow_fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
