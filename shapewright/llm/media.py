@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ CODECS = ("mulaw", "alaw", "ima")
 RATE = 8000
 TARGET_RATE = 16000
 TAPS = 16
+PART = 1024 * 576
+"""Bytes of a file that are decoded at once, and the least samples that are resampled at once where there are more."""
 
 # Fixed values of the WAVE format: format tags.
 TAGS = {"pcm": 0x0001, "alaw": 0x0006, "mulaw": 0x0007, "ima": 0x0011}
@@ -86,24 +90,24 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def write_wave(codec: str, rate: int, n_samples: int, data: bytes) -> bytes:
-    """A RIFF/WAVE file with the chunks fmt, fact and data, one channel."""
+def wave_header(codec: str, rate: int, n_samples: int, n_bytes: int) -> bytes:
+    """All of a RIFF/WAVE file of one channel before its n_bytes of data, an even number: the chunks fmt and fact, and the head of data."""
     unit, bits = {"pcm": (2, 16), "ima": (BLOCK, 4)}.get(codec, (1, 8))
     speed = rate * BLOCK // SAMPLES if codec == "ima" else rate * unit
     extra = struct.pack("<HH", 2, SAMPLES) if codec == "ima" else struct.pack("<H", 0)
     layout = struct.pack("<HHIIHH", TAGS[codec], 1, rate, speed, unit, bits) + extra
-    chunks = b"".join(name + struct.pack("<I", len(x)) + x + b"\0" * (len(x) % 2) for name, x in ((b"fmt ", layout), (b"fact", struct.pack("<I", n_samples)), (b"data", data)))
-    return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+    chunks = b"".join(name + struct.pack("<I", len(x)) + x for name, x in ((b"fmt ", layout), (b"fact", struct.pack("<I", n_samples)))) + b"data" + struct.pack("<I", n_bytes)
+    return b"RIFF" + struct.pack("<I", 4 + len(chunks) + n_bytes) + b"WAVE" + chunks
 
 
-def read_wave(media: bytes) -> tuple[str, int, memoryview]:
+def read_wave(media: bytes | memoryview) -> tuple[str, int, memoryview]:
     """Codec, rate and the bytes of the data chunk."""
     view, at, found = memoryview(media), 12, {}
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     while at + 8 <= len(media):
         (n,) = struct.unpack_from("<I", media, at + 4)
-        found[media[at : at + 4]] = view[at + 8 : at + 8 + n]
+        found[bytes(view[at : at + 4])] = view[at + 8 : at + 8 + n]
         at += 8 + n + n % 2
     tag, _, rate = struct.unpack_from("<HHI", found[b"fmt "])
     return {v: k for k, v in TAGS.items()}[tag], rate, found[b"data"]
@@ -117,16 +121,10 @@ def filters(up: int, down: int) -> np.ndarray:
     return (h / h.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def resample(sound: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """16-bit samples at another rate; silence is assumed on both sides. Sums are taken tap by tap, in one order everywhere."""
-    g = np.gcd(rate, target)
-    up, down = int(target // g), int(rate // g)
-    if up == down:
-        return sound
-    n = -(-len(sound) * up // down)
-    reach = TAPS + down
-    x = np.zeros(len(sound) + 2 * reach, np.float32)
-    x[reach : reach + len(sound)] = sound
+def span(x: np.ndarray, n_in: int, up: int, down: int) -> np.ndarray:
+    """The samples that stand for n_in ones of x, which has TAPS + down more before and after. Sums are taken tap by tap, in one order everywhere."""
+    reach, n = TAPS + down, -(-n_in * up // down)
+    x = x.astype(np.float32)
     out, h = np.empty(n, np.float32), filters(up, down)
     for r in range(min(up, n)):
         count = -(-(n - r) // up)
@@ -141,31 +139,61 @@ def resample(sound: np.ndarray, rate: int, target: int) -> np.ndarray:
     return np.clip(np.rint(out), -32768, 32767).astype("<i2")
 
 
-def pad(raw: bytes) -> bytes:
-    return raw + b"\xff" * ((-len(raw)) % UNIT if raw else UNIT)
+def resampled(parts: Iterable[np.ndarray], rate: int, target: int) -> Iterator[np.ndarray]:
+    """16-bit samples at another rate, of sound that comes in parts; silence is assumed on both sides. The parts play no part in the result."""
+    g = np.gcd(rate, target)
+    up, down = int(target // g), int(rate // g)
+    if up == down:
+        yield from parts
+        return
+    reach = TAPS + down
+    held = np.zeros(reach, np.int16)
+    for part in parts:
+        held = np.concatenate((held, part))
+        ready = (len(held) - 2 * reach) // down * down
+        if ready >= PART:
+            yield span(held[: ready + 2 * reach], ready, up, down)
+            held = held[ready:]
+    if len(held) > reach:
+        yield span(np.concatenate((held, np.zeros(reach, np.int16))), len(held) - reach, up, down)
+
+
+def resample(sound: np.ndarray, rate: int, target: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, "<i2"), *resampled([sound], rate, target)])
+
+
+def pick_codec(checksum: int) -> str:
+    """A codec fixed by the payload's crc32 alone, so that a corpus exercises all three and equal payloads get equal files."""
+    return CODECS[checksum % len(CODECS)]
+
+
+def decode(codec: str, data: np.ndarray) -> np.ndarray:
+    """Samples of the bytes of one codec, all blocks together."""
+    return decode_ima(data.reshape(-1, BLOCK)).ravel() if codec == "ima" else EXPAND[codec][data]
+
 
+def n_samples(codec: str, n_bytes: int) -> int:
+    return n_bytes // BLOCK * SAMPLES if codec == "ima" else n_bytes
 
-def pick_codec(payload: bytes) -> str:
-    """A codec fixed by the payload alone, so that a corpus exercises all three and equal payloads get equal files."""
-    return CODECS[zlib.crc32(payload) % len(CODECS)]
 
+class Tally:
+    """Peak, mean square, sign changes and full-scale samples of sound that comes in parts."""
 
-def decode(codec: str, stored: list[memoryview]) -> list[np.ndarray]:
-    """Samples of each file of one codec, decoded together."""
-    data = np.frombuffer(b"".join(stored), np.uint8)
-    if codec == "ima":
-        sound, ends = decode_ima(data.reshape(-1, BLOCK)).ravel(), np.cumsum([len(x) // BLOCK * SAMPLES for x in stored])
-    else:
-        sound, ends = EXPAND[codec][data], np.cumsum([len(x) for x in stored])
-    return np.split(sound, ends[:-1])
+    def __init__(self):
+        self.n = self.peak = self.squares = self.changes = self.full = 0
+        self.last: np.ndarray | None = None
 
+    def add(self, sound: np.ndarray) -> None:
+        wide = sound.astype(np.int64)
+        size = np.abs(wide)
+        negative = sound < 0
+        self.changes += int(np.count_nonzero(negative[1:] != negative[:-1])) + (self.last is not None and bool(self.last != negative[0]))
+        self.n, self.peak, self.last = self.n + len(sound), max(self.peak, int(size.max())), negative[-1]
+        self.squares += int((wide * wide).sum())
+        self.full += int(np.count_nonzero(size >= 32124))
 
-def describe(codec: str, sound: np.ndarray) -> str:
-    """Codec, samples, peak, mean square, sign changes and full-scale samples of decoded sound."""
-    wide = sound.astype(np.int64)
-    changes = int(np.count_nonzero((sound[1:] < 0) != (sound[:-1] < 0)))
-    peak = int(np.abs(wide).max())
-    return f"{codec};n={len(sound)};peak={peak};ms={int((wide * wide).sum()) // len(sound)};zc={changes};full={int(np.count_nonzero(np.abs(wide) >= 32124))}"
+    def __str__(self) -> str:
+        return f"n={self.n};peak={self.peak};ms={self.squares // self.n};zc={self.changes};full={self.full}"
 
 
 FIELDS = [
@@ -177,23 +205,69 @@ FIELDS = [
 ]
 
 
+def column(values: np.ndarray, ends: list[int]) -> pa.Array:
+    """A binary column of stretches of bytes, which are not copied."""
+    if ends and ends[-1] >= 1 << 31:
+        raise ValueError("the texts of a slice give 2 GB of media or more; a column of Arrow cannot hold that")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.array([0, *ends], np.int32)), pa.py_buffer(values)])
+
+
 def transcode(texts: list[str | None], codec: str | None = None, target: int = TARGET_RATE) -> list[pa.Array]:
-    """Columns media, payload (as read back from media), pcm, codec and feature."""
-    media = []
-    for text in texts:
-        payload = pad((text or "").encode())
-        kind = codec or pick_codec(payload)
-        n = len(payload) // BLOCK * SAMPLES if kind == "ima" else len(payload)
-        media.append(write_wave(kind, RATE, n, payload))
-    read = [read_wave(x) for x in media]
-    pcm, feature = [b""] * len(read), [""] * len(read)
+    """Columns media, payload (as read back from media), pcm, codec and feature.
+
+    Each column's bytes are written once, to where they stay. Short files of a codec are decoded together, a long one in parts.
+    """
+    raws = [(t or "").encode() for t in texts]
+    fills = [(-len(r)) % UNIT if r else UNIT for r in raws]
+    kinds = [codec or pick_codec(zlib.crc32(b"\xff" * f, zlib.crc32(r))) for r, f in zip(raws, fills, strict=True)]
+    heads = [wave_header(k, RATE, n_samples(k, len(r) + f), len(r) + f) for k, r, f in zip(kinds, raws, fills, strict=True)]
+    ends = list(accumulate(len(h) + len(r) + f for h, r, f in zip(heads, raws, fills, strict=True)))
+    media = np.full(ends[-1] if ends else 0, 0xFF, np.uint8)
+    for end, h, r, f in zip(ends, heads, raws, fills, strict=True):
+        begin = end - f - len(r)
+        media[begin - len(h) : begin] = np.frombuffer(h, np.uint8)
+        media[begin : begin + len(r)] = np.frombuffer(r, np.uint8)
+    del raws
+    stored = memoryview(media)
+    read = [read_wave(stored[b:e]) for b, e in zip([0, *ends], ends, strict=False)]
+    payload_ends = list(accumulate(len(data) for *_, data in read))
+    payload = np.empty(payload_ends[-1] if read else 0, np.uint8)
+    for end, (*_, data) in zip(payload_ends, read, strict=True):
+        payload[end - len(data) : end] = np.frombuffer(data, np.uint8)
+    sizes = [-(-n_samples(kind, len(data)) * target // rate) for kind, rate, data in read]
+    heads = [wave_header("pcm", target, n, 2 * n) for n in sizes]
+    pcm_ends = list(accumulate(len(h) + 2 * n for h, n in zip(heads, sizes, strict=True)))
+    pcm = np.empty(pcm_ends[-1] if read else 0, np.uint8)
+    feature = [""] * len(read)
+
+    def store(i: int, sound: Iterable[np.ndarray]) -> None:
+        tally = Tally()
+
+        def seen() -> Iterator[np.ndarray]:
+            for part in sound:
+                tally.add(part)
+                yield part
+
+        at = pcm_ends[i] - 2 * sizes[i]
+        pcm[at - len(heads[i]) : at] = np.frombuffer(heads[i], np.uint8)
+        for part in resampled(seen(), read[i][1], target):
+            pcm[at : at + 2 * len(part)] = np.ascontiguousarray(part, "<i2").view(np.uint8)
+            at += 2 * len(part)
+        feature[i] = f"{read[i][0]};{tally}"
+
     for kind in CODECS:
         own = [i for i, x in enumerate(read) if x[0] == kind]
-        for i, sound in zip(own, decode(kind, [read[i][2] for i in own]) if own else [], strict=True):
-            feature[i] = describe(kind, sound)
-            wide = resample(sound, read[i][1], target)
-            pcm[i] = write_wave("pcm", target, len(wide), wide.tobytes())
-    return [pa.array(media, pa.binary()), pa.array([x[2] for x in read], pa.binary()), pa.array(pcm, pa.binary()), pa.array([x[0] for x in read]), pa.array(feature)]
+        short = [i for i in own if len(read[i][2]) <= PART]
+        if short:
+            sound = decode(kind, np.concatenate([np.frombuffer(read[i][2], np.uint8) for i in short]))
+            for i, part in zip(short, np.split(sound, np.cumsum([n_samples(kind, len(read[i][2])) for i in short])[:-1]), strict=True):
+                store(i, [part])
+        for i in own:
+            data = np.frombuffer(read[i][2], np.uint8)
+            if len(data) > PART:
+                store(i, (decode(kind, data[b : b + PART]) for b in range(0, len(data), PART)))
+    del read
+    return [column(media, ends), column(payload, payload_ends), column(pcm, pcm_ends), pa.array(kinds, pa.string()), pa.array(feature, pa.string())]
 
 
 def telephony(df: DataFrame, text: str = "text", codec: str | None = None, target: int = TARGET_RATE) -> DataFrame:
@@ -202,7 +276,8 @@ def telephony(df: DataFrame, text: str = "text", codec: str | None = None, targe
     The payload is the text's UTF-8 bytes with bytes 255 up to a positive multiple of 576. codec: one of CODECS for all rows; by
     default the payload's own checksum picks it. Nulls and empty texts give the payload of 576 bytes 255. Rows stay as they are,
     repeats included; other columns pass through, except that columns named like the new ones are replaced. No row is moved.
-    Memory is bounded by 2 MB of texts, or by the longest text, at a time.
+    Other columns may have any name. Of 2 MB of texts, or the longest text, at a time a worker holds the columns once and PART bytes'
+    worth of sound; a slice that gives 2 GB of media, some 290 MB of one text, is an error, as Arrow's columns end there.
     """
     return append_columns(df, text, lambda: lambda texts: transcode(texts, codec, target), FIELDS)
 

@@ -83,8 +83,80 @@ def test_media(spark, docs, texts, edge):
 
 
 def test_codec_tables():
-    assert media.EXPAND["mulaw"][[0x00, 0x7F, 0x80, 0xFF]].tolist() == [-32124, 0, 32124, 0]
-    assert media.EXPAND["alaw"][[0x2A, 0xAA, 0x55, 0xD5]].tolist() == [-32256, 32256, -8, 8]
+    """All codes against the segments of G.711, which double their steps."""
+    for code in range(256):
+        mu = code ^ 0xFF
+        want = ((2 * (mu & 15) + 33) << (mu >> 4 & 7)) - 33
+        assert media.EXPAND["mulaw"][code] == 4 * want * (-1 if mu & 128 else 1)
+        a = code ^ 0x55
+        e, m = a >> 4 & 7, a & 15
+        want = 2 * m + 1 if e == 0 else (2 * m + 33) << (e - 1)
+        assert media.EXPAND["alaw"][code] == 8 * want * (1 if a & 128 else -1)
+
+
+def slow_media(payload, codec):
+    """A WAVE file, its samples and its feature, sample by sample."""
+    import struct
+
+    if codec == "ima":
+        sound = []
+        for at in range(0, len(payload), 36):
+            block = payload[at : at + 36]
+            p, i = struct.unpack("<h", block[:2])[0], min(block[2], 88)
+            sound.append(p)
+            for n in (x for b in block[4:] for x in (b & 15, b >> 4)):
+                step = media.STEP_SIZES[i]
+                d = (step >> 3) + (step if n & 4 else 0) + (step >> 1 if n & 2 else 0) + (step >> 2 if n & 1 else 0)
+                p = max(-32768, min(32767, p - d if n & 8 else p + d))
+                i = max(0, min(88, i + media.INDEX_STEPS[n & 7]))
+                sound.append(p)
+    else:
+        sound = [int(media.EXPAND[codec][b]) for b in payload]
+    tag, rate, unit, bits, extra = {"ima": (17, 8000 * 36 // 65, 36, 4, struct.pack("<HH", 2, 65)), "mulaw": (7, 8000, 1, 8, b"\0\0"), "alaw": (6, 8000, 1, 8, b"\0\0")}[codec]
+    layout = struct.pack("<HHIIHH", tag, 1, 8000, rate, unit, bits) + extra
+    body = b"WAVEfmt " + struct.pack("<I", len(layout)) + layout + b"fact" + struct.pack("<II", 4, len(sound)) + b"data" + struct.pack("<I", len(payload)) + payload
+    changes = sum((x < 0) != (y < 0) for x, y in zip(sound, sound[1:], strict=False))
+    feature = f"{codec};n={len(sound)};peak={max(map(abs, sound))};ms={sum(x * x for x in sound) // len(sound)};zc={changes};full={sum(abs(x) >= 32124 for x in sound)}"
+    return b"RIFF" + struct.pack("<I", len(body)) + body, sound, feature
+
+
+@pytest.mark.parametrize("codec", [None, *media.CODECS])
+def test_media_files_and_features(monkeypatch, codec):
+    texts = ["", None, "short", "long é " * 3000, "The the", "x" * 576, LONG[:20000]]
+    want = media.transcode(texts, codec)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        kind = codec or media.CODECS[zlib.crc32(payload) % 3]
+        file, sound, feature = slow_media(payload, kind)
+        assert (want[0][i].as_py(), want[1][i].as_py(), want[3][i].as_py(), want[4][i].as_py()) == (file, payload, kind, feature)
+        _, rate, pcm = media.read_wave(want[2][i].as_py())
+        heard = np.frombuffer(pcm, "<i2")
+        assert rate == 16000 and heard[::2].tolist() == sound and len(heard) == 2 * len(sound)
+    monkeypatch.setattr(media, "PART", 576)  # every file longer than a unit goes in parts
+    assert [x.to_pylist() for x in media.transcode(texts, codec)] == [x.to_pylist() for x in want]
+
+
+@pytest.mark.parametrize("target", [4000, 11025, 16000, 8000])
+def test_resampling_in_parts(monkeypatch, target):
+    sound = np.random.default_rng(7).integers(-32768, 32768, 9001).astype(np.int16)
+    want = media.resample(sound, 8000, target)
+    monkeypatch.setattr(media, "PART", 100)
+    for size in (1, 7, 333, 5000):
+        got = np.concatenate(list(media.resampled([sound[i : i + size] for i in range(0, len(sound), size)], 8000, target)))
+        assert (got == want).all() and len(got) == -(-len(sound) * target // 8000)
+
+
+def test_media_of_a_long_text_in_bounded_memory(tmp_path):
+    """50 MB of text as ADPCM, whose PCM has 361 MB, in under 1 GB of a process."""
+    import os
+    import subprocess
+    import sys
+
+    run = "import resource; from shapewright.llm import media; media.transcode(['long text ' * 5_000_000], 'ima'); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", run], cwd=root, capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout.split()[-1]) < 1_000_000
 
 
 def test_ima_block_against_a_loop():
