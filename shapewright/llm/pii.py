@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import append_columns, quoted
+from .shared import append_columns, place_of
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
@@ -34,6 +34,7 @@ CONTEXT = {
     "ssn": "ssn social security",
     "secret": "token key secret password api bearer",
 }
+LOWER_IBAN = 0.3
 BONUS = 0.3
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -41,7 +42,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+IBAN_HEAD = re.compile(r"(?<![^\W_])[A-Za-z]{2}[0-9]{2}(?= ?[A-Za-z0-9]{4})")
+IBAN_REST = re.compile(r" ?[A-Za-z0-9]")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{40}(?![0-9A-Za-z])")
 DIGIT = re.compile(r"[0-9]")
@@ -78,6 +80,27 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest run from each head of 15 to 34 letters and digits, single blanks between them, that ends with a word and passes mod 97.
+
+    A run in capitals is confirmed by its checksum; one with lower-case letters passes too and is left to its context.
+    """
+    done = 0
+    for head in IBAN_HEAD.finditer(text):
+        if head.start() < done:
+            continue
+        ends, at, kept = [], head.end(), head[0]
+        while len(kept) < 34 and (m := IBAN_REST.match(text, at)):
+            at, kept = m.end(), kept + m[0][-1]
+            if len(kept) >= 15 and (at == len(text) or not text[at].isalnum()):
+                ends.append((at, kept))
+        for end, iban in reversed(ends):
+            if mod97(iban.upper()):
+                yield head.start(), end
+                done = end
+                break
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans that pass their kind's own test."""
     if "@" in text:
@@ -94,9 +117,7 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 10 <= len(digits_of(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x):
-            yield "iban", *m.span()
+    yield from (("iban", *x) for x in ibans(text))
     if "-" in text:
         yield from (("ssn", *m.span()) for m in SSN.finditer(text))
     for m in SECRET.finditer(text):
@@ -108,8 +129,10 @@ WORDS = {k: re.compile(r"(?<![^\W\d_])(?:" + "|".join(v.split()) + r")(?![^\W\d_
 
 
 def score(kind: str, text: str, begin: int, end: int) -> float:
+    """The kind's prior and a bonus for a context word nearby; an IBAN with lower-case letters starts from LOWER_IBAN."""
+    prior = LOWER_IBAN if kind == "iban" and not text[begin:end].isupper() else PRIOR[kind]
     near = WORDS[kind].search(text[max(0, begin - WINDOW) : begin]) or WORDS[kind].search(text[end : end + WINDOW])
-    return min(1.0, PRIOR[kind] + (BONUS if near else 0.0))
+    return min(1.0, prior + (BONUS if near else 0.0))
 
 
 def find(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
@@ -155,10 +178,12 @@ def find_pii(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     return append_columns(df, text, make, [T.StructField("pii", T.ArrayType(SPAN)), T.StructField("redacted", T.StringType())])
 
 
-def redact_documents(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with every text redacted, the same columns in the same order."""
-    out = find_pii(df, text)
-    return out.select(*[F.col("redacted").alias(text) if c == text else quoted(c) for c in df.columns])
+def redact_documents(df: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """df with every text redacted, the same columns in the same order; the column size, where there is one, counts the new characters."""
+    names, own = df.columns, f"c{place_of(df, text)}"
+    out = find_pii(df.toDF(*[f"c{i}" for i in range(len(names))]), own)
+    counted = lambda i, c: F.when(F.col("redacted").isNull(), F.col(f"c{i}")).otherwise(F.length("redacted").cast(df.schema.fields[i].dataType)).alias(f"c{i}") if c == size else F.col(f"c{i}")
+    return out.select(*[F.col("redacted").alias(own) if f"c{i}" == own else counted(i, c) for i, c in enumerate(names)]).toDF(*names)
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:

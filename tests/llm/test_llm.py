@@ -640,6 +640,26 @@ def test_pii_adds_and_redacts():
     assert not pii.mod97("DE89370400440532013001") and pii.find("DE89370400440532013001") == []
 
 
+def test_added_kinds():
+    found = lambda t: [(k, t[b:e]) for k, b, e, _ in pii.find(t) if k not in pii.BASE]
+    good = "DE89370400440532013000"
+    assert found(f"konto {good} UND MEHR") == [("iban", good)] and found("IBAN DE89 3704 0044 0532 0130 00 BANK") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert found(f"x {good.lower()} y") == [] and found(f"iban {good.lower()} y") == [("iban", good.lower())]
+    assert found(f"{good}X") == [] and found("GB82 WEST 1234 5698 7654 32") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert found("ssn 123-45-6789") == [("ssn", "123-45-6789")] and found("no 123-45-6789") == [] and found("ssn 000-45-6789") == []
+    key = "0123456789abcdef0123456789abcdef01234567"
+    assert found(f"token = {key}") == [("secret", key)] and found(f"sha {key}") == [] and found("AB12 " * 20000) == []
+
+
+def test_redacted_sizes(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "mail a.b@c.org now", "en", "s", 18), (2, None, "en", "s", None), (3, "", "en", "s", 0)]
+    frame = spark.createDataFrame(rows, DOCS).withColumns({"pii": F.lit(1), "redacted": F.lit("x"), "a.b": F.lit(2)})
+    out = pii.redact_documents(frame)
+    assert out.columns == frame.columns and sorted((r["doc_id"], r["text"], r["n_chars"], r["redacted"]) for r in out.collect()) == [(1, "mail <EMAIL> now", 16, "x"), (2, None, None, "x"), (3, "", 0, "x")]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}x" for i in range(300)]
