@@ -433,6 +433,40 @@ def test_chat_snapshots(spark):
     assert set(out) == {2, 4, 5, None} and out[2][:2] == (2, 2) and out[5][0] == 2 and out[None][2] == "<|im_start|>user\n<im_end><|im_end|>\n"
 
 
+def slow_chats(turns):
+    by = defaultdict(list)
+    digest = lambda role, text: hashlib.md5("".join("-" if x is None else f"={len(x.encode())}:{x}" for x in (role, text)).encode()).hexdigest()
+    for n, (c, turn, role, text) in enumerate(turns):
+        by[("c", c) if c is not None else ("r", n)].append(((turn is not None, turn or 0), digest(role, text), role, text))
+    chats = {k: [x[1:] for x in sorted(v, key=lambda x: x[:2])] for k, v in by.items()}
+    keys = {k: tuple(x[0] for x in v) for k, v in chats.items()}
+    inner = {v[:n] for v in keys.values() for n in range(1, len(v))}
+    out = []
+    for whole in set(keys.values()) - inner:
+        same = [k for k, v in keys.items() if v == whole]
+        ids = [k[1] for k in same if k[0] == "c"]
+        clean = lambda t: (t or "").replace("<|im_start|>", "<im_start>").replace("<|im_end|>", "<im_end>")
+        out.append((min(ids) if ids else None, len(whole), len(same), "".join(f"<|im_start|>{clean('user' if r is None else r)}\n{clean(t)}<|im_end|>\n" for _, r, t in chats[same[0]])))
+    return sorted(map(str, out))
+
+
+def test_chat_edges(spark, duck):
+    from pyspark.sql import functions as F
+
+    schema = "conv_id long, turn long, role string, text string"
+    turns = [(None, 0, "user", "hi"), (None, 0, "user", "hi"), (None, 3, "bot", "alone"), (None, None, None, None), (1, 0, "user", "hi"), (1, 1, "bot", "yes"), (2, 0, "bot", "alone")]
+    turns += [(3, None, "user", LONG), (3, None, "user", LONG), (3, 1, None, ""), (4, 1, "user", None), (4, 1, "", "<|im_start|>")]
+    turns += [(5, i, "user", f"turn {i % 7}") for i in range(3000)] + [(6, i, "user", f"turn {i % 7}") for i in range(2999)]
+    frame = spark.createDataFrame(turns, schema)
+    more = frame.withColumns({"d": F.lit(1), "k": F.lit(2), "a": F.lit(3), "n_copies": F.lit("x"), "x.y": F.lit(4)})
+    for f in (frame, more):
+        assert sorted(str(tuple(r)) for r in chat.render_chats(f).collect()) == slow_chats(turns)
+    assert chat.render_chats(frame.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.register("conversations", frame.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert rows_of(con.execute(chat.ORACLE_SQL).df()) == rows_of(chat.render_chats(frame).toPandas())
+
+
 def test_packing(spark, docs, texts, edge):
     from tokenizers import Tokenizer
 
