@@ -1,10 +1,14 @@
 """Toxicity by weak supervision.
 
-Many voters, each a lexicon entry, a word stem or a pattern over a whole text, fire or stay silent. A generative label model (two classes,
-one firing rate for each voter and class) is estimated by expectation maximisation; voters that still fire together
-within a class are correlated, and each one's evidence is divided by the number of voters that it stands for. The model's
-posteriors label the sample on which a sparse linear classifier of word stems and patterns is trained; only the classifier is
-used on documents. As the classifier is linear in a text's distinct words, a worker computes each distinct word's weight once.
+Many voters, each a lexicon entry, a word stem or a pattern over a whole text, vote for one of two labels or abstain. A generative
+label model is estimated by expectation maximisation from a first guess by the voters alone: for each voter and class the rate at which it
+fires, from which its accuracy follows, and for pairs of voters that depend on each other within a class, joined into a forest, the
+rate at which both fire, so that what a voter repeats of another counts once. The model's posteriors label the sample on which a
+sparse linear classifier of word stems and patterns is trained; only the classifier is used on documents. As the classifier is
+linear in a text's distinct words, a worker computes each distinct word's weight once.
+
+No lexicon is at hand for every language of a corpus, so entries beside the fixed ones are induced from the labelled rows that may
+be learned from. Labels do no more than that and give the prior: the label model never sees them.
 """
 
 from __future__ import annotations
@@ -29,7 +33,12 @@ FEATURES = 6000
 LEAST_ROWS = 4
 """Rows of the sample that a stem must be in."""
 VOTERS = 96
-VOTER_PRECISION = 0.8
+"""Voters of label 1 at most."""
+VOTER_PRECISION = 0.9
+"""Least share of toxic rows of a lexicon entry's, when SUPPORT rows like all are added to them."""
+SUPPORT = 0.5
+DEPENDENT = 0.2
+"""Least correlation inside the classes of two voters that are joined."""
 STEMS = (3, 4, 5, 6)
 """Lengths of word beginnings that are features beside whole words."""
 ROUNDS = 60
@@ -45,6 +54,11 @@ PATTERNS = {
     "\x01shouted": re.compile(r"(?:\b[^\W\d_a-z]{4,}\b\W+){4}"),
     "\x01marks": re.compile(r"[!?]{3}"),
 }
+CALM_PATTERNS = {
+    "\x01calm": re.compile(r"\A[^!?]*\Z"),
+    "\x01plain": re.compile(r"\A[^#*$%&|<>!]*\Z"),
+}
+"""Patterns that vote 0: no marks of excitement, no symbols. They are voters only, no features of the classifier."""
 
 
 def stems(word: str) -> list[str]:
@@ -63,7 +77,7 @@ def words_of(text: str | None) -> set[str]:
 
 def features_of(text: str | None) -> set[str]:
     out = {s for w in words_of(text) for s in (stems(w) if w[0] != "\x01" else [w])}
-    return out | {name for name, p in PATTERNS.items() if text and p.search(text)}
+    return out | {name for name, p in (PATTERNS | CALM_PATTERNS).items() if text and p.search(text)}
 
 
 @dataclass
@@ -117,11 +131,9 @@ class Rows:
         return np.bincount(self.at, r[self.owner], self.width)
 
 
-def choose_voters(rows: Rows, toxic: np.ndarray) -> list[int]:
-    """Feature numbers that fire on toxic rows with VOTER_PRECISION at least; each adds the most rows that have fewer than three voters."""
-    hits, all_ = rows.back(toxic.astype(float)), rows.back(np.ones(len(toxic)))
-    good = (hits / np.maximum(all_, 1) >= VOTER_PRECISION) & (hits >= LEAST_ROWS)
-    need, chosen = np.where(toxic, 3.0, 0.0), []
+def choose_voters(rows: Rows, toxic: np.ndarray, wanted: np.ndarray) -> list[int]:
+    """Up to VOTERS of the wanted feature numbers; each adds the most toxic rows that have fewer than three voters."""
+    good, need, chosen = wanted.copy(), np.where(toxic, 3.0, 0.0), []
     owner = rows.owner
     while len(chosen) < VOTERS:
         gain = np.where(good, rows.back((need > 0).astype(float)), 0)
@@ -134,34 +146,59 @@ def choose_voters(rows: Rows, toxic: np.ndarray) -> list[int]:
     return chosen
 
 
-def posteriors(votes: np.ndarray, prior: float, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of label 1 by the label model for each row of votes [rows, voters] of 0 and 1, and each voter's weight.
-
-    A voter that stays silent abstains, as an entry of one language says nothing of a text in another; that all are silent is a vote
-    of its own, the last column of what is counted. first: probabilities to start from.
-    """
-    votes = np.concatenate((votes, ~votes.any(axis=1, keepdims=True)), axis=1).astype(float)
-    m = votes.shape[1]
-    p = np.clip(first, 0.02, 0.98)
-    weight = np.ones(m)
-    for round_ in range(ROUNDS):
-        one = (votes.T @ p + 0.5) / (p.sum() + 1)
-        zero = (votes.T @ (1 - p) + 0.05) / ((1 - p).sum() + 1)
-        if round_ % 10 == 5:
-            weight = 1 / dependence(votes, p, one, zero)
-        logit = np.log(prior / (1 - prior)) + votes @ (weight * np.log(one / zero))
-        p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-    return p, weight
+def first_guess(votes: np.ndarray, label: np.ndarray, prior: float) -> np.ndarray:
+    """Probabilities to start from, by the voters alone: likely 1 where any votes 1, else likely 0 where any votes 0, else the prior."""
+    return np.where((votes[:, label == 1] > 0).any(axis=1), 0.9, np.where((votes[:, label == 0] > 0).any(axis=1), 0.1, prior))
 
 
-def dependence(votes: np.ndarray, p: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """How many voters each stands for: 1 and the positive correlations with the others that remain inside the classes."""
+def joined(votes: np.ndarray, p: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """[edges, 2]: a forest of the voters whose correlation inside the classes is largest, DEPENDENT at least (Kruskal)."""
     centred = votes - (p[:, None] * one + (1 - p[:, None]) * zero)
     cov = centred.T @ centred / len(votes)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-    corr = np.where(np.abs(c := cov / np.outer(sd, sd)) > 0.3, c, 0.0)
-    np.fill_diagonal(corr, 0)
-    return 1 + np.maximum(corr, 0).sum(axis=1)
+    corr = np.triu(cov / np.outer(sd, sd), 1)
+    root, edges = list(range(votes.shape[1])), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    i, j = np.nonzero(corr > DEPENDENT)
+    for k in np.argsort(-corr[i, j], kind="stable"):
+        a, b = top(int(i[k])), top(int(j[k]))
+        if a != b:
+            root[b] = a
+            edges.append((int(i[k]), int(j[k])))
+    return np.array(edges, int).reshape(-1, 2)
+
+
+def posteriors(votes: np.ndarray, label: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of label 1 by the label model for each row of votes [rows, voters] of 0 and 1; rates [2, voters], edges and what each adds.
+
+    label: what a voter votes for. A voter that stays silent abstains, as an entry of one language says nothing of a text in another;
+    that all voters of label 1 are silent is a voter for label 0, the last of what is counted. A row's evidence is the sum of its
+    voters' log ratios of rates, and for each edge whose two voters fire, of how much more often than by chance both do; this takes
+    back one voter's evidence at most, without which the model may drift to classes that are not the voters'.
+    """
+    silent = ~(votes[:, label == 1] > 0).any(axis=1, keepdims=True)
+    votes, label = np.concatenate((votes, silent), axis=1).astype(float), np.append(label, 0)
+    p = first_guess(votes, label, prior)
+    edges, both = np.zeros((0, 2), int), np.zeros((len(votes), 0))
+    for round_ in range(ROUNDS):
+        n1, n0 = p.sum() + 1, (1 - p).sum() + 1
+        one, zero = (votes.T @ p + 0.5) / n1, (votes.T @ (1 - p) + 0.05) / n0
+        if round_ % 10 == 5:
+            edges = joined(votes, p, one, zero)
+            both = votes[:, edges[:, 0]] * votes[:, edges[:, 1]]
+        one2, zero2 = (both.T @ p + 0.5) / n1, (both.T @ (1 - p) + 0.05) / n0
+        i, j = edges.T
+        alone = np.log(one / zero)
+        most = np.minimum(np.abs(alone[i]), np.abs(alone[j]))
+        added = np.clip(np.log(one2 / (one[i] * one[j])) - np.log(zero2 / (zero[i] * zero[j])), -most, most)
+        logit = np.log(prior / (1 - prior)) + votes @ alone + both @ added
+        p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+    return p, np.stack((zero, one)), edges, added
 
 
 def train(rows: Rows, targets: np.ndarray) -> tuple[np.ndarray, float]:
@@ -182,33 +219,53 @@ def train(rows: Rows, targets: np.ndarray) -> tuple[np.ndarray, float]:
     return w, bias
 
 
-def fit_classifier(names: list[str], lists: list[list[int]], toxic: list[int]) -> Classifier:
-    """The classifier from the features of labelled rows."""
+def fit_classifier(names: list[str], lists: list[list[int]], toxic: list[int], clean_weight: float = 1.0) -> Classifier:
+    """The classifier from the features of labelled rows; clean_weight: how many clean rows one of the sample stands for, over the same of toxic ones."""
     y = np.array(toxic, bool)
     if not names or not y.any() or y.all():
         return Classifier(bias=20.0 if len(y) and y.all() else -20.0)
     rows = Rows.of(lists, len(names))
-    voters = choose_voters(rows, y)
-    if not voters:
+    mean = float(y.mean())
+    hits, misses = rows.back(y.astype(float)), rows.back((~y).astype(float)) * clean_weight
+    share = mean / (mean + (1 - mean) * clean_weight)
+    named = np.array([n in CALM_PATTERNS for n in names])
+    toxic = choose_voters(rows, y, ((hits + SUPPORT * share) / (hits + misses + SUPPORT) >= VOTER_PRECISION) & (hits >= LEAST_ROWS) & ~named)
+    calm = np.flatnonzero(named).tolist()
+    if not toxic:
         return Classifier()
+    voters = toxic + calm
     place = np.full(len(names), -1)
     place[voters] = np.arange(len(voters))
     own = place[rows.at] >= 0
     votes = np.zeros((len(y), len(voters)))
     votes[rows.owner[own], place[rows.at[own]]] = 1
-    labels, _ = posteriors(votes, float(np.clip(y.mean(), 0.01, 0.99)), np.where(y, 0.9, 0.1))
+    labels, *_ = posteriors(votes, np.repeat([1, 0], [len(toxic), len(calm)]), float(np.clip(mean, 0.01, 0.99)))
+    keep = ~named[rows.at]
+    owner = rows.owner[keep]
+    rows = Rows(rows.at[keep], np.searchsorted(owner, np.arange(len(y) + 1)), rows.width)
     w, bias = train(rows, labels)
     return Classifier({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(bias))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text and toxic of PER_LABEL rows of each label at most, by hash of the key; never of held-out keys."""
+def learnable(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and toxic of each labelled key that may be learned from; a key with both labels counts as toxic."""
     open_ = F.coalesce(remainder(F.col("key"), FOLDS) != HELD_OUT, F.lit(False))
-    known = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col(key).cast("string").alias("key")).agg(F.max("toxic").alias("toxic")).where(open_)
+    return labels.where(F.col("toxic").isin(0, 1)).groupBy(quoted(key).cast("string").alias("key")).agg(F.max("toxic").cast("int").alias("toxic")).where(open_)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, h, text and toxic of documents of PER_LABEL labelled keys of each label at most, by hash of the key; never of held-out keys.
+
+    Of documents with the same key, different texts are different rows; PER_LABEL rows of a label, by h, a hash of the text, are used
+    at most.
+    """
+    known = learnable(labels, key)
     order = F.xxhash64(F.lit("sample"), "key")
-    part = lambda y: known.where(F.col("toxic") == y).orderBy(order, "key").limit(PER_LABEL)
-    chosen = F.broadcast(part(0).unionAll(part(1)))  # 2 * PER_LABEL keys at most
-    return docs.select(F.col(key).cast("string").alias("key"), quoted(text).alias("text")).join(chosen, "key")
+    part = lambda of, y: of.where(F.col("toxic") == y).orderBy(order, *of.columns).limit(PER_LABEL)
+    both = lambda of: F.broadcast(part(of, 0).unionAll(part(of, 1)))  # noqa: E731  2 * PER_LABEL rows at most
+    keyed = docs.select(quoted(key).cast("string").alias("key"), quoted(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = cut(both(keyed.select("key", "h").join(both(known), "key").distinct()))
+    return keyed.join(F.broadcast(rows), ["key", "h"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -217,9 +274,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([sorted(features_of(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))], names=["toxic", "f"])
+                new = pa.array([sorted(features_of(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("h"), part.column("toxic"), new], names=["key", "h", "toxic", "f"])
 
-    marked = cut(sampled(docs, labels).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "toxic int, f array<string>"))
+    found = sampled(docs, labels).select("key", "h", "text", "toxic").mapInArrow(words, "key string, h long, toxic int, f array<string>")
+    marked = cut(found.groupBy("key", "h").agg(F.first("toxic").alias("toxic"), F.first("f").alias("f")))
     sizes = dict(marked.groupBy("toxic").count().collect())
     share = F.sum("toxic") / max(1, sizes.get(1, 0)) - F.sum(1 - F.col("toxic")) / max(1, sizes.get(0, 0))
     counted = marked.select("toxic", F.explode("f").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.abs(share).alias("d")).where(F.col("n") >= LEAST_ROWS)
@@ -233,7 +292,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
 
     found = marked.mapInArrow(numbered, "toxic int, f array<int>").toArrow()
     order = sorted(zip(found.column("f").to_pylist(), found.column("toxic").to_pylist(), strict=True))
-    return fit_classifier(names, [f for f, _ in order], [y for _, y in order])
+    whole = dict(learnable(labels).groupBy("toxic").count().collect())
+    taken = {y: max(1, min(PER_LABEL, whole.get(y, 0))) for y in (0, 1)}
+    weight = (whole.get(0, 0) / taken[0]) / max(1.0, whole.get(1, 0) / taken[1])
+    return fit_classifier(names, [f for f, _ in order], [y for _, y in order], max(weight, 1e-6))
 
 
 def score_toxicity(df: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:

@@ -713,17 +713,91 @@ def test_toxicity(spark):
     assert empty.count() == 0 and {r["predicted"] for r in toxicity.scored_documents(docs.limit(5), lab.limit(0)).collect()} == {0}
 
 
-def test_label_model_recovers_accuracies():
+def test_label_model_recovers_rates_and_correlations():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.3
-    votes = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in ((0.7, 0.02), (0.6, 0.05), (0.5, 0.02))], axis=1).astype(float)
+    y = rng.random(6000) < 0.3
+    rates = np.array([(0.02, 0.7), (0.05, 0.6), (0.02, 0.5), (0.6, 0.1)])
+    votes = np.stack([np.where(y, rng.random(6000) < b, rng.random(6000) < a) for a, b in rates], axis=1).astype(float)
     votes = np.concatenate((votes, votes[:, :1]), axis=1)  # a voter that copies the first
-    p, weight = toxicity.posteriors(votes, 0.3, np.full(4000, 0.3) + 0.2 * votes.any(axis=1))
-    rates = np.array([(0.7, 0.02), (0.6, 0.05), (0.5, 0.02)])
-    v = votes[:, :3]
-    odds = np.log(0.3 / 0.7) + v @ np.log(rates[:, 0] / rates[:, 1]) + (1 - v) @ np.log((1 - rates[:, 0]) / (1 - rates[:, 1]))
+    p, found, edges, added = toxicity.posteriors(votes, np.array([1, 1, 1, 0, 1]), 0.3)
+    odds = np.log(0.3 / 0.7) + votes[:, :4] @ np.log(rates[:, 1] / rates[:, 0]) + (1 - votes[:, :4]) @ np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
     best = ((odds > 0) == y).mean()  # with the true rates
-    assert ((p > 0.5) == y).mean() > best - 0.04 and weight[0] < 0.7 < weight[1]
+    assert ((p > 0.5) == y).mean() > best - 0.04
+    assert np.abs(found[1, :4] - rates[:, 1]).max() < 0.12 and np.abs(found[0, :4] - rates[:, 0]).max() < 0.05
+    copy = [k for k, e in enumerate(edges.tolist()) if e == [0, 4]]
+    assert len(copy) == 1 and added[copy[0]] == pytest.approx(-np.log(found[1, 0] / found[0, 0]), abs=0.1)
+
+
+def test_label_model_equals_a_plain_one():
+    """Expectation maximisation row by row, in plain Python."""
+    from math import exp, log
+
+    rng = np.random.default_rng(5)
+    y = rng.random(300) < 0.4
+    votes = (rng.random((300, 4)) < np.where(y[:, None], [0.7, 0.5, 0.4, 0.1], [0.1, 0.1, 0.05, 0.5])).astype(float)
+    votes[:, 1] = np.maximum(votes[:, 1], votes[:, 0])
+    label = [1, 1, 1, 0]
+    got, _, edges, _ = toxicity.posteriors(votes, np.array(label), 0.4)
+    assert len(edges)
+    rows = [[*map(int, r), int(not any(r[:3]))] for r in votes]
+    votes_for = [*label, 0]
+    p = []
+    for r in rows:
+        up, down = any(v for v, c in zip(r, votes_for, strict=True) if c == 1), any(v for v, c in zip(r, votes_for, strict=True) if c == 0)
+        p.append(0.9 if up else 0.1 if down else 0.4)
+    pairs = []
+    for step in range(toxicity.ROUNDS):
+        n1, n0 = sum(p) + 1, sum(1 - x for x in p) + 1
+        rate = lambda on: ((sum(x for x, r in zip(p, rows, strict=True) if on(r)) + 0.5) / n1, (sum(1 - x for x, r in zip(p, rows, strict=True) if on(r)) + 0.05) / n0)  # noqa: B023, E731
+        each = [rate(lambda r, j=j: r[j]) for j in range(5)]
+        if step % 10 == 5:
+            pairs = [tuple(e) for e in toxicity.joined(np.array(rows, float), np.array(p), np.array([e[0] for e in each]), np.array([e[1] for e in each])).tolist()]
+        twice = {(i, j): rate(lambda r, i=i, j=j: r[i] and r[j]) for i, j in pairs}
+        most = {(i, j): min(abs(log(each[x][0] / each[x][1])) for x in (i, j)) for i, j in twice}
+        extra = {(i, j): max(-most[i, j], min(most[i, j], log(a / (each[i][0] * each[j][0])) - log(b / (each[i][1] * each[j][1])))) for (i, j), (a, b) in twice.items()}
+        p = [1 / (1 + exp(-(log(0.4 / 0.6) + sum(log(each[j][0] / each[j][1]) for j in range(5) if r[j]) + sum(v for (i, j), v in extra.items() if r[i] and r[j])))) for r in rows]
+    assert got.tolist() == pytest.approx(p, abs=1e-6)
+
+
+def test_classifier_minimises_its_loss():
+    """No small step in any direction makes the penalised loss smaller by more than a trifle."""
+    rng = np.random.default_rng(8)
+    lists = [sorted(set(rng.integers(0, 12, 4).tolist()) | ({12} if i % 3 == 0 else set())) for i in range(400)]
+    targets = np.array([0.95 if 12 in x else 0.05 for x in lists])
+    rows = toxicity.Rows.of(lists, 13)
+    w, bias = toxicity.train(rows, targets)
+    share = targets.mean()
+    sample = np.where(targets >= 0.5, 0.5 / share, 0.5 / (1 - share)) / len(targets)
+    norm = np.sqrt(np.maximum(rows.back(np.ones(400)), 1) / 400)
+
+    def loss(w, bias):
+        z = np.array([sum(w[i] for i in x) + bias for x in lists])
+        return float((sample * (np.logaddexp(0, z) - targets * z)).sum() + toxicity.L1 * ((1 + 20 * norm) * np.abs(w)).sum())
+
+    here = loss(w, bias)
+    assert all(loss(w + d * np.eye(13)[i], bias) > here - 1e-4 for i in range(13) for d in (-0.2, -0.02, 0.02, 0.2)) and loss(w, bias + 0.05) > here - 1e-4
+    assert w[12] > 1
+
+
+def test_toxicity_edges(spark):
+    from pyspark.sql import functions as F
+
+    calm, bad = "good day to all of you my friends", "you idiot shut up you moron"
+    rows = [(i, bad + f" x{i}" if i % 4 == 0 else calm + f" y{i}", "en", "s", 0) for i in range(400)]
+    rows += [(401, bad, "en", "s", 0)] * 2000 + [(402, None, "en", "s", 0), (403, "", None, None, 0), (None, bad, "en", "s", 0), (404, LONG, "en", "s", 0)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(400)] + [(401, 1, 1), (401, 1, 1), (None, 0, 1), (405, 1, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"score": F.lit("x"), "predicted": F.lit("y"), "a.b": F.lit(1), "h": F.lit(2)})
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.sampled(docs, lab).select("key", "h").distinct().count() <= 402
+    assert toxicity.fit(docs, lab).weights == toxicity.fit(docs.dropDuplicates(["doc_id"]), lab).weights
+    out = toxicity.scored_documents(docs, lab).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+    by = defaultdict(set)
+    for r in out:
+        by[r["doc_id"]].add((r["held_out"], r["predicted"]))
+    assert {x for _, x in by[401]} == {x for _, x in by[None]} == {1} and {x for i in (402, 403, 404) for _, x in by[i]} == {0}
+    whole = toxicity.score_toxicity(docs, toxicity.fit(docs, lab))
+    assert dict(whole.dtypes)["score"] == "double" and whole.columns[-2:] == ["score", "predicted"] and "a.b" in whole.columns
 
 
 def test_pipeline_stages(spark, tmp_path, edge):
