@@ -182,20 +182,54 @@ def test_resample_keeps_samples_and_constants():
     assert len(media.resample(x, 8000, 11025)) == -(-200 * 11025 // 8000) and len(media.resample(x, 8000, 4000)) == 100
 
 
-def test_url_collisions_are_confirmed(tmp_path):
+def test_url_collisions_are_confirmed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     path = str(tmp_path / "i")
-    same = lambda key: 7
-    urls.write_index(path, urls.RULES, ["bad.com"], digest=same)
+    keys = urls.keys_of(spark.createDataFrame(urls.RULES, "host string, path string, verdict string"), spark.createDataFrame([("bad.com",)], "host string"))
+    urls.write_index(path, keys, F.lit(7).cast("long"))
     index = urls.Index(path)
-    found = index.probe([b"com/en/", b"nothing", b"bad.com"], digest=same)
+    found = index.probe([b"com/en/", b"nothing", b"bad.com"], digest=lambda key: 7)
     assert found[1] == -1 and len({int(found[0]), int(found[2]), -1}) == 3
 
 
+def test_url_index_holds_a_large_list(spark, tmp_path):
+    hosts = spark.range(60_000).selectExpr("concat('h', id % 50000, '.example.org') AS host")
+    path = str(tmp_path / "i")
+    urls.write_index(path, urls.keys_of(spark.createDataFrame(urls.RULES, "host string, path string, verdict string"), hosts))
+    index = urls.Index(path)
+    assert len(index.digests) == 50_005 and (np.diff(index.digests) > 0).all() and index.labels == {1, 2, 3} and index.lengths == [0, 4, 5]
+    keys = [f"h{i}.example.org".encode() for i in range(60_000)]
+    found = index.probe(keys)
+    assert (found[:50_000] >= 0).all() and (found[50_000:] == -1).all() and [urls.digest(k) for k in keys[:9]] == index.digests[found[:9]].tolist()
+    assert not list(tmp_path.glob("i.*"))
+
+
+def slow_urls(rows, listed):
+    out = []
+    for i, url in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        blocked = any(host == h or host.endswith("." + h) for h in listed)
+        out.append((i, host, path, max(fits)[2] if fits else None, max(fits)[3] if fits else "block" if blocked else "allow"))
+    return sorted(map(str, out))
+
+
 def test_url_edges(spark):
-    rows = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.COM/en/7x?y"), (4, "x://example.com/en/6"), (5, "x://notcom/en/"), (6, "x://spam-farm.example.org"), (7, "x://?a/en/"), (8, "x://www.spam-farm.example.com/en/7")]
-    out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged_pages(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert out[1] == out[2] == ("", "", None, "allow") and out[3] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
-    assert out[4][2:] == ("com/en/", "block") and out[5][2:] == (None, "allow") and out[6][2:] == (None, "block") and out[7][:2] == ("", "") and out[8][3] == "allow"
+    from pyspark.sql import functions as F
+
+    rows = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.COM/en/7x?y"), (4, "x://example.com/en/6"), (5, "x://notcom/en/"), (6, "x://spam-farm.example.org"), (7, "x://?a/en/")]
+    rows += [(8, "x://www.spam-farm.example.com/en/7"), (8, "x://www.spam-farm.example.com/en/7"), (9, "x://a.b.spam-farm.example.org#"), (10, "x://h/" + "é" * 100_000), (11, "://É.Com/en/"), (None, "x://casino.net/de/8"), (12, "")]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    out = [tuple(r) for r in urls.judged_pages(frame).collect()]
+    assert sorted(map(str, out)) == slow_urls(rows, {"spam-farm.example.org", "www.spam-farm.example.com", "a.b.spam-farm.example.org", "casino.net"})
+    more = frame.withColumns({"Host": F.lit(1), "verdict": F.lit(2), "c0": F.lit(3), "a.b": F.lit(4)})
+    got = urls.filter_urls(more)
+    assert got.columns == ["page_id", "url", "c0", "a.b", "host", "path", "rule", "verdict"] and got.count() == len(rows) and {r["a.b"] for r in got.collect()} == {4}
+    assert urls.judged_pages(frame.limit(0)).count() == 0
 
 
 def base_counts(t):
