@@ -13,7 +13,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go. One of a language that was not learned stays, under the nearest learned one: with up to five languages no score is below the limit."""
+    """Documents that are of no language learned from the others go: those without a letter, and those unlike all landmarks."""
     return langid.keep_known(docs)
 
 
@@ -29,7 +29,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that all sources weigh alike, and shuffled."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix_documents(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 ORACLE_SQL: str | None = None
-"""Language scores, fingerprints and tokens have no SQL; the tests hold each stage against a brute-force version."""
+"""Language scores, fingerprints and tokens have no SQL; the tests hold run() against a brute-force version of its stages."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
