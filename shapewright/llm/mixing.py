@@ -91,6 +91,13 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     return dealt.drop("salt").toDF(*names, "copy_no", "mix_key")
 
 
+def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """docs mixed so that every source weighs alike, with just the columns of docs, whatever their names."""
+    names = docs.columns
+    out = mix(docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{place_of(docs, key)}", f"c{place_of(docs, source)}")
+    return out.drop("copy_no", "mix_key").toDF(*names)
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """op4: all documents mixed so that every source weighs alike."""
     return mix(docs)

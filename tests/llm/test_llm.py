@@ -834,11 +834,47 @@ def test_toxicity_edges(spark):
     assert dict(whole.dtypes)["score"] == "double" and whole.columns[-2:] == ["score", "predicted"] and "a.b" in whole.columns
 
 
-def test_pipeline_stages(spark, tmp_path, edge):
+def slow_pipeline(rows, model):
+    """doc_id: (copies, tokens of a copy) after language, near-duplicates, personal data and mixture, of rows with different ids."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    alike = model.predict([r[1] for r in rows])[2]
+    kept = sorted(r for r, x in zip(rows, alike, strict=True) if r[1] and any(c.isalpha() for c in r[1]) and x >= langid.LEAST_LIKENESS)
+    roots = brute_components([slow_fingerprint(r[1]) for r in kept])
+    kept = [r for i, r in enumerate(kept) if roots[i] == i]
+    clean = {r[0]: pii.redact(r[1], pii.find(r[1])) for r in kept}
+    copies = slow_mix(kept, dict.fromkeys({r[3] for r in kept}, 1.0))
+    return {i: (n, len(whole.encode(clean[i], add_special_tokens=False).ids) + 1) for i, n in copies.items() if n}
+
+
+def test_pipeline_equals_a_plain_one(spark, tmp_path, docs):
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    edge = [(10_000 + i, *r[1:]) for i, r in enumerate(EDGE) if r[1] != "😀 \x0b\x1c tab\tİstanbul ΣΑΣ <|endoftext|> it's 12 34"]
+    frame = docs.unionByName(spark.createDataFrame(edge, DOCS)).withColumns({"score": F.lit(1), "copy_no": F.lit("x"), "_fp": F.lit(2), "a.b": F.lit(3)})
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    out = P.run(spark, str(tmp_path)).collect()
+    got = defaultdict(lambda: [0, set()])
+    for r in out:
+        got[r["doc_id"]][0] += r["length"]
+        got[r["doc_id"]][1].add(r["doc_tokens"])
+    want = slow_pipeline([tuple(r)[:5] for r in frame.collect()], langid.fit(frame))
+    assert {k: (n, t) for k, (n, t) in got.items()} == {k: (n * t, {t}) for k, (n, t) in want.items()}
+
+
+def test_pipeline_of_nothing(spark, tmp_path, edge):
+    import corpus_pipeline as P
+
+    edge.limit(0).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    edge.where("text IS NULL OR text = ''").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert P.run(spark, str(tmp_path / "a")).count() == 0 and P.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_pipeline_stages(spark, edge):
     import corpus_pipeline as P
 
-    (tmp_path / "t").mkdir()
-    edge.write.parquet(str(tmp_path / "t" / "documents.parquet"))
     now = spark.read.parquet(f"{SF}/documents.parquet").unionByName(edge)
     for _, stage in P.STAGES[:-1]:
         new = stage(spark, now, SF).cache()
