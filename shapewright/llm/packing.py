@@ -44,7 +44,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordTokenizer:
     """Little-endian 32-bit ids of texts by a `tokenizers` file.
 
-    A file that is not known to cut at white space, by NORMALIZERS and CUT, gets every text whole. Otherwise a text is cut at ASCII blanks and each distinct chunk is tokenised once. A chunk of basic Latin or Latin-1 letters followed by
+    A file that is not known to cut at white space, by NORMALIZERS and CUT, gets every text whole. Otherwise a text is cut at spaces and line ends and each distinct chunk is tokenised once. A chunk of basic Latin or Latin-1 letters followed by
     plain punctuation is split there, as the file's own pre-tokenizer does, and its lower-cased letters go to the file's model
     alone; any other chunk goes through the whole tokenizer.
     """
@@ -90,7 +90,7 @@ class WordTokenizer:
         if not self.apart:
             return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
         get, chunk = self.chunks.get, self.chunk
-        return b"".join([get(x) or chunk(x) for x in re.split("[ \n\t\r]+", text) if x])
+        return b"".join([get(x) or chunk(x) for x in text.replace("\n", " ").split(" ") if x])
 
 
 class Packer:
