@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, quoted, released
@@ -29,16 +29,16 @@ SYMBOLS = "[#*$%&|<>]"
 STATS = ("x0", "x1", "x2", "x3")
 DIM = len(STATS)
 H = 0.75
-MOST_STEPS = 8
-STEADY = 1e-3
+MOST_STEPS = 6
+STEADY = 5e-3
 """Largest change of a logarithm of a determinant that ends the concentration steps."""
 PRIOR = 40.0
 """Rows that a group's estimate borrows from its language's, and a language's from that of all rows."""
 FLOOR = (0.06, 0.08, 0.08, 0.08)
 """Least standard deviation of each statistic; keeps the scatter regular where a statistic hardly varies."""
-FINE = 4096.0
+FINE = 256.0
 """Bins of a unit of a statistic, for the quantiles that the starts are scaled by."""
-OCTAVE = 64.0
+OCTAVE = 16.0
 """Bins of a doubling of squared distance, for the nearest share."""
 FEW_GROUPS = 20_000
 """Up to so many groups, of under 400 bytes each, are broadcast."""
@@ -153,17 +153,6 @@ def factored(sums: DataFrame, scale: float) -> DataFrame:
     return out.select("g", "start", "n", *[f"m_{a}" for a in STATS], *[f"l_{i}{j}" for i in range(DIM) for j in range(i + 1)], det.alias("log_det"))
 
 
-def quantile_bins(binned: DataFrame, keys: list[str], parts: list[float]) -> DataFrame:
-    """keys and q, an array with the first bin of each key up to which a share of its rows lies. binned: keys and bin.
-
-    Rows are counted by bin before they are moved, and a key has as many rows to order as it has bins.
-    """
-    counted = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    up = counted.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    return up.groupBy(*keys).agg(F.array(*[F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("bin"))) for p in parts]).alias("q"))
-
-
 def distances(rows: DataFrame, estimates: DataFrame, keys: list[str], few: bool, name: str = "d2") -> DataFrame:
     """rows with their squared Mahalanobis distance to their group's estimate."""
     out = attached(rows, estimates, keys, few)
@@ -179,18 +168,20 @@ def octave(d2: Column) -> Column:
 
 
 def concentrate(distance: DataFrame, few: bool) -> DataFrame:
-    """Moments of each group's share H of rows that are nearest, by bins of distance."""
+    """Moments of each group's share H of rows that are nearest, up to the first bin of distance that reaches it.
+
+    The exact quantile of bins keeps a count of each bin, some hundreds at most, and merges what each task has counted.
+    """
     keys = ["g", "start"]
     binned = distance.withColumn("bin", octave(F.col("d2")))
-    limits = quantile_bins(binned, keys, [H])
-    return cut(attached(binned, limits, keys, few).groupBy(*GROUP, "start").agg(*moments(F.col("bin") <= F.get("q", F.lit(0)))))
+    limits = binned.groupBy(*keys).agg(F.expr(f"percentile_disc({H}) WITHIN GROUP (ORDER BY bin)").alias("limit"))
+    return cut(attached(binned, limits, keys, few).groupBy(*GROUP, "start").agg(*moments(F.col("bin") <= F.col("limit"))))
 
 
 def estimate(rows: DataFrame, few: bool) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimates by the column g of rows."""
-    longer = rows.select("g", F.inline(F.array(*[F.struct(F.lit(i).alias("stat"), F.floor(F.col(a) * FINE).cast("int").alias("bin")) for i, a in enumerate(STATS)])))
-    each = quantile_bins(longer, ["g", "stat"], [0.25, 0.5, 0.75])
-    first = cut(each.groupBy("g").agg(*[F.max(F.when(F.col("stat") == i, F.col("q"))).alias(f"q_{a}") for i, a in enumerate(STATS)]))
+    fine = lambda a: F.floor(F.col(a) * FINE).cast("int")
+    first = cut(rows.groupBy("g").agg(*[F.percentile(fine(a), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{a}") for a in STATS]))
     scaled = attached(rows, first, ["g"], few)
     at = lambda a, i: (F.get(f"q_{a}", F.lit(i)) + 0.5) / FINE
     z = [(F.col(a) - at(a, 1)) / F.greatest((at(a, 2) - at(a, 0)) / 1.349, F.lit(f)) for a, f in zip(STATS, FLOOR, strict=True)]

@@ -292,7 +292,7 @@ def slow_mcd(rows):
     for start in (0, 1):
         chosen = {}
         for k, (_, own) in pools.items():
-            at = [[(first_bin(np.floor(x[own, j] * q.FINE), p) + 0.5) / q.FINE for p in (0.25, 0.5, 0.75)] for j in range(q.DIM)]
+            at = [(np.percentile(np.floor(x[own, j] * q.FINE), (25, 50, 75)) + 0.5) / q.FINE for j in range(q.DIM)]
             z = np.stack([(x[own, j] - at[j][1]) / max((at[j][2] - at[j][0]) / 1.349, q.FLOOR[j]) for j in range(q.DIM)], axis=1)
             chosen[k] = own[nearest((z * z).sum(axis=1) if start == 0 else np.abs(z).max(axis=1))]
         found.append([estimates(chosen, q.CONSISTENCY)])
