@@ -93,7 +93,7 @@ def label_recall_vote(spark, d):
     return best.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == F.col("b_label")).cast("int")).alias("hits"))
 
 
-@query("embedding_moments", f"WITH {EMB}, x AS (SELECT id, unnest(v) AS v, generate_subscripts(v, 1)::INT AS i FROM e WHERE TRUE), y AS (SELECT * FROM x WHERE i <= 8) SELECT a.i, b.i AS j, round(avg(a.v * b.v) - avg(a.v) * avg(b.v), 6) + 0.0 AS cov FROM y a JOIN y b ON a.id = b.id AND a.i <= b.i GROUP BY ALL")
+@query("embedding_moments", f"WITH {EMB}, x AS (SELECT id, unnest(v) AS v, generate_subscripts(v, 1)::INT AS i FROM e WHERE TRUE) SELECT a.i, b.i AS j, round(avg(a.v * b.v) - avg(a.v) * avg(b.v), 6) + 0.0 AS cov FROM x a JOIN x b ON a.id = b.id AND a.i <= b.i GROUP BY ALL")
 def embedding_moments(spark, d):
     """Covariances of all components: the moments that a projection on principal axes starts from.
 
@@ -166,7 +166,7 @@ def opposites_regions(spark, d):
     return S.different(C.profiles(spark, d), S.Query()).join(n, "b_entity").groupBy("entity", "year").agg(F.countDistinct("n_regionkey").alias("regions"))
 
 
-@query("window_ranks_hits", on_profiles("SELECT b_entity, count(*) FILTER (rank <= 5) AS at5, count(*) FILTER (rank <= 10) AS at10, min(rank) AS best FROM ranked WHERE entity = 0 GROUP BY b_entity", search_sql("a.year = b.year")[1]))
+@query("window_ranks_hits", on_profiles("SELECT entity, b_entity, count(*) FILTER (rank <= 5) AS at5, count(*) FILTER (rank <= 10) AS at10, min(rank) AS best FROM ranked GROUP BY ALL", search_sql("a.year = b.year")[1]))
 def window_ranks_hits(spark, d):
     w = Window.partitionBy("entity", "year").orderBy("d", F.abs("dy"), "b_year", "b_entity")
     found = S.best_of_entity(S.matches(C.profiles(spark, d), S.Query())).withColumn("rank", F.row_number().over(w))
@@ -219,7 +219,7 @@ def loo_grid(spark, d):
 SQL_SLUG = "regexp_replace(regexp_replace(lower(translate({}, '" + X.ACCENTED + "', '" + X.PLAIN + "')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("slugify", f"SELECT doc_id, {SQL_SLUG.format('substr(text, 1, 80)')} AS slug FROM documents")
+@query("slugify", f"SELECT doc_id, {SQL_SLUG.format('text')} AS slug FROM documents")
 def slugify(spark, d):
     """A slug of each document's whole text."""
     return table(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
@@ -246,7 +246,14 @@ def alias_resolve(spark, d):
 DENY = ["license", "password", "token"]
 
 
-@query("deny_list_hits", " UNION ALL ".join(f"SELECT doc_id, '{w}' AS word, substr(text, greatest(instr(lower(text), '{w}') - 30, 1), {len(w) + 60}) AS context FROM documents WHERE contains(lower(text), '{w}')" for w in DENY))
+DENY_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{w}' AS word, substr(text, greatest(pos - 30, 1), {len(w) + 60}) AS context FROM (SELECT doc_id, text, unnest(list_transform(range(1, len(parts)), lambda i: (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * {len(w)} + 1)::BIGINT)) AS pos "
+    f"FROM (SELECT doc_id, text, string_split(lower(text), '{w}') AS parts FROM documents WHERE contains(lower(text), '{w}')))"
+    for w in DENY
+)
+
+
+@query("deny_list_hits", DENY_SQL)
 def deny_list_hits(spark, d):
     return table(spark, d, "documents").select("doc_id", F.inline(X.hits(F.col("text"), DENY)))
 

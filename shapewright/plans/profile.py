@@ -259,7 +259,7 @@ def sigma_all_pairs(spark, d):
     return both.groupBy("metric").agg(r6(F.percentile("d", 0.5)).alias("sigma"))
 
 
-@query("decompose_top_bins", on_profiles("SELECT entity, year, b_entity, pos, rank::INT AS rank, round(part, 6) + 0.0 AS part FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, b_entity ORDER BY part DESC, pos) AS rank FROM (SELECT a.entity, a.year, b.entity AS b_entity, a.pos, round((a.s - b.s) * (a.s - b.s) / sum((a.s - b.s) * (a.s - b.s)) OVER (PARTITION BY a.entity, a.year, b.entity), 9) AS part FROM p a JOIN p b ON a.pos = b.pos AND a.year = b.year AND a.entity = 0 AND b.entity > 0)) WHERE rank <= 3"))
+@query("decompose_top_bins", on_profiles("SELECT entity, year, b_entity, pos, rank::INT AS rank, round(part, 6) + 0.0 AS part FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, b_entity ORDER BY part DESC, pos) AS rank FROM (SELECT a.entity, a.year, b.entity AS b_entity, a.pos, round((a.s - b.s) * (a.s - b.s) / sum((a.s - b.s) * (a.s - b.s)) OVER (PARTITION BY a.entity, a.year, b.entity), 9) AS part FROM p a JOIN p b ON a.pos = b.pos AND a.year = b.year AND a.entity <> b.entity)) WHERE rank <= 3"))
 def decompose_top_bins(spark, d):
     p = C.profiles(spark, d)
     met = C.pairs(p, p, others_of_year(), S.FIELDS)
@@ -347,7 +347,7 @@ TABLED = ("median_value", "low", "mid", "high", "total_dep", "base_slope_far", "
 SHOWN = ("median_value", "high", "low", "base_slope_far", "side_ratio", "modal_bin")
 
 
-@query("pair_feature_table", on_profiles(" UNION ALL ".join(f"SELECT a.year, b.entity AS b_entity, '{c}' AS feature, round(a.{c}, 6) + 0.0 AS a, round(b.{c}, 6) + 0.0 AS b, round(b.z_{c} - a.z_{c}, 6) + 0.0 AS dz FROM z a JOIN z b ON a.year = b.year AND a.entity = 0 AND b.entity > 0" for c in SHOWN), Z))
+@query("pair_feature_table", on_profiles(" UNION ALL ".join(f"SELECT a.entity, a.year, b.entity AS b_entity, '{c}' AS feature, round(a.{c}, 6) + 0.0 AS a, round(b.{c}, 6) + 0.0 AS b, round(b.z_{c} - a.z_{c}, 6) + 0.0 AS dz FROM z a JOIN z b ON a.year = b.year AND a.entity <> b.entity" for c in TABLED), Z))
 def pair_feature_table(spark, d):
     z = X.zscores(X.features(C.profiles(spark, d)))
     met = C.pairs(z, z, others_of_year(), ["entity", "year", *TABLED, *[f"z_{c}" for c in TABLED]])
@@ -356,8 +356,8 @@ def pair_feature_table(spark, d):
 
 
 @query("explain_alike_differs", on_profiles(
-    "SELECT year, b_entity, string_agg(feature, ',' ORDER BY g, i) FILTER (up <= 2) AS alike, max(feature) FILTER (down = 1) AS differs FROM (SELECT *, row_number() OVER (PARTITION BY year, b_entity ORDER BY g, i) AS up, row_number() OVER (PARTITION BY year, b_entity ORDER BY g DESC, i DESC) AS down FROM ("
-    + " UNION ALL ".join(f"SELECT a.year, b.entity AS b_entity, {i} AS i, '{c}' AS feature, round(abs(b.z_{c} - a.z_{c}), 9) AS g FROM z a JOIN z b ON a.year = b.year AND a.entity = 0 AND b.entity > 0" for i, c in enumerate(SHOWN)) + ") WHERE g IS NOT NULL) GROUP BY ALL", Z))
+    "SELECT entity, year, b_entity, string_agg(feature, ',' ORDER BY g, i) FILTER (up <= 2) AS alike, max(feature) FILTER (down = 1) AS differs FROM (SELECT *, row_number() OVER (PARTITION BY entity, year, b_entity ORDER BY g, i) AS up, row_number() OVER (PARTITION BY entity, year, b_entity ORDER BY g DESC, i DESC) AS down FROM ("
+    + " UNION ALL ".join(f"SELECT a.entity, a.year, b.entity AS b_entity, {i} AS i, '{c}' AS feature, round(abs(b.z_{c} - a.z_{c}), 9) AS g FROM z a JOIN z b ON a.year = b.year AND a.entity <> b.entity" for i, c in enumerate(SHOWN)) + ") WHERE g IS NOT NULL) GROUP BY ALL", Z))
 def explain_alike_differs(spark, d):
     """The two features of least and the one of most difference, undefined ones last."""
     z = X.zscores(X.features(C.profiles(spark, d)))

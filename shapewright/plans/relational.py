@@ -87,7 +87,14 @@ def asof_tolerance(spark, d):
     return as_of_days(spark, d, F.datediff("day", "as_of_time") <= 2).select("k", F.col("day").cast("string").alias("day"), r6("as_of_value").alias("close"))
 
 
-@query("caliper_band_join", "SELECT a.c_custkey AS custkey, count(*) AS n, min(b.c_custkey) AS first FROM (SELECT *, ln(c_acctbal) AS y FROM customer WHERE c_acctbal > 1000 AND c_custkey % 5 = 0) a JOIN (SELECT *, ln(c_acctbal) AS y FROM customer WHERE c_acctbal > 1000) b ON abs(a.y - b.y) <= 0.05 AND a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY ALL")
+TIERS_SQL = """WITH c AS (SELECT c_custkey AS k, c_nationkey AS g, ln(c_acctbal) AS y FROM customer WHERE c_acctbal > 1000),
+q AS (SELECT g, quantile_cont(y, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM c GROUP BY g), t AS (SELECT c.*, len(list_filter(cuts, lambda x: x <= y)) AS tenth FROM c JOIN q USING (g)),
+m AS (SELECT a.k, count(*) FILTER (abs(a.y - b.y) <= 0.35) AS n1, min(b.k) FILTER (abs(a.y - b.y) <= 0.35) AS f1, count(*) FILTER (a.tenth = b.tenth) AS n2, min(b.k) FILTER (a.tenth = b.tenth) AS f2, count(*) AS n3, min(b.k) AS f3
+      FROM t a JOIN t b ON a.g = b.g AND a.k <> b.k GROUP BY a.k)
+SELECT k AS custkey, CASE WHEN n1 > 0 THEN n1 WHEN n2 > 0 THEN n2 ELSE n3 END AS n, coalesce(f1, f2, f3) AS first, CASE WHEN n1 > 0 THEN 'caliper' WHEN n2 > 0 THEN 'decile' ELSE 'any' END AS tier FROM m"""
+
+
+@query("caliper_band_join", TIERS_SQL)
 def caliper_band_join(spark, d):
     """Partners of each customer within a caliper of the log balance, else in its tenth of the nation, else any of the nation."""
     c = table(spark, d, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nation"), F.log("c_acctbal").alias("y"))

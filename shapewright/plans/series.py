@@ -143,10 +143,10 @@ def prototype_spaced(spark, d):
     return St.spaced(ranked, "entity", "year", "r", 3, 2).select("entity", "year")
 
 
-PROTO_DIST = "pd AS (SELECT a.entity, a.year, b.entity AS b_entity, 5 * sum(abs(a.c - b.c)) AS d FROM p a JOIN p b ON a.pos = b.pos AND b.year = 1996 AND b.entity % 5 = 0 AND a.year = 1999 GROUP BY ALL)"
+PROTO_DIST = TOP + ", pd AS (SELECT a.entity, a.year, b.entity AS b_entity, b.year AS b_year, 5 * sum(abs(a.c - b.c)) AS d FROM p a JOIN p b ON a.pos = b.pos JOIN pr ON pr.entity = b.entity AND pr.year = b.year GROUP BY ALL)"
 
 
-@query("min_soft_min", on_profiles("SELECT entity, round(min(d), 6) + 0.0 AS least, round(list_sort(list(d))[2], 6) + 0.0 AS second, round(min(d) - 0.25 * ln(sum(exp(-(d - m) / 0.25))), 6) + 0.0 AS soft FROM (SELECT *, min(d) OVER (PARTITION BY entity) AS m FROM pd) GROUP BY entity", PROTO_DIST))
+@query("min_soft_min", on_profiles("SELECT entity, year, round(min(d), 6) + 0.0 AS least, round(list_sort(list(d))[2], 6) + 0.0 AS second, round(min(d) - 0.25 * ln(sum(exp(-(d - m) / 0.25))), 6) + 0.0 AS soft FROM (SELECT *, min(d) OVER (PARTITION BY entity, year) AS m FROM pd) GROUP BY entity, year", PROTO_DIST))
 def min_soft_min(spark, d):
     """Distances of every profile to the set of prototypes: the least, the second and the soft minimum."""
     from ..operators.metrics import w1sex
@@ -226,7 +226,21 @@ DRAWS, BLOCK_YEARS = 5000, 2
 UNI = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
 
 
-@query("block_bootstrap_ci", f"WITH {EX}, g AS (SELECT entity, sum(e) AS s, count(*) AS n, row_number() OVER (ORDER BY entity) - 1 AS i FROM ex GROUP BY entity), z AS (SELECT count(*) AS c FROM g), sl AS (SELECT draw, slot, floor({UNI.format("concat_ws(':', 7, draw, slot)")} * c)::INT AS i FROM range(200) d(draw), z, range(25) t(slot) WHERE slot < c), m AS (SELECT draw, sum(s) / sum(n) AS mean FROM sl JOIN g USING (i) GROUP BY draw) SELECT round(quantile_cont(mean, 0.025), 6) + 0.0 AS low, round(quantile_cont(mean, 0.975), 6) + 0.0 AS high FROM m")
+def draws_sql(group: str, seed: int, block: int) -> str:
+    """CTEs that end in {group}_ci: the interval of the mean by draws of a column's groups, so many in a row at once."""
+    u = UNI.format(f"concat_ws(':', {seed}, draw, slot // {block})")
+    return f"""{group}_g AS (SELECT {group}, sum(e) AS s, count(*) AS n, row_number() OVER (ORDER BY {group}) - 1 AS i FROM ex GROUP BY {group}), {group}_z AS (SELECT count(*) AS c FROM {group}_g),
+{group}_sl AS (SELECT draw, ((floor({u} * c) + slot % {block}) % c)::INT AS i FROM range({DRAWS}) d(draw), (SELECT c, unnest(range(c)) AS slot FROM {group}_z)),
+{group}_m AS (SELECT draw, sum(s) / sum(n) AS mean FROM {group}_sl JOIN {group}_g USING (i) GROUP BY draw), {group}_ci AS (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM {group}_m)"""
+
+
+CI_SQL = f"""WITH {EX}, {draws_sql("entity", 7, 1)}, {draws_sql("year", 8, BLOCK_YEARS)},
+b AS (SELECT a.low AS entity_low, a.high AS entity_high, c.low AS block_low, c.high AS block_high, c.high - c.low > a.high - a.low AS wide, (SELECT count(DISTINCT year) <= {BLOCK_YEARS} FROM ex) AS degenerate FROM entity_ci a, year_ci c)
+SELECT round(CASE WHEN wide THEN block_low ELSE entity_low END, 6) + 0.0 AS low, round(CASE WHEN wide THEN block_high ELSE entity_high END, 6) + 0.0 AS high, CASE WHEN wide THEN 'block' ELSE 'entity' END AS scheme,
+       round(entity_low, 6) + 0.0 AS entity_low, round(entity_high, 6) + 0.0 AS entity_high, round(block_low, 6) + 0.0 AS block_low, round(block_high, 6) + 0.0 AS block_high, degenerate FROM b"""
+
+
+@query("block_bootstrap_ci", CI_SQL)
 def block_bootstrap_ci(spark, d):
     """Interval of the mean excess by DRAWS draws of entities and of circular blocks of years; low and high are the wider of the two.
 
@@ -242,7 +256,7 @@ def block_bootstrap_ci(spark, d):
     return both.select(r6(pick("low")).alias("low"), r6(pick("high")).alias("high"), F.when(wide, "block").otherwise("entity").alias("scheme"), *[r6(f"{n}_{end}").alias(f"{n}_{end}") for n in ("entity", "block") for end in ("low", "high")], "degenerate")
 
 
-@query("null_n1", f"WITH {EX}, r AS (SELECT draw, year, e, row_number() OVER (PARTITION BY draw, year ORDER BY {UNI.format("concat_ws(':', 11, draw, year, entity)")}, entity) AS k FROM ex, range(50) t(draw)) SELECT draw, round(avg(e), 6) + 0.0 AS mean FROM r WHERE k <= 3 GROUP BY draw")
+@query("null_n1", f"WITH {EX}, r AS (SELECT draw, year, e, row_number() OVER (PARTITION BY draw, year ORDER BY {UNI.format("concat_ws(':', 11, draw, year, entity)")}, entity) AS k FROM ex, range({DRAWS}) t(draw)) SELECT draw, round(avg(e), 6) + 0.0 AS mean FROM r WHERE k <= 3 GROUP BY draw")
 def null_n1(spark, d):
     """Three entities a year drawn at random, DRAWS times."""
     drawn = excess(spark, d).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("draw", F.col("draw").cast("long"))
