@@ -19,8 +19,13 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(folded(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def matchable(text: Column) -> Column:
+    """Folded, without apostrophes, trimmed: how a query and what it is held against are written."""
+    return F.trim(F.regexp_replace(folded(text), "[\u2019'`]", ""))
+
+
 def subsequence_span(query: Column, name: Column) -> Column:
-    """Length of the stretch of name that holds query's characters in order, each found as early as can be; null where it has none."""
+    """From the first to the last place in name that holds query's characters in order, each found as early as can be; null where it has none."""
     found = lambda c, a: F.call_function("locate", c, name, a["at"] + 1)
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"))
     step = lambda a, c: F.struct(
@@ -28,18 +33,20 @@ def subsequence_span(query: Column, name: Column) -> Column:
         F.when(a["first"] == 0, found(c, a)).otherwise(a["first"]).alias("first"),
     )
     end = F.aggregate(F.split(query, ""), start, step)
-    return F.when(end["at"] > 0, end["at"] - end["first"] + 1)
+    return F.when(end["at"] > 0, end["at"] - end["first"])
 
 
 def fuzzy_score(query: Column, name: Column, aliases: Column | None = None) -> Column:
-    """100 equal, 80 prefix, 70 prefix of a word, 60 prefix of an alias, 40 inside, 10 to 20 in order with gaps; null for none."""
-    q, n = folded(query), folded(name)
-    span = subsequence_span(q, n)
+    """100 equal to the name or an alias, 80 prefix, 70 prefix of a word, 60 prefix of an alias, 40 inside either, 10 to 20 in order with gaps; null for none."""
+    q, n = matchable(query), matchable(name)
+    others = F.transform(F.coalesce(aliases, F.array().cast("array<string>")) if aliases is not None else F.array().cast("array<string>"), matchable)
+    some = lambda test: F.exists(others, test)
+    span = F.array_min(F.array_compact(F.concat(F.array(subsequence_span(q, n)), F.transform(others, lambda a: subsequence_span(q, a)))))
     tight = 1 - (span - (F.length(q) - 1)) / F.greatest(F.length(n), F.lit(1))
-    out = F.when(q == n, 100).when(F.startswith(n, q), 80).when(F.exists(F.split(n, "[ _-]"), lambda w: F.startswith(w, q)), 70)
-    if aliases is not None:
-        out = out.when(F.exists(aliases, lambda a: F.startswith(folded(a), q)), 60)
-    return out.when(F.contains(n, q), 40).when((F.length(q) >= 2) & span.isNotNull(), 10 + F.round(10 * F.greatest(F.lit(0.0), tight))).cast("int")
+    out = F.when(q == "", None).when((q == n) | some(lambda a: a == q), 100).when(F.startswith(n, q), 80)
+    out = out.when(F.exists(F.split(n, r"[\s-]+"), lambda w: F.startswith(w, q)), 70).when(some(lambda a: F.startswith(a, q)), 60)
+    out = out.when(F.contains(n, q) | some(lambda a: F.contains(a, q)), 40)
+    return out.when((F.length(q) >= 2) & span.isNotNull(), 10 + F.round(10 * F.greatest(F.lit(0.0), tight))).cast("int")
 
 
 def bin_label(pos: Column, bins: int = 10, width: int = 5) -> Column:

@@ -60,7 +60,7 @@ def ols(rows: DataFrame, y: str, xs: list[str]) -> tuple[list[float], np.ndarray
     m, names = moments(rows, y, xs), ["one", *xs]
     get = lambda a, b: m.get(f"{a}|{b}", m.get(f"{b}|{a}"))
     inverse = np.linalg.inv(np.array([[get(a, b) for b in names] for a in names]))
-    return list(inverse @ np.array([get(a, "y") for a in names])), inverse
+    return [float(b) for b in inverse @ np.array([get(a, "y") for a in names])], inverse
 
 
 def clustered_ols(rows: DataFrame, y: str, xs: list[str], cluster: str) -> list[tuple[float, float]]:
@@ -75,6 +75,53 @@ def clustered_ols(rows: DataFrame, y: str, xs: list[str], cluster: str) -> list[
     return [(b, math.sqrt(max(x, 0.0))) for b, x in zip(beta, np.diag(v), strict=True)]
 
 
+def sandwich_ols(rows: DataFrame, y: str, xs: list[str], parts: list[tuple[int, list[str]]]) -> list[tuple[float, float]]:
+    """Coefficients and standard errors of a signed sum of cluster variances; parts: sign and columns of each clustering (Cameron, Gelbach, Miller)."""
+    beta, inverse = ols(rows, y, xs)
+    scored, n = with_scores(rows, y, xs, beta), len(xs) + 1
+    meat = np.zeros((n, n))
+    for sign, by in parts:
+        sums = scored.groupBy(*by).agg(*[F.sum(f"_s{i}").alias(f"s{i}") for i in range(n)])
+        row = sums.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"{i}|{j}") for i in range(n) for j in range(n)]).first()
+        meat += sign * np.array([[row[f"{i}|{j}"] for j in range(n)] for i in range(n)])
+    return [(b, math.sqrt(max(x, 0.0))) for b, x in zip(beta, np.diag(inverse @ meat @ inverse), strict=True)]
+
+
+def with_scores(rows: DataFrame, y: str, xs: list[str], beta: list[float]) -> DataFrame:
+    """rows with _s0, _s1, ...: the residual times the constant and each regressor."""
+    terms = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
+    residual = F.col(y) - sum((F.lit(float(b)) * t for b, t in zip(beta, terms, strict=True)), F.lit(0.0))
+    return rows.withColumns({f"_s{i}": residual * t for i, t in enumerate(terms)})
+
+
+def driscoll_kraay_ols(rows: DataFrame, y: str, xs: list[str], period: str, lags: int) -> list[tuple[float, float]]:
+    """Coefficients and Driscoll-Kraay standard errors: scores are summed by period, products of the sums up to so many lags weighed by Bartlett's kernel.
+
+    Lags count periods that occur. What Spark returns is one row of sums over the periods.
+    """
+    beta, inverse = ols(rows, y, xs)
+    n = len(xs) + 1
+    sums = with_scores(rows, y, xs, beta).groupBy(period).agg(*[F.sum(f"_s{i}").alias(f"s{i}") for i in range(n)])
+    w = Window.orderBy(period)  # one row for each period
+    held = sums.select(*[F.col(f"s{i}") for i in range(n)], *[F.lag(f"s{i}", k).over(w).alias(f"s{i}_{k}") for i in range(n) for k in range(1, lags + 1)])
+    cross = {(i, j, k): F.coalesce(F.sum(F.col(f"s{i}") * F.col(f"s{j}_{k}" if k else f"s{j}")), F.lit(0.0)) for i in range(n) for j in range(n) for k in range(lags + 1)}
+    row = held.agg(*[c.alias("|".join(map(str, k))) for k, c in cross.items()]).first()
+    lag = lambda k: np.array([[row[f"{i}|{j}|{k}"] for j in range(n)] for i in range(n)])
+    meat = lag(0) + sum((1 - k / (lags + 1)) * (lag(k) + lag(k).T) for k in range(1, lags + 1))
+    return [(b, math.sqrt(max(x, 0.0))) for b, x in zip(beta, np.diag(inverse @ meat @ inverse), strict=True)]
+
+
+def long_run(rows: DataFrame, period: str, value: str, lags: int) -> DataFrame:
+    """n, uniform and bartlett: long-run variances of a series with one row for each period, by autocovariances up to so many lags."""
+    mean = rows.agg(F.avg(value)).scalar()
+    w = Window.orderBy(period)  # one row for each period
+    u = rows.select(period, (F.col(value) - mean).alias("u"))
+    held = u.select("u", *[F.lag("u", k).over(w).alias(f"u{k}") for k in range(1, lags + 1)])
+    gamma = [F.sum(F.col("u") * F.col(f"u{k}" if k else "u")) / F.count(F.lit(1)) for k in range(lags + 1)]
+    total = lambda weigh: sum((F.coalesce(g, F.lit(0.0)) * weigh(k) for k, g in enumerate(gamma)), F.lit(0.0))
+    return held.agg(F.count(F.lit(1)).alias("n"), total(lambda k: 2.0 if k else 1.0).alias("uniform"), total(lambda k: 2.0 * (1 - k / (lags + 1)) if k else 1.0).alias("bartlett"))
+
+
 def long_run_variance(x: list[float], lags: int, bartlett: bool = True) -> float:
     """Of a series of a few periods: weighted autocovariances of demeaned values; uniform weights fall back to Bartlett's if not positive."""
     u = np.asarray(x, float) - np.mean(x)
@@ -93,6 +140,18 @@ def sign_test(wins: int, losses: int) -> float:
     return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
 
 
+def sign_p(wins: Column, losses: Column) -> Column:
+    """sign_test() as a column: the logarithm of each binomial term from the one before."""
+    n, k = wins + losses, F.least(wins, losses)
+    start = F.struct((-n * math.log(2)).cast("double").alias("log"), F.exp(-n * math.log(2)).cast("double").alias("sum"))
+
+    def step(a: Column, i: Column) -> Column:
+        log = a["log"] + F.log((n - i + 1) / i)
+        return F.struct(log.alias("log"), (a["sum"] + F.exp(log)).alias("sum"))
+
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(F.filter(F.sequence(F.lit(0).cast("long"), k), lambda i: i > 0), start, step)["sum"]))
+
+
 def uniform_of(*key: Column) -> Column:
     """A value in [0, 1) by md5 of keys: the same in every engine and on every retry."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in key])), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

@@ -1,4 +1,4 @@
 """Query plans by group; importing this module registers all of them."""
 
-from . import evaluation, profile, relational, series, streaming  # noqa: F401
+from . import details, evaluation, profile, relational, series, streaming, studies  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

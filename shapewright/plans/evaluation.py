@@ -31,43 +31,54 @@ def nearest(spark, d, k=K):
     return search_vectors(e.where("id % 10 = 0"), e, k)
 
 
-def search_vectors(queries, vectors, k):
-    import numpy as np
-    import pandas as pd
+QUERY_BLOCK, SLICE = 2048, 1024
+
 
-    block = 4096
-    spark = vectors.sparkSession
-    numbered = queries.select("id", "label", "v").orderBy("id")
-    rows = numbered.limit(block + 1).collect()
-    if len(rows) > block:  # more queries than a block: the join itself deals them out
-        a = queries.select("id", "label", F.col("v").alias("qv"))
-        met = a.join(vectors.select(F.col("id").alias("b_id"), F.col("label").alias("b_label"), "v"), F.col("id") != F.col("b_id"))
-        near = met.select("id", "label", "b_id", "b_label", F.round(vec.cosine_distance(F.col("qv"), F.col("v")), 9).alias("d"))
-    else:
-        ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-        q = np.array([r[2] for r in rows], float).reshape(len(rows), -1)
-        shared = spark.sparkContext.broadcast((ids, labels, q))  # block vectors at most
-
-        def run(parts):
-            qi, ql, qv = shared.value
-            qn = np.sqrt((qv * qv).sum(axis=1))
-            for p in parts:
-                v = np.array(p["v"].tolist(), float).reshape(len(p), -1)
-                dist = np.round(1 - (qv @ v.T) / (qn[:, None] * np.sqrt((v * v).sum(axis=1))[None, :] + vec.COS_EPS), 9)
-                pid = p["id"].to_numpy()
-                dist[qi[:, None] == pid[None, :]] = np.inf
-                keep = min(k, len(p))
-                order = np.lexsort((np.broadcast_to(pid, dist.shape), dist), axis=1)[:, :keep]
-                at = np.repeat(np.arange(len(qi)), keep)
-                col = order.ravel()
-                out = pd.DataFrame({"id": qi[at], "label": ql[at], "b_id": pid[col], "b_label": p["label"].to_numpy()[col], "d": dist[at, col]})
-                yield out[np.isfinite(out["d"])]
-
-        near = vectors.select("id", "label", "v").mapInPandas(run, "id long, label int, b_id long, b_label int, d double")
+def search_vectors(queries, vectors, k, block=QUERY_BLOCK):
+    """k nearest of each query: one scan of the vectors for each block of queries, which alone is broadcast.
+
+    Queries are dealt into blocks by a hash of their ids. A task compares a block with SLICE vectors at a time and keeps k candidates
+    of each slice, so neither pairs nor vectors are shuffled.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    near = None
+    for i in range(blocks):
+        found = candidates_of(dealt.where(F.col("block") == i).collect(), vectors, k)
+        near = found if near is None else near.unionAll(found)
     w = Window.partitionBy("id").orderBy("d", "b_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def candidates_of(rows, vectors, k):
+    """id, label, b_id, b_label and d of the k vectors of each slice that are nearest to each of some rows (id, label, v)."""
+    import numpy as np
+    import pandas as pd
+
+    ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+    q = np.array([r[2] for r in rows], float).reshape(len(rows), -1)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, labels, q))  # a block of queries
+
+    def nearest_of(p):
+        qi, ql, qv = shared.value
+        v = np.array(p["v"].tolist(), float).reshape(len(p), -1)
+        dist = np.round(1 - (qv @ v.T) / (np.sqrt((qv * qv).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :] + vec.COS_EPS), 9)
+        pid = p["id"].to_numpy()
+        dist[qi[:, None] == pid[None, :]] = np.inf
+        keep = min(k, len(p))
+        order = np.lexsort((np.broadcast_to(pid, dist.shape), dist), axis=1)[:, :keep]
+        at, col = np.repeat(np.arange(len(qi)), keep), order.ravel()
+        out = pd.DataFrame({"id": qi[at], "label": ql[at], "b_id": pid[col], "b_label": p["label"].to_numpy()[col], "d": dist[at, col]})
+        return out[np.isfinite(out["d"])]
+
+    def run(parts):
+        for p in parts:
+            for begin in range(0, len(p) if len(shared.value[0]) else 0, SLICE):
+                yield nearest_of(p.iloc[begin : begin + SLICE])
+
+    return vectors.select("id", "label", "v").mapInPandas(run, "id long, label int, b_id long, b_label int, d double")
+
+
 @query("knn_cosine", f"WITH {NEAR} SELECT id, b_id, rank, round(d, 6) + 0.0 AS d FROM top")
 def knn_cosine(spark, d):
     return nearest(spark, d).select("id", "b_id", "rank", r6("d").alias("d"))
@@ -195,11 +206,10 @@ def sign_test_counts(spark, d):
     return judged(spark, d).groupBy("lang").agg(F.count(F.when(a & ~b, 1)).alias("wins"), F.count(F.when(b & ~a, 1)).alias("losses"))
 
 
-@query("sign_test_p")
+@query("sign_test_p", f"WITH {JUDGED}, c AS (SELECT lang, count(*) FILTER (a AND NOT b) AS wins, count(*) FILTER (b AND NOT a) AS losses FROM j GROUP BY lang), n AS (SELECT lang, wins + losses AS n, least(wins, losses) AS k FROM c), t AS (SELECT lang, n, unnest(range(k + 1)) AS i FROM n) SELECT n.lang, round(CASE WHEN any_value(n.n) = 0 THEN 1 ELSE least(1, 2 * sum(exp(lgamma(n.n + 1) - lgamma(i + 1) - lgamma(n.n - i + 1) - n.n * ln(2)))) END, 9) AS p FROM n JOIN t USING (lang) GROUP BY n.lang")
 def sign_test_p(spark, d):
-    """Exact two-sided p of each language's discordant judgments; binomials are computed for a row a language."""
-    p = F.udf(St.sign_test, "double")
-    return sign_test_counts(spark, d).select("lang", F.round(p("wins", "losses"), 9).alias("p"))
+    """Exact two-sided p of each language's discordant judgments."""
+    return sign_test_counts(spark, d).select("lang", F.round(St.sign_p(F.col("wins"), F.col("losses")), 9).alias("p"))
 
 
 CUTS = (100, 200, 300, 500, 1000)
@@ -225,12 +235,35 @@ def slugify(spark, d):
     return table(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
-@query("fuzzy_score", "SELECT p_partkey, CASE WHEN n = q THEN 100 WHEN starts_with(n, q) THEN 80 WHEN len(list_filter(regexp_split_to_array(n, '[ _-]'), lambda w: starts_with(w, q))) > 0 THEN 70 WHEN starts_with(lower(p_brand), q) THEN 60 WHEN contains(n, q) THEN 40 END::INT AS score FROM (SELECT *, lower(p_name) AS n, 'part' AS q FROM part)")
+def span_sql(q: str, text: str) -> str:
+    """From the first to the last of a query's characters in a text, each as early as can be; null where one is missing."""
+    at, first = "0", None
+    for c in q:
+        found = f"instr(substr({text}, ({at}) + 1), '{c}')"
+        at = f"({at}) + nullif({found}, 0)"
+        first = first or at
+    return f"(({at}) - ({first}))"
+
+
+def fuzzy_sql(q: str, name: str, alias: str) -> str:
+    best = f"least(coalesce({span_sql(q, name)}, {span_sql(q, alias)}), coalesce({span_sql(q, alias)}, {span_sql(q, name)}))"
+    gaps = f"WHEN {best} IS NOT NULL THEN 10 + round(10 * greatest(0.0, 1 - ({best} - {len(q) - 1}) / greatest(length({name}), 1)::DOUBLE))" if len(q) > 1 else ""
+    return f"""CASE WHEN {name} = '{q}' OR {alias} = '{q}' THEN 100 WHEN starts_with({name}, '{q}') THEN 80 WHEN len(list_filter(regexp_split_to_array({name}, '[\\s-]+'), lambda w: starts_with(w, '{q}'))) > 0 THEN 70
+    WHEN starts_with({alias}, '{q}') THEN 60 WHEN contains({name}, '{q}') OR contains({alias}, '{q}') THEN 40 {gaps} END::INT"""
+
+
+ASKED = ("widget", "hot w", "ring", "Brand#12", "d#1", "hwd", "nt", "n'ew", "x")
+ASKED_SQL = " UNION ALL ".join(f"SELECT p_partkey, '{q.replace(chr(39), chr(39) * 2)}' AS q, {fuzzy_sql(q.lower().replace(chr(39), ''), 'n', 'b')} AS score FROM (SELECT p_partkey, lower(p_name) AS n, lower(p_brand) AS b FROM part)" for q in ASKED)
+
+
+@query("fuzzy_score", ASKED_SQL)
 def fuzzy_score(spark, d):
-    return table(spark, d, "part").select("p_partkey", X.fuzzy_score(F.lit("part"), F.col("p_name"), F.array("p_brand")).alias("score"))
+    """Several queries against the names and brands of all parts, in all tiers."""
+    asked = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.explode(F.array(*map(F.lit, ASKED))).alias("q"))
+    return asked.select("p_partkey", "q", X.fuzzy_score(F.col("q"), F.col("p_name"), F.array("p_brand")).alias("score"))
 
 
-@query("fuzzy_subsequence")
+@query("fuzzy_subsequence", f"SELECT n_nationkey, {fuzzy_sql('nto', 'lower(n_name)', 'lower(n_name)')} AS score FROM nation")
 def fuzzy_subsequence(spark, d):
     """Names that hold the letters of a query in order only; 10 to 20 by how tightly."""
     return table(spark, d, "nation").select("n_nationkey", X.fuzzy_score(F.lit("nto"), F.col("n_name")).alias("score"))

@@ -259,9 +259,13 @@ def block_bootstrap_ci(spark, d):
 @query("null_n1", f"WITH {EX}, r AS (SELECT draw, year, e, row_number() OVER (PARTITION BY draw, year ORDER BY {UNI.format("concat_ws(':', 11, draw, year, entity)")}, entity) AS k FROM ex, range({DRAWS}) t(draw)) SELECT draw, round(avg(e), 6) + 0.0 AS mean FROM r WHERE k <= 3 GROUP BY draw")
 def null_n1(spark, d):
     """Three entities a year drawn at random, DRAWS times."""
+    return null_draws(spark, d).select("draw", r6("mean").alias("mean"))
+
+
+def null_draws(spark, d):
     drawn = excess(spark, d).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("draw", F.col("draw").cast("long"))
     w = Window.partitionBy("draw", "year").orderBy(St.uniform_of(F.lit(11), F.col("draw"), F.col("year"), F.col("entity")), "entity")
-    return drawn.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("draw").agg(r6(F.avg("e")).alias("mean"))
+    return drawn.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("draw").agg(F.avg("e").alias("mean"))
 
 
 @query("decision_levels", f"WITH {EX}, s AS (SELECT avg(e) AS m, avg((e > 0)::INT) AS h, count(*) AS n FROM ex), c AS (SELECT 'L1' AS level, n > 50 AS met FROM s UNION ALL SELECT 'L1', h BETWEEN 0.2 AND 0.8 FROM s UNION ALL SELECT 'L2', m > 1 FROM s UNION ALL SELECT 'L2', TRUE UNION ALL SELECT 'L3', NULL) SELECT level, bool_and(coalesce(met, FALSE)) AS granted FROM c GROUP BY level")

@@ -140,3 +140,24 @@ def test_bootstrap_has_both_schemes_and_all_draws(spark, duck):
     assert np.allclose((got["low"], got["high"]), wide[0], atol=2e-6) and got["scheme"] == wide[1]
     assert got["degenerate"] == (len({r[1] for r in rows}) <= 2)
     assert QUERIES["null_n1"](spark, SF).select("draw").distinct().count() == 5000
+
+
+def test_blocks_of_queries_find_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from shapewright.plans.evaluation import search_vectors
+
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    rows = lambda block: sorted(map(tuple, search_vectors(e.where("id % 10 = 0"), e, 5, block).collect()))
+    assert rows(7) == rows(2048) and len(rows(7)) == 5 * e.where("id % 10 = 0").count()
+
+
+def test_fuzzy_tiers(spark):
+    from pyspark.sql import functions as F
+
+    from shapewright.functions import text as X
+
+    rows = [("nation 3", "nt", [], 19), ("Côte d'Ivoire", "divoire", [], 70), ("Ivory Coast", "ci", ["CI"], 100), ("abc", "b", [], 40), ("abc", "x", [], None), ("abc", "", [], None), ("a long name", "zq", ["z-q"], 19)]
+    frame = spark.createDataFrame([(i, n, q, a) for i, (n, q, a, _) in enumerate(rows)], "i int, n string, q string, a array<string>")
+    got = {r["i"]: r["s"] for r in frame.select("i", X.fuzzy_score(F.col("q"), F.col("n"), F.col("a")).alias("s")).collect()}
+    assert got == {i: s for i, (*_, s) in enumerate(rows)}
