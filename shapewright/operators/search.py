@@ -60,7 +60,12 @@ def candidates(q: Query) -> Column:
 def matches(profiles: DataFrame, q: Query, metric: str = "blend", extra: tuple[str, ...] = ()) -> DataFrame:
     """entity, year, b_entity, b_year, dy, d for each query row and candidate; filters run before distances."""
     fields = [*FIELDS, *extra]
-    met = pairs(profiles, profiles, candidates(q), fields)
+    if q.mode == "near":  # each year allowed is a key of an equi-join
+        asked = profiles.select(*fields, F.explode(F.sequence(F.col("year") - q.n, F.col("year") + q.n)).alias("_by"))
+        other = profiles.select(*[F.col(c).alias(f"b_{c}") for c in fields])
+        met = asked.join(other, (F.col("_by") == F.col("b_year")) & candidates(q))
+    else:
+        met = pairs(profiles, profiles, candidates(q), fields)
     return met.select("entity", "year", "b_entity", "b_year", (F.col("b_year") - F.col("year")).cast("int").alias("dy"), F.round(distance(metric), 9).alias("d")).where(~F.isnan("d"))
 
 
@@ -86,13 +91,23 @@ def different(profiles: DataFrame, q: Query, k: int = 5, metric: str = "blend")
     return top(best_of_entity(matches(profiles, q, metric), farthest=True), k, farthest=True)
 
 
-def diversified(profiles: DataFrame, q: Query, k: int = 3, beta: float = 0.5, pool: int = 8, metric: str = "blend") -> DataFrame:
-    """Greedy choice from the pool farthest candidates: each round takes the largest d + beta * distance to those chosen.
+POOL_SHARE, MOST_POOL = 4, 2000
+
+
+def pooled(found: DataFrame, k: int) -> DataFrame:
+    """The farthest candidates of each query row: a quarter of them, k at least and MOST_POOL at most."""
+    n = found.groupBy("entity", "year").agg(F.count(F.lit(1)).alias("_n"))
+    size = F.greatest(F.ceil(F.col("_n") / POOL_SHARE), F.lit(k))
+    return top(found, MOST_POOL, farthest=True).join(n, ["entity", "year"]).where(F.col("rank") <= size).drop("_n")
+
+
+def diversified(profiles: DataFrame, q: Query, k: int = 3, beta: float = 0.5, metric: str = "blend") -> DataFrame:
+    """Greedy choice from the farthest candidates: each round takes the largest d + beta * distance to those chosen.
 
     k - 1 rounds are unrolled; a round is one join of the pool with the profiles chosen and one window.
     """
     w = Window.partitionBy("entity", "year")
-    held = top(best_of_entity(matches(profiles, q, metric), farthest=True), pool, farthest=True).withColumnRenamed("rank", "rank_raw")
+    held = pooled(best_of_entity(matches(profiles, q, metric), farthest=True), k).withColumnRenamed("rank", "rank_raw")
     shape = profiles.select(*[F.col(c).alias(f"b_{c}") for c in FIELDS])
     held = held.join(shape, ["b_entity", "b_year"]).withColumn("near", F.lit(None).cast("double")).withColumn("turn", F.when(F.col("rank_raw") == 1, 1))
     for turn in range(2, k + 1):

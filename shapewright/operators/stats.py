@@ -33,11 +33,33 @@ def spaced(rows: DataFrame, key: str, year: str, rank: str, most: int, gap: int)
 
 
 def soft_minimum(distances: DataFrame, keys: list[str], d: str = "d", tau: float = 0.25) -> DataFrame:
-    """least, second and soft minimum of each key: -tau * log sum exp(-d / tau), stable by the least."""
-    w = Window.partitionBy(*keys)
-    low = distances.withColumn("_m", F.min(d).over(w))
-    out = low.groupBy(*keys).agg(F.min(d).alias("least"), F.array_sort(F.collect_list(d)).alias("_all"), F.sum(F.exp(-(F.col(d) - F.col("_m")) / tau)).alias("_e"))
-    return out.select(*keys, "least", F.try_element_at("_all", F.lit(2)).alias("second"), (F.col("least") - tau * F.log("_e")).alias("soft"))
+    """least, second and soft minimum of each key: -tau * log sum exp(-d / tau), stable by the least. second is null where there is one distance only."""
+    least = distances.groupBy(*keys).agg(F.min(d).alias("least"))
+    met = distances.join(least, keys)
+    out = met.groupBy(*keys, "least").agg(F.count(F.when(F.col(d) == F.col("least"), 1)).alias("_n"), F.min(F.when(F.col(d) > F.col("least"), F.col(d))).alias("_next"), F.sum(F.exp(-(F.col(d) - F.col("least")) / tau)).alias("_e"))
+    return out.select(*keys, "least", F.when(F.col("_n") > 1, F.col("least")).otherwise(F.col("_next")).alias("second"), (F.col("least") - tau * F.log("_e")).alias("soft"))
+
+
+def totals_before(rows: DataFrame, order: str, amount: Column, parts: int = 64) -> DataFrame:
+    """rows with before, the sum of amount over all rows of smaller order; orders are different from each other.
+
+    Rows are dealt into so many stretches by quantiles of order; each stretch is summed on its own, and only the stretches' totals,
+    `parts` rows at most, are summed in one place.
+    """
+    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("_cuts"))  # one row
+    dealt = rows.withColumn("_amount", amount).join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part").agg(F.sum("_amount").alias("_sum"))
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(ahead(Window.orderBy("_part"))), F.lit(0)).alias("_offset"))
+    inner = F.coalesce(F.sum("_amount").over(ahead(Window.partitionBy("_part").orderBy(order))), F.lit(0))
+    return dealt.withColumn("_inner", inner).join(F.broadcast(offsets), "_part").withColumn("before", F.col("_offset") + F.col("_inner")).drop("_part", "_amount", "_inner", "_offset")
+
+
+def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """rows with the rank of a value from 1, ties sharing their mean: values are counted before they are ordered."""
+    counted = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = totals_before(counted, value, F.col("_n")).select(value, (F.col("before") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(ranked, value)
 
 
 def cluster_se(rows: DataFrame, value: str, cluster: str) -> DataFrame:
@@ -163,13 +185,12 @@ def bootstrap_means(group_sums: DataFrame, draws: int, key: str = "g", seed: int
     Groups are summed before they are drawn, so a draw costs as many rows as there are groups. With a block, so many groups in a row
     are drawn at once, the first following on the last, and the last block is cut at n. group_sums: key, s, n.
     """
-    w = Window.orderBy(key)  # groups are few: one row each
-    numbered = group_sums.withColumn("i", F.row_number().over(w) - 1)
+    numbered = totals_before(group_sums, key, F.lit(1)).withColumnRenamed("before", "i")
     size = numbered.agg(F.count(F.lit(1))).scalar()
     spark = group_sums.sparkSession
     slots = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), size.cast("int") - 1)).alias("slot"))
     begin = F.floor(uniform_of(F.lit(seed), F.col("draw"), F.floor(F.col("slot") / block)) * size)
-    picked = slots.withColumn("i", ((begin + F.col("slot") % block) % size).cast("int"))
+    picked = slots.withColumn("i", ((begin + F.col("slot") % block) % size).cast("long"))
     return picked.join(F.broadcast(numbered), "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 

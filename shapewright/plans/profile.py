@@ -11,6 +11,7 @@ from ..operators import corpus as C
 from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import search as S
+from ..operators import stats as St
 from ..session import table
 from .registry import on_profiles, query, r6
 
@@ -45,10 +46,9 @@ def profile_cdf(spark, d):
 
 @query("corpus_row_index", on_profiles("SELECT entity, year, (row_number() OVER (ORDER BY entity, year) - 1)::INT AS row FROM k"))
 def corpus_row_index(spark, d):
-    """Place in the corpus, from the years counted before each entity: no window over the whole table."""
+    """Place in the corpus, from the years counted before each entity: no window over the whole table, no pairs of entities."""
     p = C.cells(spark, d).select(*ids).distinct()
-    sizes = p.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(sizes.select(F.col("entity").alias("e"), F.col("n").alias("m")), F.col("e") < F.col("entity"), "left").groupBy("entity").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    before = St.totals_before(p.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "entity", F.col("n")).select("entity", "before")
     inner = F.row_number().over(Window.partitionBy("entity").orderBy("year")) - 1
     return p.join(before, "entity").select("entity", "year", (F.col("before") + inner).cast("int").alias("row"))
 
@@ -297,8 +297,8 @@ for _name, (_where, _q, _far) in SEARCHES.items():
     query(_name, search_sql(_where, _far)[0])(lambda spark, d, q=_q, far=_far: shown((S.different if far else S.similar)(C.profiles(spark, d), q)))
 
 
-def mmr_sql(k: int = 3, beta: float = 0.5, pool: int = 8) -> str:
-    ctes = search_sql("a.year = b.year", True)[1] + f", pool AS (SELECT entity, year, b_entity, d, rank FROM ranked WHERE rank <= {pool}), c1 AS (SELECT *, 1 AS turn FROM pool WHERE rank = 1)"
+def mmr_sql(k: int = 3, beta: float = 0.5) -> str:
+    ctes = search_sql("a.year = b.year", True)[1] + f", pool AS (SELECT entity, year, b_entity, d, rank FROM ranked QUALIFY rank <= least(greatest(ceil(count(*) OVER (PARTITION BY entity, year) / 4.0), {k}), 2000)), c1 AS (SELECT *, 1 AS turn FROM pool WHERE rank = 1)"
     chosen = ["c1"]
     for t in range(2, k + 1):
         so_far = " UNION ALL ".join(f"SELECT * FROM {c}" for c in chosen)

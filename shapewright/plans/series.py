@@ -216,10 +216,9 @@ def ols_moments(spark, d):
 
 @query("spearman_methods", f"WITH {GROWTH}, s AS (SELECT gr.g, lv.y FROM gr JOIN lv USING (entity, year) WHERE h = 2), r AS (SELECT rank() OVER (ORDER BY round(g, 9)) + (count(*) OVER (PARTITION BY round(g, 9)) - 1) / 2.0 AS a, rank() OVER (ORDER BY round(y, 6)) + (count(*) OVER (PARTITION BY round(y, 6)) - 1) / 2.0 AS b FROM s) SELECT round(corr(a, b), 6) + 0.0 AS rho FROM r")
 def spearman_methods(spark, d):
-    """Average ranks from counts of values below: two groupings and a window over distinct values."""
+    """Correlation of average ranks, without a window over all rows."""
     s = growths(spark, d).where("h = 2").join(levels(spark, d), ["entity", "year"]).select(F.round("g", 9).alias("a"), F.round("y", 6).alias("b"))
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
-    return s.select(rank("a").alias("ra"), rank("b").alias("rb")).agg(r6(F.corr("ra", "rb")).alias("rho"))
+    return St.average_ranks(St.average_ranks(s, "a", "ra"), "b", "rb").agg(r6(F.corr("ra", "rb")).alias("rho"))
 
 
 DRAWS, BLOCK_YEARS = 5000, 2

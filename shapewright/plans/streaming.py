@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import windows as W
 from .registry import query, r6
 
@@ -13,7 +14,7 @@ from .registry import query, r6
 @query("stream_tumbling_profile", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL")
 def stream_tumbling_profile(spark, d):
     """Daily counts of a replayed stream of events; equal to those of a batch."""
-    out = W.replayed(W.tumbling_counts(W.event_stream(spark, d)), f"tumbling_{uuid.uuid4().hex}")
+    out = W.replayed(W.tumbling_counts(W.event_stream(spark, d)), f"{shared_folder(spark)}/tumbling_{uuid.uuid4().hex}")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", (F.round("total", 4) + F.lit(0.0)).alias("total"))
 
 

@@ -133,3 +133,21 @@ def test_console_reads_only(spark):
     assert session.console(spark, "/root/testdata/sf0.001", "select count(*) as n from nation").first()["n"] == 25
     with pytest.raises(ValueError):
         session.console(spark, "/root/testdata/sf0.001", "drop table nation")
+
+
+def test_totals_before_and_average_ranks(spark):
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from shapewright.operators import stats as St
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 400, 3000).tolist()
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long")
+    got = {r["i"]: r["r"] for r in St.average_ranks(frame, "v", "r").collect()}
+    order = np.sort(values)
+    assert got == {i: (np.searchsorted(order, v) + np.searchsorted(order, v, side="right") + 1) / 2 for i, v in enumerate(values)}
+    before = {r["i"]: r["before"] for r in St.totals_before(frame, "i", F.col("v")).collect()}
+    assert before == dict(enumerate([0, *np.cumsum(values)[:-1].tolist()]))
+    assert St.totals_before(frame.limit(0), "i", F.col("v")).count() == 0
