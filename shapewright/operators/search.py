@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .corpus import pairs
-from .metrics import distance
+from .corpus import WIDTH, pairs
+from .metrics import SIGMA, distance
 
 FIELDS = ["entity", "year", "total", "s", "c", "s1", "c1"]
 MODES = ("same", "today", "near", "range", "any")
@@ -69,6 +73,92 @@ def matches(profiles: DataFrame, q: Query, metric: str = "blend", extra: tuple[s
     return met.select("entity", "year", "b_entity", "b_year", (F.col("b_year") - F.col("year")).cast("int").alias("dy"), F.round(distance(metric), 9).alias("d")).where(~F.isnan("d"))
 
 
+BLOCK, SLICE = 512, 2048
+SCANNED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("entity", "year", "b_entity", "b_year", "dy")] + [T.StructField("d", T.DoubleType())] + [T.StructField(n, T.IntegerType()) for n in ("lo", "hi")])
+
+
+def allowed(q: Query, year: np.ndarray, b_year: np.ndarray, apart: np.ndarray, b_total: np.ndarray) -> np.ndarray:
+    """candidates() for arrays of query rows by candidates."""
+    by = np.broadcast_to(b_year, apart.shape)
+    ok = {
+        "same": lambda: by == year,
+        "today": lambda: by == q.today,
+        "near": lambda: np.abs(by - year) <= q.n,
+        "range": lambda: (by >= (q.first if q.first is not None else 0)) & (by <= (q.last if q.last is not None else 9999)),
+        "any": lambda: np.ones(apart.shape, bool),
+    }[q.mode]()
+    ok = ok & apart & (b_total >= q.floor)
+    if q.era == "obs" and q.era_cut is not None:
+        ok &= (by <= q.era_cut) | ((not q.era_resolved) & (year > q.era_cut))
+    if q.trend:
+        ok &= (year - q.trend >= q.first_year) & (by - q.trend >= q.first_year)
+    return ok
+
+
+def scanned(profiles: DataFrame, q: Query, farthest: bool = False, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """What best_of_entity(matches()) gives for the blended distance, but for candidates of one entity that lie in different slices.
+
+    One scan of the profiles for each block of query rows, which alone is broadcast. A task compares the block with SLICE profiles at
+    a time and gives one row for each query row and entity in the slice: its best year, and the first and last year (lo, hi) allowed.
+    So neither pairs nor profiles are shuffled. queries: the rows that ask, by default all profiles.
+    """
+    asked = (profiles if queries is None else queries).select("entity", "year", "s", "c")
+    blocks = max(1, -(-asked.count() // block))
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("entity", "year"), F.lit(blocks)))
+    found = None
+    for i in range(blocks):
+        rows = dealt.where(F.col("_block") == i).drop("_block").collect()
+        if rows:
+            new = scan_of(rows, profiles, q, farthest)
+            found = new if found is None else found.unionAll(new)
+    return profiles.sparkSession.createDataFrame([], SCANNED) if found is None else found
+
+
+def scan_of(rows: list, profiles: DataFrame, q: Query, farthest: bool) -> DataFrame:
+    block = (np.array([r["entity"] for r in rows])[:, None], np.array([r["year"] for r in rows])[:, None], np.array([r["s"] for r in rows]).T.copy(), np.array([r["c"] for r in rows]).T.copy())
+    shared = profiles.sparkSession.sparkContext.broadcast(block)  # BLOCK rows, as far as a hash deals them evenly
+    far = 1.0 if not farthest else -1.0
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        entity, year, s, c = shared.value
+        part = part.sort_values(["entity", "year"], ignore_index=True)
+        b_entity, b_year = part["entity"].to_numpy(), part["year"].to_numpy()
+        bs, bc = np.array(part["s"].tolist()).T, np.array(part["c"].tolist()).T
+        squares, moved = np.zeros((s.shape[1], len(part))), np.zeros((s.shape[1], len(part)))
+        for j in range(len(s)):
+            gap = s[j][:, None] - bs[j][None, :]
+            squares += gap * gap
+            moved += np.abs(c[j][:, None] - bc[j][None, :])
+        d = np.round(0.5 * np.sqrt(squares) / SIGMA["l2"] + 0.5 * (WIDTH * moved) / SIGMA["w1sex"], 9)
+        ok = allowed(q, year, b_year[None, :], b_entity[None, :] != entity, part["total"].to_numpy()[None, :]) & ~np.isnan(d)
+        starts = np.flatnonzero(np.concatenate(([True], b_entity[1:] != b_entity[:-1])))
+        size = np.diff(np.append(starts, len(part)))
+        cost = np.where(ok, far * d, np.inf)
+        least = np.minimum.reduceat(cost, starts, axis=1)
+        tie = np.where(ok & (cost == np.repeat(least, size, axis=1)), np.abs(b_year - year).astype(np.int64) * 100_000 + b_year, np.iinfo(np.int64).max)
+        at = np.minimum.reduceat(tie, starts, axis=1) % 100_000
+        lo = np.minimum.reduceat(np.where(ok, b_year, 99_999), starts, axis=1)
+        hi = np.maximum.reduceat(np.where(ok, b_year, -1), starts, axis=1)
+        row, col = np.nonzero(np.isfinite(least))
+        y, by = year[row, 0], at[row, col]
+        out = {"entity": entity[row, 0], "year": y, "b_entity": b_entity[starts][col], "b_year": by, "dy": by - y, "d": far * least[row, col], "lo": lo[row, col], "hi": hi[row, col]}
+        return pd.DataFrame(out).astype({n: np.int32 for n in out if n != "d"})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for begin in range(0, len(part), SLICE):
+                yield best(part.iloc[begin : begin + SLICE])
+
+    return profiles.select("entity", "year", "total", "s", "c").mapInPandas(run, SCANNED)
+
+
+def found_by(profiles: DataFrame, q: Query, metric: str, farthest: bool = False) -> DataFrame:
+    """entity, year, b_entity, b_year, dy, d: the best year of each candidate entity. Candidates of the same or near years meet in a join, others in a scan."""
+    if metric == "blend" and q.mode not in ("same", "near"):
+        return best_of_entity(scanned(profiles, q, farthest).drop("lo", "hi"), farthest)
+    return best_of_entity(matches(profiles, q, metric), farthest)
+
+
 def best_of_entity(found: DataFrame, farthest: bool = False) -> DataFrame:
     """One year of each candidate entity: nearest (or farthest), then smallest |dy|, then earliest."""
     order = F.desc("d") if farthest else F.asc("d")
@@ -84,11 +174,11 @@ def top(found: DataFrame, k: int, farthest: bool = False) -> DataFrame:
 
 
 def similar(profiles: DataFrame, q: Query, k: int = 5, metric: str = "blend") -> DataFrame:
-    return top(best_of_entity(matches(profiles, q, metric)), k)
+    return top(found_by(profiles, q, metric), k)
 
 
 def different(profiles: DataFrame, q: Query, k: int = 5, metric: str = "blend") -> DataFrame:
-    return top(best_of_entity(matches(profiles, q, metric), farthest=True), k, farthest=True)
+    return top(found_by(profiles, q, metric, farthest=True), k, farthest=True)
 
 
 POOL_SHARE, MOST_POOL = 4, 2000
@@ -107,7 +197,7 @@ def diversified(profiles: DataFrame, q: Query, k: int = 3, beta: float = 0.5, me
     k - 1 rounds are unrolled; a round is one join of the pool with the profiles chosen and one window.
     """
     w = Window.partitionBy("entity", "year")
-    held = pooled(best_of_entity(matches(profiles, q, metric), farthest=True), k).withColumnRenamed("rank", "rank_raw")
+    held = pooled(found_by(profiles, q, metric, farthest=True), k).withColumnRenamed("rank", "rank_raw")
     shape = profiles.select(*[F.col(c).alias(f"b_{c}") for c in FIELDS])
     held = held.join(shape, ["b_entity", "b_year"]).withColumn("near", F.lit(None).cast("double")).withColumn("turn", F.when(F.col("rank_raw") == 1, 1))
     for turn in range(2, k + 1):
@@ -123,9 +213,9 @@ def diversified(profiles: DataFrame, q: Query, k: int = 3, beta: float = 0.5, me
 
 def best_years(profiles: DataFrame, q: Query, metric: str = "blend") -> DataFrame:
     """Best year of each candidate entity, and whether it lies at the edge of the years allowed."""
-    found = matches(profiles, q, metric)
-    edges = found.groupBy("entity", "year", "b_entity").agg(F.min("b_year").alias("lo"), F.max("b_year").alias("hi"))
-    best = best_of_entity(found).join(edges, ["entity", "year", "b_entity"])
+    found = scanned(profiles, q) if metric == "blend" else matches(profiles, q, metric).withColumns({"lo": F.col("b_year"), "hi": F.col("b_year")})
+    edges = found.groupBy("entity", "year", "b_entity").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = best_of_entity(found.drop("lo", "hi")).join(edges, ["entity", "year", "b_entity"])
     return best.select("entity", "year", "b_entity", "b_year", "d", ((F.col("b_year") == F.col("lo")) | (F.col("b_year") == F.col("hi"))).alias("boundary_hit"))
 
 

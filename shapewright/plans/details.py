@@ -290,8 +290,7 @@ def snapshot_reason(spark, d):
 @query("best_year_of_pair", on_profiles("SELECT entity, b_entity, arg_min(year, (round(d, 9), year, b_year)) AS year, arg_min(b_year, (round(d, 9), year, b_year)) AS b_year, round(round(min(d), 9), 6) + 0.0 AS d FROM dist GROUP BY entity, b_entity", over_pairs(BLEND, where="a.entity <> b.entity")))
 def best_year_of_pair(spark, d):
     """The two years in which two entities are most alike."""
-    met = S.matches(C.profiles(spark, d), S.Query("any"))
-    best = met.groupBy("entity", "b_entity").agg(F.min(F.struct("d", "year", "b_year")).alias("m"))
+    best = S.scanned(C.profiles(spark, d), S.Query("any")).groupBy("entity", "b_entity").agg(F.min(F.struct("d", "year", "b_year")).alias("m"))
     return best.select("entity", "b_entity", F.col("m.year").alias("year"), F.col("m.b_year").alias("b_year"), r6("m.d").alias("d"))
 
 

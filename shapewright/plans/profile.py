@@ -381,7 +381,7 @@ def bands_same_grid(spark, d):
 @query("bands_best_grid", on_profiles(f"SELECT (i - 1)::INT AS i, round(q[i], 6) + 0.0 AS v FROM (SELECT quantile_cont(m, {GRID_SQL}) AS q FROM (SELECT min(d) AS m FROM dist GROUP BY entity, year, b_entity)), range(1, {len(B.GRID) + 1}) r(i)", over_pairs(BLEND, where="a.entity <> b.entity")))
 def bands_best_grid(spark, d):
     """Bands of the best year of an entity: what a search with time shift is to be held against."""
-    best = S.matches(C.profiles(spark, d), S.Query("any")).groupBy("entity", "year", "b_entity").agg(F.min("d").alias("d"))
+    best = S.scanned(C.profiles(spark, d), S.Query("any")).groupBy("entity", "year", "b_entity").agg(F.min("d").alias("d"))
     return B.bands(best).select(F.posexplode("q").alias("i", "v")).select("i", r6("v").alias("v"))
 
 
