@@ -46,3 +46,18 @@ def console(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         raise ValueError("only one SELECT is allowed")
     register_views(spark, sf_dir)
     return spark.sql(text.rstrip().rstrip(";"))
+
+
+def register_distances(spark: SparkSession) -> None:
+    """l1, l2, w1s and blend_d of arrays as functions of SQL in this session."""
+    from .operators.corpus import WIDTH
+    from .operators.metrics import SIGMA
+
+    def add(name: str, arguments: str, body: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS DOUBLE RETURN {body}")
+
+    two = "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>"
+    add("l1", two, "aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (t, x) -> t + x)")
+    add("l2", two, "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (t, x) -> t + x))")
+    add("w1s", two, f"{WIDTH} * aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (t, x) -> t + x)")
+    add("blend_d", "s ARRAY<DOUBLE>, bs ARRAY<DOUBLE>, c ARRAY<DOUBLE>, bc ARRAY<DOUBLE>", f"0.5 * l2(s, bs) / {SIGMA['l2']} + 0.5 * w1s(c, bc) / {SIGMA['w1sex']}")
