@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The percentiles that bands are kept at, dense at both ends, where searches look. Labels change at the 5th, 25th, 75th and 95th.
 GRID = (0, 1, 2, 5, 10, 15, 20, 25, 30, 40, 50, 60, 70, 75, 80, 85, 90, 95, 97, 98, 99, 99.5, 99.9, 100)
 P5, P25, P75, P95 = (GRID.index(p) for p in (5, 25, 75, 95))
 

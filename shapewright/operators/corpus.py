@@ -12,7 +12,7 @@ BINS = 10
 WIDTH = 5.0
 SIDES = ("O", "F")
 FULL = 65535
-_cells: dict[tuple[str, str], DataFrame] = {}
+_cells: dict[tuple[str, str], tuple[tuple[tuple[int, int], ...], DataFrame]] = {}
 
 
 def long_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +38,30 @@ def dense(counts: DataFrame, bins: int = BINS) -> DataFrame:
     return out.select("entity", "year", (F.col("pos") % bins).cast("int").alias("bin"), side.alias("side"), "pos", F.coalesce(F.try_element_at("m", "pos"), F.lit(0.0)).alias("pop"))
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> tuple[tuple[int, int], ...]:
+    """When the tables of the corpus were changed, and their sizes."""
+    out = []
+    for name in ("lineitem", "orders", "customer"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((status.getModificationTime(), status.getLen()))
+    return tuple(out)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense cells of a folder's tables, kept in memory or on disk for the session as the reference keeps its store."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _cells:
-        _cells[key] = dense(long_counts(spark, sf_dir)).persist()
-    return _cells[key]
+    """The dense cells of a folder's tables, kept in memory or on disk until the tables change or forget() is called."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), stamp(spark, sf_dir)
+    if key not in _cells or _cells[key][0] != now:
+        forget(spark, sf_dir)
+        _cells[key] = now, dense(long_counts(spark, sf_dir)).persist()
+    return _cells[key][1]
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Gives back what cells() keeps of a folder."""
+    held = _cells.pop((spark.sparkContext.applicationId, sf_dir), None)
+    if held:
+        held[1].unpersist()
 
 
 def shares(cells_: DataFrame) -> DataFrame:

@@ -64,7 +64,6 @@ def guard(bars: DataFrame, key: str, day: str, least_bars: int, most_gap: int, t
 
 def filled(rows: DataFrame, calendar: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Every key on every time of the calendar, with the last value at or before it."""
-    days = calendar.agg(F.sort_array(F.collect_set(time)).alias("_days"))  # a calendar is small: its times fit a row
-    spine = rows.select(key).distinct().join(F.broadcast(days)).select(key, F.explode("_days").alias(time))
+    spine = rows.select(key).distinct().crossJoin(calendar.select(time).distinct())  # the rows that are asked for
     w = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     return spine.join(rows.select(key, time, value), [key, time], "left").withColumn(value, F.last(value, ignorenulls=True).over(w))

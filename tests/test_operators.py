@@ -167,3 +167,21 @@ def test_scans_equal_joins(spark):
         assert rows(got) == rows(want)
     few = S.scanned(p, S.Query("any"), queries=p.where("entity = 3"))
     assert {r["entity"] for r in few.select("entity").distinct().collect()} == {3}
+
+
+def test_kept_cells_follow_their_tables(spark, tmp_path):
+    from conftest import SF
+
+    from shapewright.operators import corpus as C
+
+    folder = str(tmp_path)
+    for name in ("lineitem", "orders", "customer"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    first = C.cells(spark, folder)
+    total = first.agg({"pop": "sum"}).first()[0]
+    assert C.cells(spark, folder) is first and first.is_cached
+    spark.read.parquet(f"{SF}/lineitem.parquet").where("l_quantity > 10").write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+    assert 0 < C.cells(spark, folder).agg({"pop": "sum"}).first()[0] < total
+    kept = C.cells(spark, folder)
+    C.forget(spark, folder)
+    assert not kept.storageLevel.useMemory
