@@ -237,12 +237,8 @@ def slugify(spark, d):
 
 def span_sql(q: str, text: str) -> str:
     """From the first to the last of a query's characters in a text, each as early as can be; null where one is missing."""
-    at, first = "0", None
-    for c in q:
-        found = f"instr(substr({text}, ({at}) + 1), '{c}')"
-        at = f"({at}) + nullif({found}, 0)"
-        first = first or at
-    return f"(({at}) - ({first}))"
+    pattern = q[0] + "".join(f"[^{c}]*{c}" for c in q[1:])
+    return f"(nullif(length(regexp_extract({text}, '{pattern}')), 0) - 1)"
 
 
 def fuzzy_sql(q: str, name: str, alias: str) -> str:
