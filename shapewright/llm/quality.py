@@ -29,16 +29,16 @@ SYMBOLS = "[#*$%&|<>]"
 STATS = ("x0", "x1", "x2", "x3")
 DIM = len(STATS)
 H = 0.75
-MOST_STEPS = 6
-STEADY = 5e-3
+MOST_STEPS = 8
+STEADY = 1e-3
 """Largest change of a logarithm of a determinant that ends the concentration steps."""
 PRIOR = 40.0
 """Rows that a group's estimate borrows from its language's, and a language's from that of all rows."""
 FLOOR = (0.06, 0.08, 0.08, 0.08)
 """Least standard deviation of each statistic; keeps the scatter regular where a statistic hardly varies."""
-FINE = 256.0
+FINE = 4096.0
 """Bins of a unit of a statistic, for the quantiles that the starts are scaled by."""
-OCTAVE = 16.0
+OCTAVE = 64.0
 """Bins of a doubling of squared distance, for the nearest share."""
 FEW_GROUPS = 20_000
 """Up to so many groups, of under 400 bytes each, are broadcast."""
