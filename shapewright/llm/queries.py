@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, and their SQL where SQL can express them."""
+"""Queries of the operators over the given tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, media, mixing, packing, pii, quality, simhash, toxicity, urls
+from . import chat, fim, kmeans, langid, media, mixing, packing, pii, quality, simhash, topk, toxicity, urls
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,9 @@ def queries() -> dict[str, Query]:
         "op8_gray_simhash": over("documents", simhash.near_documents),
         "op9_pii_spans": over("documents", pii.pii_digests),
         "op10_weak_toxicity": lambda spark, sf_dir: toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+        "op11_dual_tree_lloyd": over("embeddings", kmeans.clustered_embeddings),
+        "op12_uniform_threshold_topk": over("embeddings", topk.nearest_documents),
+        "op13_automaton_fim": over("documents", fim.filled_documents),
     }
 
 
@@ -36,4 +39,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_digest_filter": urls.ORACLE_SQL,
         "op4_poisson_mixing": mixing.ORACLE_SQL,
         "op6_snapshot_collapse": chat.ORACLE_SQL,
+        "op11_dual_tree_lloyd": kmeans.ORACLE_SQL,
+        "op12_uniform_threshold_topk": topk.ORACLE_SQL,
+        "op13_automaton_fim": fim.ORACLE_SQL,
     }
