@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import append_columns, place_of, quoted, remainder, slices
+from .shared import append_columns, cut, place_of, quoted, remainder, slices
 
 BUCKETS = (256, 4096, 32768)
 """Buckets of n-grams of 1, 2 and 3 bytes."""
@@ -32,6 +32,8 @@ PER_LANGUAGE = 400
 """Labelled rows wanted of each language for fitting, chosen by hash."""
 MOST_ROWS = 4000
 """Bound on all rows used for fitting; with more than MOST_ROWS / PER_LANGUAGE languages each gets fewer."""
+PLENTY = 8
+"""Times as many keys as are wanted that the first thinning leaves; far more than an estimate of 5 % can err."""
 LANDMARKS = 240
 RIDGE = 1e-3
 SHARPNESS = 4.0
@@ -39,6 +41,7 @@ BATCH = 64
 """Presence rows multiplied at once."""
 UNKNOWN = "und"
 WORDY = re.compile(r"[^\W\d_]")
+A_LETTER = r"\p{L}"
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -125,36 +128,52 @@ def learned_from(key: str) -> Column:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model of a bounded sample of labelled rows: about PER_LANGUAGE of each language and MOST_ROWS at most, by hash of key and text.
+    """A model of a bounded sample of labelled rows: PER_LANGUAGE of each language, or fewer where MOST_ROWS would be exceeded.
 
-    Only rows with a language and a letter whose key's crc32 modulo FOLDS isn't HELD_OUT are used. The sample's keys are chosen from
-    narrow columns; its texts are turned into bits where they lie, and only these come to the driver, MOST_ROWS * WIDTH / 8 bytes at most.
+    Only rows with a language and a letter whose key's crc32 modulo FOLDS isn't HELD_OUT are used, of each key and language one, so that
+    a key of very many rows counts as any other and no language loses its share to another. The sample is chosen from narrow columns;
+    its texts are turned into bits where they lie, and only these come to the driver, MOST_ROWS * WIDTH / 8 bytes at most.
     """
-    labelled = df.where(learned_from(key) & quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(key).cast("string").alias("key"), quoted(lang).alias("lang"), quoted(text).alias("text"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.least(F.lit(PER_LANGUAGE), F.lit(MOST_ROWS) / counts.agg(F.count(F.lit(1))).scalar())
-    order = F.xxhash64(F.lit("sample"), "key")
-    chance = (order.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)) * F.col("n")
-    picked = labelled.select("key", "lang").join(counts, "lang").where(chance < 1.2 * wanted).select("key", order.alias("o")).orderBy("o", "key").limit(MOST_ROWS)
-    keys = F.broadcast(picked.select("key").distinct())  # MOST_ROWS keys at most
+    labelled = df.where(learned_from(key) & quoted(lang).isNotNull() & quoted(text).rlike(A_LETTER)).select(quoted(key).cast("string").alias("key"), quoted(lang).alias("lang"), quoted(text).alias("text"))
+    chosen = F.broadcast(cut(sampled(labelled.select("key", "lang", F.xxhash64("text").alias("h")))))  # MOST_ROWS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()  # MOST_ROWS at most; a row's copies are passed over
         for whole in batches:
             for part in slices(whole, "text"):
-                bits = []
-                for t in part.column("text").to_pylist():
-                    row = np.zeros(WIDTH, np.uint8)
-                    if has_letter(t):
-                        mark(t, row)
-                    bits.append(np.packbits(row).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array(bits, pa.binary())], names=["key", "lang", "bits"])
-
-    rows = labelled.join(keys, "key", "left_semi").mapInArrow(run, "key string, lang string, bits binary").where(F.octet_length("bits") > 0)
-    sample = rows.orderBy(F.xxhash64(F.lit("sample"), "key"), "key", "lang").limit(MOST_ROWS).toArrow()
+                out = []
+                for k, x, t in zip(*(part.column(c).to_pylist() for c in ("key", "lang", "text")), strict=True):
+                    if (k, x) not in seen:
+                        seen.add((k, x))
+                        row = np.zeros(WIDTH, np.uint8)
+                        if has_letter(t):
+                            mark(t, row)
+                        out.append((k, x, np.packbits(row).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.binary()))], names=["key", "lang", "bits"])
+
+    met = labelled.withColumn("h", F.xxhash64("text")).join(chosen, ["key", "lang", "h"], "left_semi").select("key", "lang", "text")
+    rows = met.mapInArrow(run, "key string, lang string, bits binary").dropDuplicates(["key", "lang"])
+    sample = rows.orderBy(F.xxhash64(F.lit("sample"), "key"), "key", "lang").toArrow()
     kept = [(b, x) for b, x in zip(sample.column("bits").to_pylist(), sample.column("lang").to_pylist(), strict=True) if any(b)]
     return fit_model([b for b, _ in kept], [x for _, x in kept])
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """key, lang and h of the rows to learn from, by hash of the key: one row of a key, an equal share of MOST_ROWS for each language.
+
+    Keys are thinned out by their hash before any are dealt out; their number in a language is estimated for that only, and PLENTY times as many
+    as are wanted stay. Of a key's rows Spark's group limit lets one of each task pass.
+    """
+    order = F.xxhash64(F.lit("sample"), "key")
+    about = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.05).alias("n"))
+    share = F.least(F.lit(PER_LANGUAGE), F.greatest(F.lit(1), F.floor(F.lit(MOST_ROWS) / about.agg(F.count(F.lit(1))).scalar())))
+    chance = (order.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)) * F.col("n")
+    near = rows.join(about, "lang").where(chance < PLENTY * (share + PLENTY)).select("key", "lang", "h", order.alias("o"))
+    first = lambda of, by, at, n: of.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*at))).where(F.col("_n") <= n).drop("_n")
+    one = first(near, ["key", "lang"], ["h"], 1)
+    return first(one, ["lang"], ["o", "key"], share).orderBy("o", "key", "lang").limit(MOST_ROWS).select("key", "lang", "h")
+
+
 def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """df with lang_pred, score and, where a third name is given, likeness of its text, under these names.
 
@@ -174,9 +193,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", names: tuple[str,
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
-    """op5: the language of every document."""
+    """op5: the language of every document. A null doc_id has no remainder: it is neither learned from nor held out."""
     out = identify(docs.select("doc_id", "text"), fit(docs))
-    return out.select("doc_id", F.coalesce(~learned_from("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 LEAST_LIKENESS = 0.15

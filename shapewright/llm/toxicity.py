@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ from .shared import append_columns, cut, quoted, remainder, slices
 FOLDS, HELD_OUT = 5, 0
 PER_LABEL = 6000
 """Labelled rows of each label used for fitting at most, chosen by hash."""
+TEXTS_OF_KEY = 1
+"""Documents of one key used for fitting."""
 FEATURES = 6000
 """Stems kept for fitting, by how far their shares of toxic and other rows differ."""
 LEAST_ROWS = 4
@@ -46,19 +48,28 @@ L1 = 2e-4
 STEPS = 400
 MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]+")
-INSULTS = frozenset("idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting clown filthy vermin ugly hate".split())
-"""A lexicon that needs no labels."""
+INSULTS = frozenset(
+    (
+        "idiot idiots moron morons stupid dumb fool loser losers scum trash garbage pathetic worthless disgusting clown filthy vermin ugly hate "
+        "abschaum dreckig dummkopf dumm ekelhaft hässlich idioten trottel versager widerlich wertlos "
+        "abruti abrutis crétin crétins débile dégoûtant imbécile imbéciles minable ordure ordures pathétique "
+        "asco asqueroso basura escoria estúpido estúpidos idiota idiotas imbécil imbéciles inútil patético"
+    ).split()
+)
+"""A lexicon of the four languages that needs no labels."""
 PATTERNS = {
-    "\x01you-are": re.compile(r"\byou(?:'re| are)\s+(?:an?|such|so|the)\s+\w+", re.I),
-    "\x01shut-up": re.compile(r"\bshut\s+up\b", re.I),
+    "\x01you-are": re.compile(r"\b(?:you(?:'re| are)\s+(?:an?|such|so|the)|du bist\s+(?:ein|eine|so)|tu es\s+(?:un|une|si)|eres\s+(?:un|una|tan))\s+\w+", re.I),
+    "\x01shut-up": re.compile(r"\b(?:shut\s+up|halt die klappe|ta gueule|ferme-la|cállate)\b", re.I),
     "\x01shouted": re.compile(r"(?:\b[^\W\d_a-z]{4,}\b\W+){4}"),
     "\x01marks": re.compile(r"[!?]{3}"),
 }
+ADDRESS = "you your yours du dich dir dein deine ihr euch tu te toi ton vous votre tú ti usted ustedes vosotros"
+COURTESY = "please thanks thank sorry welcome bitte danke entschuldigung merci pardon bienvenue gracias perdón bienvenido"
 CALM_PATTERNS = {
-    "\x01calm": re.compile(r"\A[^!?]*\Z"),
-    "\x01plain": re.compile(r"\A[^#*$%&|<>!]*\Z"),
+    "\x01impersonal": re.compile(rf"\A(?!.*\b(?:{ADDRESS.replace(' ', '|')})\b)", re.I | re.S),
+    "\x01courteous": re.compile(rf"\b(?:{COURTESY.replace(' ', '|')})\b", re.I),
 }
-"""Patterns that vote 0: no marks of excitement, no symbols. They are voters only, no features of the classifier."""
+"""Patterns that vote 0: nobody is addressed, a word of courtesy. They are voters only, no features of the classifier."""
 
 
 def stems(word: str) -> list[str]:
@@ -256,15 +267,17 @@ def learnable(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 def sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, h, text and toxic of documents of PER_LABEL labelled keys of each label at most, by hash of the key; never of held-out keys.
 
-    Of documents with the same key, different texts are different rows; PER_LABEL rows of a label, by h, a hash of the text, are used
-    at most.
+    Of the documents of a key the TEXTS_OF_KEY with the least h, a hash of the text, are used, so that a key of very many documents
+    counts as any other.
     """
     known = learnable(labels, key)
     order = F.xxhash64(F.lit("sample"), "key")
-    part = lambda of, y: of.where(F.col("toxic") == y).orderBy(order, *of.columns).limit(PER_LABEL)
-    both = lambda of: F.broadcast(part(of, 0).unionAll(part(of, 1)))  # noqa: E731  2 * PER_LABEL rows at most
     keyed = docs.select(quoted(key).cast("string").alias("key"), quoted(text).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = cut(both(keyed.select("key", "h").join(both(known), "key").distinct()))
+    there = known.join(keyed.select("key").distinct(), "key", "left_semi")
+    part = lambda y: there.where(F.col("toxic") == y).orderBy(order, "key").limit(PER_LABEL)
+    chosen = F.broadcast(part(0).unionAll(part(1)))  # 2 * PER_LABEL rows at most
+    of_key = F.row_number().over(Window.partitionBy("key").orderBy("h"))
+    rows = cut(keyed.select("key", "h").join(chosen, "key").withColumn("n", of_key).where(F.col("n") <= TEXTS_OF_KEY).drop("n"))
     return keyed.join(F.broadcast(rows), ["key", "h"])
 
 
@@ -272,10 +285,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """A classifier from a bounded sample of labelled rows; FEATURES names and the sample's feature numbers come to the driver."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # as many as the sample has rows; a row's copies are passed over
         for whole in batches:
             for part in slices(whole, "text"):
-                new = pa.array([sorted(features_of(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("h"), part.column("toxic"), new], names=["key", "h", "toxic", "f"])
+                rows = [r for r in part.to_pylist() if not ((r["key"], r["h"]) in seen or seen.add((r["key"], r["h"])))]
+                yield pa.RecordBatch.from_pylist([r | {"f": sorted(features_of(r.pop("text")))} for r in rows], pa.schema([("key", pa.string()), ("h", pa.int64()), ("toxic", pa.int32()), ("f", pa.list_(pa.string()))]))
 
     found = sampled(docs, labels).select("key", "h", "text", "toxic").mapInArrow(words, "key string, h long, toxic int, f array<string>")
     marked = cut(found.groupBy("key", "h").agg(F.first("toxic").alias("toxic"), F.first("f").alias("f")))
@@ -318,10 +332,10 @@ def score_toxicity(df: DataFrame, classifier: Classifier, text: str = "text") ->
 
 
 def held_out(key: Column) -> Column:
-    return F.coalesce(remainder(key, FOLDS) == HELD_OUT, F.lit(True))
+    return F.coalesce(remainder(key, FOLDS) == HELD_OUT, F.lit(False))
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """op10: every document's toxicity."""
+    """op10: every document's toxicity. A null doc_id has no remainder: it is neither learned from nor held out."""
     out = score_toxicity(docs.select("doc_id", "text"), fit(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

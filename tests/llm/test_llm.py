@@ -1,4 +1,4 @@
-"""The ten operators against brute force, on whole small tables and on edge cases."""
+"""Operators 1 to 10 against brute force, on whole small tables and on edge cases."""
 
 import hashlib
 import re
@@ -39,7 +39,7 @@ def texts():
 
 def test_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -882,3 +882,46 @@ def test_pipeline_stages(spark, edge):
         now = new
     assert P.STAGES[-1][1](spark, now, SF).agg({"length": "sum"}).first()[0] > 0
     assert P.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("last", [False, True])
+@pytest.mark.parametrize("same", [False, True])
+def test_a_repeated_key_takes_no_language_away(spark, docs, last, same):
+    """A key of 10,000 rows, first or last by the hash that samples go by, leaves the model as one row of it does."""
+    from pyspark.sql import functions as F
+
+    known = docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    key = known.orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")) * (-1 if last else 1)).first()["doc_id"]
+    one = docs.where(F.col("doc_id") == key).limit(1)
+    text = F.col("text") if same else F.concat(F.col("text"), F.lit(" "), F.col("i").cast("string"))
+    many = one.crossJoin(spark.range(10_000).withColumnRenamed("id", "i")).withColumn("text", text).drop("i")
+    crowded = docs.where(F.col("doc_id") != key).unionByName(many)
+    model, plain = langid.fit(crowded), langid.fit(docs)
+    assert model.languages == plain.languages and len(model.languages) == 4
+    if same:
+        assert np.allclose(model.weights, plain.weights)
+    texts = [r[0] for r in docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).select("text").collect()]
+    assert model.predict(texts)[0] == plain.predict(texts)[0]
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_a_labelled_key_of_many_texts_counts_once(spark, last, monkeypatch):
+    from pyspark.sql import functions as F
+
+    calm, bad = "good day to all of you my friends", "you idiot shut up you moron"
+    rows = [(i, bad + f" x{i}" if i % 4 == 0 else calm + f" y{i}", "en", "s", 0) for i in range(400)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(400)]
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "PER_LABEL", 200)
+    clean = toxicity.learnable(lab).where("toxic = 0")
+    key = clean.orderBy(F.xxhash64(F.lit("sample"), "key") * (-1 if last else 1)).first()["key"]
+    many = spark.range(7000).select(F.lit(int(key)).alias("doc_id"), F.concat(F.lit("you idiot "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    found = toxicity.sampled(docs.unionByName(many), lab)
+    assert found.where(F.col("key") == key).count() <= 1 and found.where("toxic = 0").count() >= 199
+    out = toxicity.scored_documents(docs.unionByName(many).where(F.col("doc_id") != int(key)), lab).collect()
+    assert [r["doc_id"] for r in out if r["predicted"] != int(r["doc_id"] % 4 == 0)] == []
+
+
+def test_null_keys_are_not_held_out(spark, edge):
+    for out in (langid.identified_documents(edge), toxicity.scored_documents(edge, spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int"))):
+        assert {r["held_out"] for r in out.where("doc_id IS NULL").collect()} == {False}
