@@ -178,6 +178,13 @@ def concentrate(distance: DataFrame, few: bool) -> DataFrame:
     return cut(attached(binned, limits, keys, few).groupBy(*GROUP, "start").agg(*moments(F.col("bin") <= F.col("limit"))))
 
 
+def refined(sums: DataFrame) -> DataFrame:
+    """Estimates of kept moments, kept in their place: each later plan reads one row for each group and start and nothing before it."""
+    found = cut(factored(sums, CONSISTENCY))
+    released(sums)
+    return found
+
+
 def estimate(rows: DataFrame, few: bool) -> DataFrame:
     """Reweighted minimum-covariance-determinant estimates by the column g of rows."""
     fine = lambda a: F.floor(F.col(a) * FINE).cast("int")
@@ -189,13 +196,12 @@ def estimate(rows: DataFrame, few: bool) -> DataFrame:
     starts = F.array(F.struct(F.lit(0).alias("start"), sum((c * c for c in z), F.lit(0.0)).alias("d2")), F.struct(F.lit(1).alias("start"), F.greatest(*[F.abs(c) for c in z]).alias("d2")))
     begun = scaled.select(*GROUP, "salt", *STATS, F.inline(starts))
     both = rows.select(*GROUP, "salt", *STATS, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
-    sums = concentrate(begun, few)
-    found = factored(sums, CONSISTENCY)
+    found = refined(concentrate(begun, few))
     for _ in range(MOST_STEPS - 1):
-        last, sums = (sums, found), concentrate(distances(both, found, ["g", "start"], few), few)
-        found = factored(sums, CONSISTENCY)
-        moved = found.select("g", "start", "log_det").join(last[1].select("g", "start", F.col("log_det").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-        released(last[0])
+        last, found = found, refined(concentrate(distances(both, found, ["g", "start"], few), few))
+        spread = found.unionAll(last).groupBy("g", "start").agg((F.max("log_det") - F.min("log_det")).alias("moved"))
+        moved = spread.agg(F.max("moved")).first()[0]
+        released(last)
         if moved is None or moved < STEADY:
             break
     best = found.groupBy("g").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("g", "start")]), F.struct("log_det", "start")).alias("e")).select("g", "e.*")
