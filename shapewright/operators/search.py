@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import matrix, met
 from .corpus import WIDTH, pairs
 from .metrics import SIGMA, distance
 
@@ -73,8 +73,9 @@ def matches(profiles: DataFrame, q: Query, metric: str = "blend", extra: tuple[s
     return met.select("entity", "year", "b_entity", "b_year", (F.col("b_year") - F.col("year")).cast("int").alias("dy"), F.round(distance(metric), 9).alias("d")).where(~F.isnan("d"))
 
 
-BLOCK, SLICE = 512, 2048
 SCANNED = T.StructType([T.StructField(n, T.IntegerType()) for n in ("entity", "year", "b_entity", "b_year", "dy")] + [T.StructField("d", T.DoubleType())] + [T.StructField(n, T.IntegerType()) for n in ("lo", "hi")])
+ASKED, HELD = 512, 2048
+"""Profiles of a block that asks, and of one that is searched; a task holds the distances of one such pair."""
 
 
 def allowed(q: Query, year: np.ndarray, b_year: np.ndarray, apart: np.ndarray, b_total: np.ndarray) -> np.ndarray:
@@ -95,44 +96,36 @@ def allowed(q: Query, year: np.ndarray, b_year: np.ndarray, apart: np.ndarray, b
     return ok
 
 
-def scanned(profiles: DataFrame, q: Query, farthest: bool = False, queries: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """What best_of_entity(matches()) gives for the blended distance, but for candidates of one entity that lie in different slices.
+def blended(asked: pa.RecordBatch, held: pa.RecordBatch) -> np.ndarray:
+    """The blended distance of every profile of a block to every one of another."""
+    s, c, bs, bc = (matrix(side.column(n)).T.copy() for side in (asked, held) for n in ("s", "c"))
+    squares, moved = np.zeros((asked.num_rows, held.num_rows)), np.zeros((asked.num_rows, held.num_rows))
+    for j in range(len(s)):
+        gap = s[j][:, None] - bs[j][None, :]
+        squares += gap * gap
+        moved += np.abs(c[j][:, None] - bc[j][None, :])
+    return np.round(0.5 * np.sqrt(squares) / SIGMA["l2"] + 0.5 * (WIDTH * moved) / SIGMA["w1sex"], 9)
 
-    One scan of the profiles for each block of query rows, which alone is broadcast. A task compares the block with SLICE profiles at
-    a time and gives one row for each query row and entity in the slice: its best year, and the first and last year (lo, hi) allowed.
-    So neither pairs nor profiles are shuffled. queries: the rows that ask, by default all profiles.
+
+def scanned(profiles: DataFrame, q: Query, farthest: bool = False, queries: DataFrame | None = None, own_years: bool = False) -> DataFrame:
+    """What best_of_entity(matches()) gives for the blended distance, but for candidates of one entity that lie in different blocks.
+
+    Blocks of query rows meet blocks of profiles in the executors; a pair of blocks gives one row for each query row and entity: its
+    best year, and the first and last year (lo, hi) allowed. queries: the rows that ask, by default all profiles. own_years: the other years of
+    a row's own entity are candidates too.
     """
-    asked = (profiles if queries is None else queries).select("entity", "year", "s", "c")
-    blocks = max(1, -(-asked.count() // block))
-    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("entity", "year"), F.lit(blocks)))
-    found = None
-    for i in range(blocks):
-        rows = dealt.where(F.col("_block") == i).drop("_block").collect()
-        if rows:
-            new = scan_of(rows, profiles, q, farthest)
-            found = new if found is None else found.unionAll(new)
-    return profiles.sparkSession.createDataFrame([], SCANNED) if found is None else found
-
-
-def scan_of(rows: list, profiles: DataFrame, q: Query, farthest: bool) -> DataFrame:
-    block = (np.array([r["entity"] for r in rows])[:, None], np.array([r["year"] for r in rows])[:, None], np.array([r["s"] for r in rows]).T.copy(), np.array([r["c"] for r in rows]).T.copy())
-    shared = profiles.sparkSession.sparkContext.broadcast(block)  # BLOCK rows, as far as a hash deals them evenly
     far = 1.0 if not farthest else -1.0
 
-    def best(part: pd.DataFrame) -> pd.DataFrame:
-        entity, year, s, c = shared.value
-        part = part.sort_values(["entity", "year"], ignore_index=True)
-        b_entity, b_year = part["entity"].to_numpy(), part["year"].to_numpy()
-        bs, bc = np.array(part["s"].tolist()).T, np.array(part["c"].tolist()).T
-        squares, moved = np.zeros((s.shape[1], len(part))), np.zeros((s.shape[1], len(part)))
-        for j in range(len(s)):
-            gap = s[j][:, None] - bs[j][None, :]
-            squares += gap * gap
-            moved += np.abs(c[j][:, None] - bc[j][None, :])
-        d = np.round(0.5 * np.sqrt(squares) / SIGMA["l2"] + 0.5 * (WIDTH * moved) / SIGMA["w1sex"], 9)
-        ok = allowed(q, year, b_year[None, :], b_entity[None, :] != entity, part["total"].to_numpy()[None, :]) & ~np.isnan(d)
+    def best(asked: pa.RecordBatch, held: pa.RecordBatch) -> pa.RecordBatch:
+        order = np.lexsort((held.column("year").to_numpy(), held.column("entity").to_numpy()))
+        held = held.take(pa.array(order))
+        entity, year = (asked.column(n).to_numpy()[:, None] for n in ("entity", "year"))
+        b_entity, b_year = held.column("entity").to_numpy(), held.column("year").to_numpy()
+        d = blended(asked, held)
+        apart = (b_entity[None, :] != entity) | (own_years & (b_year[None, :] != year))
+        ok = allowed(q, year, b_year[None, :], apart, held.column("total").to_numpy()[None, :]) & ~np.isnan(d)
         starts = np.flatnonzero(np.concatenate(([True], b_entity[1:] != b_entity[:-1])))
-        size = np.diff(np.append(starts, len(part)))
+        size = np.diff(np.append(starts, len(b_entity)))
         cost = np.where(ok, far * d, np.inf)
         least = np.minimum.reduceat(cost, starts, axis=1)
         tie = np.where(ok & (cost == np.repeat(least, size, axis=1)), np.abs(b_year - year).astype(np.int64) * 100_000 + b_year, np.iinfo(np.int64).max)
@@ -142,14 +135,35 @@ def scan_of(rows: list, profiles: DataFrame, q: Query, farthest: bool) -> DataFr
         row, col = np.nonzero(np.isfinite(least))
         y, by = year[row, 0], at[row, col]
         out = {"entity": entity[row, 0], "year": y, "b_entity": b_entity[starts][col], "b_year": by, "dy": by - y, "d": far * least[row, col], "lo": lo[row, col], "hi": hi[row, col]}
-        return pd.DataFrame(out).astype({n: np.int32 for n in out if n != "d"})
+        return pa.RecordBatch.from_pydict({n: pa.array(v, pa.float64() if n == "d" else pa.int32()) for n, v in out.items()})
+
+    asked = (profiles if queries is None else queries).select("entity", "year", "s", "c")
+    return met(asked, profiles.select("entity", "year", "total", "s", "c"), best, SCANNED, ["entity", "year"], ["entity"], ASKED, HELD)
+
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for begin in range(0, len(part), SLICE):
-                yield best(part.iloc[begin : begin + SLICE])
+def soft_minima(profiles: DataFrame, held: DataFrame, tau: float = 0.25) -> DataFrame:
+    """least, second and soft minimum of each profile's per-side transport distances to the rows of held; both: entity, year, c.
+
+    A pair of blocks gives a profile's two least distances and the sum of exp(-(d - least) / tau), which add up over blocks. second is
+    null where held has one row.
+    """
 
-    return profiles.select("entity", "year", "total", "s", "c").mapInPandas(run, SCANNED)
+    def least(asked: pa.RecordBatch, other: pa.RecordBatch) -> pa.RecordBatch:
+        c, bc = matrix(asked.column("c")).T, matrix(other.column("c")).T
+        d = np.zeros((asked.num_rows, other.num_rows))
+        for j in range(len(c)):
+            d += np.abs(c[j][:, None] - bc[j][None, :])
+        d *= WIDTH
+        two = np.sort(np.partition(d, min(1, d.shape[1] - 1), axis=1)[:, :2], axis=1)
+        arrays = [asked.column("entity"), asked.column("year"), pa.array(two.tolist(), pa.list_(pa.float64())), pa.array(np.exp(-(d - two[:, :1]) / tau).sum(axis=1))]
+        return pa.RecordBatch.from_arrays(arrays, names=["entity", "year", "two", "e"])
+
+    parts = met(profiles.select("entity", "year", "c"), held.select("entity", "year", "c"), least, "entity int, year int, two array<double>, e double", ["entity", "year"], ["entity", "year"], ASKED, HELD)
+    first = F.get("two", F.lit(0))
+    least_ = parts.groupBy("entity", "year").agg(F.min(first).alias("least"))
+    both = parts.join(least_, ["entity", "year"]).groupBy("entity", "year", "least").agg(F.sum(F.col("e") * F.exp(-(first - F.col("least")) / tau)).alias("e"), F.min(F.struct(first.alias("a"), F.get("two", F.lit(1)).alias("b"))).alias("m"), F.count(F.when(first == F.col("least"), 1)).alias("n"), F.min(F.when(first > F.col("least"), first)).alias("next"))
+    second = F.when(F.col("n") > 1, F.col("least")).otherwise(F.least("m.b", "next"))
+    return both.select("entity", "year", "least", second.alias("second"), (F.col("least") - tau * F.log("e")).alias("soft"))
 
 
 def found_by(profiles: DataFrame, q: Query, metric: str, farthest: bool = False) -> DataFrame:

@@ -31,54 +31,34 @@ def nearest(spark, d, k=K):
     return search_vectors(e.where("id % 10 = 0"), e, k)
 
 
-QUERY_BLOCK, SLICE = 2048, 1024
+QUERY_BLOCK, SLICE = 1024, 4096
 
 
-def search_vectors(queries, vectors, k, block=QUERY_BLOCK):
-    """k nearest of each query: one scan of the vectors for each block of queries, which alone is broadcast.
+def search_vectors(queries, vectors, k, block=QUERY_BLOCK, held=SLICE):
+    """k nearest of each query (id, label, v), itself left out: blocks of queries meet blocks of vectors in the executors, each pair gives k candidates of a query."""
+    import numpy as np
+    import pyarrow as pa
 
-    Queries are dealt into blocks by a hash of their ids. A task compares a block with SLICE vectors at a time and keeps k candidates
-    of each slice, so neither pairs nor vectors are shuffled.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    dealt = queries.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    near = None
-    for i in range(blocks):
-        found = candidates_of(dealt.where(F.col("block") == i).collect(), vectors, k)
-        near = found if near is None else near.unionAll(found)
+    from ..operators.blocks import matrix, met
+
+    def nearest_of(asked, other):
+        q, v = matrix(asked.column("v")), matrix(other.column("v"))
+        dist = np.round(1 - (q @ v.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :] + vec.COS_EPS), 9)
+        ids = other.column("id").to_numpy()
+        dist[asked.column("id").to_numpy()[:, None] == ids[None, :]] = np.inf
+        keep = min(k, len(ids))
+        at = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :keep]
+        row, col = np.repeat(np.arange(len(q)), keep), at.ravel()
+        row, col = row[ok := np.isfinite(dist[row, col])], col[ok]
+        own, far = (lambda side, name, i: side.column(name).take(pa.array(i))), dist[row, col]
+        arrays = [own(asked, "id", row), own(asked, "label", row), own(other, "id", col), own(other, "label", col), pa.array(far)]
+        return pa.RecordBatch.from_arrays(arrays, names=["id", "label", "b_id", "b_label", "d"])
+
+    near = met(queries.select("id", "label", "v"), vectors.select("id", "label", "v"), nearest_of, "id long, label int, b_id long, b_label int, d double", ["id"], ["id"], block, held)
     w = Window.partitionBy("id").orderBy("d", "b_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def candidates_of(rows, vectors, k):
-    """id, label, b_id, b_label and d of the k vectors of each slice that are nearest to each of some rows (id, label, v)."""
-    import numpy as np
-    import pandas as pd
-
-    ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-    q = np.array([r[2] for r in rows], float).reshape(len(rows), -1)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, labels, q))  # a block of queries
-
-    def nearest_of(p):
-        qi, ql, qv = shared.value
-        v = np.array(p["v"].tolist(), float).reshape(len(p), -1)
-        dist = np.round(1 - (qv @ v.T) / (np.sqrt((qv * qv).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :] + vec.COS_EPS), 9)
-        pid = p["id"].to_numpy()
-        dist[qi[:, None] == pid[None, :]] = np.inf
-        keep = min(k, len(p))
-        order = np.lexsort((np.broadcast_to(pid, dist.shape), dist), axis=1)[:, :keep]
-        at, col = np.repeat(np.arange(len(qi)), keep), order.ravel()
-        out = pd.DataFrame({"id": qi[at], "label": ql[at], "b_id": pid[col], "b_label": p["label"].to_numpy()[col], "d": dist[at, col]})
-        return out[np.isfinite(out["d"])]
-
-    def run(parts):
-        for p in parts:
-            for begin in range(0, len(p) if len(shared.value[0]) else 0, SLICE):
-                yield nearest_of(p.iloc[begin : begin + SLICE])
-
-    return vectors.select("id", "label", "v").mapInPandas(run, "id long, label int, b_id long, b_label int, d double")
-
-
 @query("knn_cosine", f"WITH {NEAR} SELECT id, b_id, rank, round(d, 6) + 0.0 AS d FROM top")
 def knn_cosine(spark, d):
     return nearest(spark, d).select("id", "b_id", "rank", r6("d").alias("d"))
@@ -144,11 +124,8 @@ ANY = search_sql("TRUE")[1]
 @query("continuity_topk", on_profiles("SELECT entity, count(*) AS n, sum(hit)::BIGINT AS hits FROM (SELECT entity, year, (arg_min(b_entity, (round(d, 9), abs(b_year - year), b_year, b_entity)) = entity)::INT AS hit FROM dist GROUP BY entity, year) GROUP BY entity", over_pairs(BLEND, where="NOT (a.entity = b.entity AND a.year = b.year)")))
 def continuity_topk(spark, d):
     """How often a profile's nearest is the same entity in another year."""
-    from ..operators.metrics import distance
-
-    p = C.profiles(spark, d)
-    met = C.pairs(p, p, ~((F.col("entity") == F.col("b_entity")) & (F.col("year") == F.col("b_year"))), S.FIELDS).select("entity", "year", "b_entity", "b_year", F.round(distance("blend"), 9).alias("d"))
-    best = met.groupBy("entity", "year").agg(F.min_by("b_entity", F.struct("d", F.abs(F.col("b_year") - F.col("year")), "b_year", "b_entity")).alias("e"))
+    found = S.scanned(C.profiles(spark, d), S.Query("any"), own_years=True)
+    best = found.groupBy("entity", "year").agg(F.min_by("b_entity", F.struct("d", F.abs("dy"), "b_year", "b_entity")).alias("e"))
     return best.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("e") == F.col("entity")).cast("int")).alias("hits"))
 
 

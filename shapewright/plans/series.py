@@ -149,13 +149,11 @@ PROTO_DIST = TOP + ", pd AS (SELECT a.entity, a.year, b.entity AS b_entity, b.ye
 @query("min_soft_min", on_profiles("SELECT entity, year, round(min(d), 6) + 0.0 AS least, round(list_sort(list(d))[2], 6) + 0.0 AS second, round(min(d) - 0.25 * ln(sum(exp(-(d - m) / 0.25))), 6) + 0.0 AS soft FROM (SELECT *, min(d) OVER (PARTITION BY entity, year) AS m FROM pd) GROUP BY entity, year", PROTO_DIST))
 def min_soft_min(spark, d):
     """Distances of every profile to the set of prototypes: the least, the second and the soft minimum."""
-    from ..operators.metrics import w1sex
-    from ..operators.search import FIELDS
+    from ..operators.search import soft_minima
 
-    p = C.profiles(spark, d)
+    p = C.profiles(spark, d).select("entity", "year", "c")
     proto = p.join(prototypes(spark, d).select("entity", "year"), ["entity", "year"], "left_semi")
-    met = C.pairs(p, proto, F.lit(True), FIELDS)
-    out = St.soft_minimum(met.select("entity", "year", w1sex().alias("d")), ["entity", "year"])
+    out = soft_minima(p, proto)
     return out.select("entity", "year", *[r6(c).alias(c) for c in ("least", "second", "soft")])
 
 

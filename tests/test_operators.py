@@ -162,7 +162,7 @@ def test_scans_equal_joins(spark):
     p = C.profiles(spark, SF)
     for q, far in ((S.Query("any"), False), (S.Query("any"), True), (S.Query("today"), False), (S.Query("range", first=1996, last=1998), False), (S.Query("any", era_cut=1998), False), (S.Query("any", trend=2, floor=100.0), True), (S.Query("near", n=2), False)):
         want = S.best_of_entity(S.matches(p, q), far).select("entity", "year", "b_entity", "b_year", "dy", "d")
-        got = S.best_of_entity(S.scanned(p, q, far, block=50).drop("lo", "hi"), far)
+        got = S.best_of_entity(S.scanned(p, q, far).drop("lo", "hi"), far)
         rows = lambda f: sorted(tuple(r) for r in f.select(want.columns).collect())
         assert rows(got) == rows(want)
     few = S.scanned(p, S.Query("any"), queries=p.where("entity = 3"))
