@@ -182,27 +182,47 @@ def test_resample_keeps_samples_and_constants():
     assert len(media.resample(x, 8000, 11025)) == -(-200 * 11025 // 8000) and len(media.resample(x, 8000, 4000)) == 100
 
 
-def test_url_collisions_are_confirmed(spark, tmp_path):
+def url_index(spark, path, hosts, rules=urls.RULES, digested=None, range_bytes=urls.RANGE_BYTES):
+    keys = urls.keys_of(spark.createDataFrame(list(rules), "host string, path string, verdict string"), hosts)
+    return urls.Index(urls.write_index(spark, path, keys, digested, range_bytes), lambda name: f"{path}/{name}")
+
+
+@pytest.mark.parametrize("range_bytes", [40, 1 << 20])
+def test_url_collisions_are_confirmed(spark, tmp_path, range_bytes):
     from pyspark.sql import functions as F
 
-    path = str(tmp_path / "i")
-    keys = urls.keys_of(spark.createDataFrame(urls.RULES, "host string, path string, verdict string"), spark.createDataFrame([("bad.com",)], "host string"))
-    urls.write_index(path, keys, F.lit(7).cast("long"))
-    index = urls.Index(path)
-    found = index.probe([b"com/en/", b"nothing", b"bad.com"], digest=lambda key: 7)
-    assert found[1] == -1 and len({int(found[0]), int(found[2]), -1}) == 3
+    index = url_index(spark, str(tmp_path / "i"), spark.createDataFrame([("bad.com",)], "host string"), digested=F.lit(7).cast("long"), range_bytes=range_bytes)
+    found = index.probe([b"com/en/", b"nothing", b"bad.com", b"com"], digest=lambda key: 7)
+    assert sorted(found) == [0, 2, 3] and found[0][:2] == (urls.BLOCK, 3) and found[2][0] == urls.LISTED and found[3][0] == 0 and found[3][2].tolist() == [4]
 
 
 def test_url_index_holds_a_large_list(spark, tmp_path):
-    hosts = spark.range(60_000).selectExpr("concat('h', id % 50000, '.example.org') AS host")
-    path = str(tmp_path / "i")
-    urls.write_index(path, urls.keys_of(spark.createDataFrame(urls.RULES, "host string, path string, verdict string"), hosts))
-    index = urls.Index(path)
-    assert len(index.digests) == 50_005 and (np.diff(index.digests) > 0).all() and index.labels == {1, 2, 3} and index.lengths == [0, 4, 5]
-    keys = [f"h{i}.example.org".encode() for i in range(60_000)]
+    """Two million hosts, written by the executors in ranges; the driver sees their names and bounds."""
+    hosts = spark.range(2_400_000).selectExpr("concat('h', id % 2000000, '.example.org') AS host")
+    index = url_index(spark, str(tmp_path / "i"), hosts, range_bytes=20 << 20)
+    assert 4 < len(index.ranges) < 12
+    sizes = [len(urls.Range(f"{tmp_path}/i/{r[0]}").digests) for r in index.ranges]
+    assert sum(sizes) == 2_000_000 + 5 + 5 and max(sizes) < 3 * min(sizes)
+    assert all(a[2] <= b[1] for a, b in zip(index.ranges, index.ranges[1:], strict=False))
+    keys = [f"h{i}.example.org".encode() for i in range(1_990_000, 2_010_000)]
     found = index.probe(keys)
-    assert (found[:50_000] >= 0).all() and (found[50_000:] == -1).all() and [urls.digest(k) for k in keys[:9]] == index.digests[found[:9]].tolist()
-    assert not list(tmp_path.glob("i.*"))
+    assert sorted(found) == list(range(10_000)) and {v[0] for v in found.values()} == {urls.LISTED}
+    assert index.judge(["a.h7.example.org", "h2000000.example.org", "xh7.example.org"], ["/", "/", "/"])[1] == ["block", "allow", "allow"]
+
+
+def test_url_index_of_unbounded_size_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(urls, "LARGEST_INDEX", 1000)
+    with pytest.raises(ValueError, match="disks"):
+        url_index(spark, str(tmp_path / "i"), spark.range(100).selectExpr("concat('h', id) AS host"))
+
+
+def test_url_host_of_many_rules(spark, tmp_path):
+    """A host with very many paths: a url looks up as many keys as its host has lengths of path."""
+    rules = [("big.com", f"/{i:05d}/", "block") for i in range(20_000)] + [("big.com", "/00007/a/", "allow"), ("big.com", "", "allow"), ("w.big.com", "/00007/", "allow")]
+    index = url_index(spark, str(tmp_path / "i"), spark.createDataFrame([], "host string"), rules, range_bytes=100_000)
+    hosts = ["big.com", "x.big.com", "big.com", "w.big.com", "notbig.com", "big.com"]
+    paths = ["/00007/", "/00007/a/b", "/nothing", "/00007/", "/00007/", "/19999/x"]
+    assert index.judge(hosts, paths) == (["big.com/00007/", "big.com/00007/a/", "big.com", "w.big.com/00007/", None, "big.com/19999/"], ["block", "allow", "allow", "allow", "allow", "block"])
 
 
 def slow_urls(rows, listed):
