@@ -141,29 +141,45 @@ def scanned(profiles: DataFrame, q: Query, farthest: bool = False, queries: Data
     return met(asked, profiles.select("entity", "year", "total", "s", "c"), best, SCANNED, ["entity", "year"], ["entity"], ASKED, HELD)
 
 
-def soft_minima(profiles: DataFrame, held: DataFrame, tau: float = 0.25) -> DataFrame:
-    """least, second and soft minimum of each profile's per-side transport distances to the rows of held; both: entity, year, c.
+def soft_minima(profiles: DataFrame, held: DataFrame, tau: float = 0.25, metric: str = "w1sex", group: str | None = None) -> DataFrame:
+    """least, second and soft minimum of each profile's distances to the rows of held; both: entity, year, c, and s for the blended metric.
 
-    A pair of blocks gives a profile's two least distances and the sum of exp(-(d - least) / tau), which add up over blocks. second is
-    null where held has one row.
+    group: a column of both sides, of an integer type, in which they must agree; a profile is then counted once for each of its values.
+    Where profiles have a column tau it takes the place of tau. A pair of blocks gives a profile's two least distances and the sum of
+    exp(-(d - least) / tau), which add up over blocks. second is null where there is one distance only; profiles with none are left out.
     """
+    columns = ["entity", "year", "c", *(["s"] if metric == "blend" else []), *([group] if group else [])]
+    own = [*columns, *(["tau"] if "tau" in profiles.columns else [])]
+    keys = ["entity", "year", *([group] if group else [])]
 
     def least(asked: pa.RecordBatch, other: pa.RecordBatch) -> pa.RecordBatch:
-        c, bc = matrix(asked.column("c")).T, matrix(other.column("c")).T
-        d = np.zeros((asked.num_rows, other.num_rows))
-        for j in range(len(c)):
-            d += np.abs(c[j][:, None] - bc[j][None, :])
-        d *= WIDTH
-        two = np.sort(np.partition(d, min(1, d.shape[1] - 1), axis=1)[:, :2], axis=1)
-        arrays = [asked.column("entity"), asked.column("year"), pa.array(two.tolist(), pa.list_(pa.float64())), pa.array(np.exp(-(d - two[:, :1]) / tau).sum(axis=1))]
-        return pa.RecordBatch.from_arrays(arrays, names=["entity", "year", "two", "e"])
-
-    parts = met(profiles.select("entity", "year", "c"), held.select("entity", "year", "c"), least, "entity int, year int, two array<double>, e double", ["entity", "year"], ["entity", "year"], ASKED, HELD)
+        if metric == "blend":
+            d = blended(asked, other)
+        else:
+            c, bc = matrix(asked.column("c")).T, matrix(other.column("c")).T
+            d = np.zeros((asked.num_rows, other.num_rows))
+            for j in range(len(c)):
+                d += np.abs(c[j][:, None] - bc[j][None, :])
+            d *= WIDTH
+        if group:
+            d[asked.column(group).to_numpy()[:, None] != other.column(group).to_numpy()[None, :]] = np.inf
+        width = asked.column("tau").to_numpy()[:, None] if "tau" in asked.schema.names else tau
+        d = np.concatenate((d, np.full((len(d), 1), np.inf)), axis=1)
+        two = np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1)
+        with np.errstate(invalid="ignore"):
+            e = np.exp(-(d - two[:, :1]) / width).sum(axis=1)
+        some = np.flatnonzero(np.isfinite(two[:, 0]))
+        pairs_ = [[x for x in r if np.isfinite(x)] for r in two[some].tolist()]
+        arrays = [*[asked.column(k).take(pa.array(some)) for k in keys], pa.array(pairs_, pa.list_(pa.float64())), pa.array(e[some]), pa.array(np.broadcast_to(np.asarray(width, float), (len(d), 1))[some, 0])]
+        return pa.RecordBatch.from_arrays(arrays, names=[*keys, "two", "e", "tau"])
+
+    schema = T.StructType([*[profiles.schema[k] for k in keys], T.StructField("two", T.ArrayType(T.DoubleType())), T.StructField("e", T.DoubleType()), T.StructField("tau", T.DoubleType())])
+    parts = met(profiles.select(own), held.select(columns), least, schema, keys, ["entity", "year"], ASKED, HELD)
     first = F.get("two", F.lit(0))
-    least_ = parts.groupBy("entity", "year").agg(F.min(first).alias("least"))
-    both = parts.join(least_, ["entity", "year"]).groupBy("entity", "year", "least").agg(F.sum(F.col("e") * F.exp(-(first - F.col("least")) / tau)).alias("e"), F.min(F.struct(first.alias("a"), F.get("two", F.lit(1)).alias("b"))).alias("m"), F.count(F.when(first == F.col("least"), 1)).alias("n"), F.min(F.when(first > F.col("least"), first)).alias("next"))
+    least_ = parts.groupBy(*keys).agg(F.min(first).alias("least"))
+    both = parts.join(least_, keys).groupBy(*keys, "least").agg(F.sum(F.col("e") * F.exp(-(first - F.col("least")) / F.col("tau"))).alias("e"), F.min(F.struct(first.alias("a"), F.get("two", F.lit(1)).alias("b"))).alias("m"), F.count(F.when(first == F.col("least"), 1)).alias("n"), F.min(F.when(first > F.col("least"), first)).alias("next"), F.first("tau").alias("tau"))
     second = F.when(F.col("n") > 1, F.col("least")).otherwise(F.least("m.b", "next"))
-    return both.select("entity", "year", "least", second.alias("second"), (F.col("least") - tau * F.log("e")).alias("soft"))
+    return both.select(*keys, "least", second.alias("second"), (F.col("least") - F.col("tau") * F.log("e")).alias("soft"))
 
 
 def found_by(profiles: DataFrame, q: Query, metric: str, farthest: bool = False) -> DataFrame:
