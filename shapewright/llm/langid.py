@@ -165,10 +165,10 @@ def sampled(rows: DataFrame) -> DataFrame:
     as are wanted stay. Of a key's rows Spark's group limit lets one of each task pass.
     """
     order = F.xxhash64(F.lit("sample"), "key")
-    about = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.05).alias("n"))
+    about = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.05).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_ROWS)  # more languages than rows have no share
     share = F.least(F.lit(PER_LANGUAGE), F.greatest(F.lit(1), F.floor(F.lit(MOST_ROWS) / about.agg(F.count(F.lit(1))).scalar())))
     chance = (order.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)) * F.col("n")
-    near = rows.join(about, "lang").where(chance < PLENTY * (share + PLENTY)).select("key", "lang", "h", order.alias("o"))
+    near = rows.join(F.broadcast(about), "lang").where(chance < PLENTY * (share + PLENTY)).select("key", "lang", "h", order.alias("o"))
     first = lambda of, by, at, n: of.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*at))).where(F.col("_n") <= n).drop("_n")
     one = first(near, ["key", "lang"], ["h"], 1)
     return first(one, ["lang"], ["o", "key"], share).orderBy("o", "key", "lang").limit(MOST_ROWS).select("key", "lang", "h")
