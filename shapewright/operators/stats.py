@@ -179,6 +179,34 @@ def uniform_of(*key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in key])), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def distinct_places(n: Column, k: int, *key: Column) -> Column:
+    """k different places from 0 to n - 1 in ascending order, by md5 of the key and which of them it is; all n where there are no more.
+
+    The i-th is drawn from the n - i that are left: it is moved past each smaller one already taken.
+    """
+    start = F.array().cast("array<long>")
+
+    def step(taken: Column, i: Column) -> Column:
+        drawn = F.floor(uniform_of(*key, i) * (n - i)).cast("long")
+        place = F.aggregate(taken, drawn, lambda p, t: p + (p >= t).cast("long"))
+        return F.array_sort(F.array_append(taken, place))
+
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(k)).cast("long") - 1)).otherwise(start), start, step)
+
+
+def draws_of(rows: DataFrame, by: list[str], order: str, value: str, k: int, draws: int, seed: int) -> DataFrame:
+    """draw, the columns by, and value of k rows of each group drawn without replacement, so many times.
+
+    Rows are numbered within their group once; a draw takes k numbers, and only these meet the rows. So draws cost what they take, not
+    what they choose from.
+    """
+    numbered = rows.select(*by, value, (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long").alias("place"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    places = drawn.select("draw", *by, F.explode(distinct_places(F.col("_n"), k, F.lit(seed), F.col("draw"), *[F.col(b) for b in by])).alias("place"))
+    return places.join(numbered, [*by, "place"]).drop("place")
+
+
 def bootstrap_means(group_sums: DataFrame, draws: int, key: str = "g", seed: int = 7, block: int = 1) -> DataFrame:
     """draw and mean: in each draw every group is replaced by one hashed at random, as groups are numbered 0 to n - 1.
 
@@ -191,7 +219,7 @@ def bootstrap_means(group_sums: DataFrame, draws: int, key: str = "g", seed: int
     slots = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), size.cast("int") - 1)).alias("slot"))
     begin = F.floor(uniform_of(F.lit(seed), F.col("draw"), F.floor(F.col("slot") / block)) * size)
     picked = slots.withColumn("i", ((begin + F.col("slot") % block) % size).cast("long"))
-    return picked.join(F.broadcast(numbered), "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return picked.join(numbered, "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("mean"))
 
 
 def granted(conditions: DataFrame) -> DataFrame:

@@ -253,16 +253,23 @@ def block_bootstrap_ci(spark, d):
     return both.select(r6(pick("low")).alias("low"), r6(pick("high")).alias("high"), F.when(wide, "block").otherwise("entity").alias("scheme"), *[r6(f"{n}_{end}").alias(f"{n}_{end}") for n in ("entity", "block") for end in ("low", "high")], "degenerate")
 
 
-@query("null_n1", f"WITH {EX}, r AS (SELECT draw, year, e, row_number() OVER (PARTITION BY draw, year ORDER BY {UNI.format("concat_ws(':', 11, draw, year, entity)")}, entity) AS k FROM ex, range({DRAWS}) t(draw)) SELECT draw, round(avg(e), 6) + 0.0 AS mean FROM r WHERE k <= 3 GROUP BY draw")
+def places_sql(seed: int) -> str:
+    """CTEs sz, dr and pk: of three different places a year and draw each row's value e; a place moves past smaller ones already taken."""
+    u = lambda i: UNI.format(f"concat_ws(':', {seed}, draw, year, {i})")
+    return f"""nb AS (SELECT year, e, row_number() OVER (PARTITION BY year ORDER BY entity) - 1 AS place FROM ex), sz AS (SELECT year, count(*) AS n FROM ex GROUP BY year),
+d1 AS (SELECT draw, year, n, floor({u(0)} * n)::BIGINT AS a FROM sz, range({DRAWS}) t(draw)), d2 AS (SELECT *, CASE WHEN n > 1 THEN b + (b >= a)::INT END AS b2 FROM (SELECT *, floor({u(1)} * (n - 1))::BIGINT AS b FROM d1)),
+d3 AS (SELECT *, CASE WHEN n > 2 THEN c1 + (c1 >= greatest(a, b2))::INT END AS c2 FROM (SELECT *, c + (c >= least(a, b2))::INT AS c1 FROM (SELECT *, floor({u(2)} * (n - 2))::BIGINT AS c FROM d2))),
+pk AS (SELECT draw, year, e FROM (SELECT draw, year, unnest([a, b2, c2]) AS place FROM d3) JOIN nb USING (year, place))"""
+
+
+@query("null_n1", f"WITH {EX}, {places_sql(11)} SELECT draw, round(avg(e), 6) + 0.0 AS mean FROM pk GROUP BY draw")
 def null_n1(spark, d):
     """Three entities a year drawn at random, DRAWS times."""
     return null_draws(spark, d).select("draw", r6("mean").alias("mean"))
 
 
 def null_draws(spark, d):
-    drawn = excess(spark, d).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("draw", F.col("draw").cast("long"))
-    w = Window.partitionBy("draw", "year").orderBy(St.uniform_of(F.lit(11), F.col("draw"), F.col("year"), F.col("entity")), "entity")
-    return drawn.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("draw").agg(F.avg("e").alias("mean"))
+    return St.draws_of(excess(spark, d), ["year"], "entity", "e", 3, DRAWS, 11).groupBy("draw").agg(F.avg("e").alias("mean"))
 
 
 @query("decision_levels", f"WITH {EX}, s AS (SELECT avg(e) AS m, avg((e > 0)::INT) AS h, count(*) AS n FROM ex), c AS (SELECT 'L1' AS level, n > 50 AS met FROM s UNION ALL SELECT 'L1', h BETWEEN 0.2 AND 0.8 FROM s UNION ALL SELECT 'L2', m > 1 FROM s UNION ALL SELECT 'L2', TRUE UNION ALL SELECT 'L3', NULL) SELECT level, bool_and(coalesce(met, FALSE)) AS granted FROM c GROUP BY level")

@@ -12,7 +12,7 @@ from ..operators import stats as St
 from ..session import table
 from .registry import on_profiles, query, r6
 from .relational import BARS, bars
-from .series import DRAWS, EX, GROWTH, LEVELS, UNI, excess, growths, levels
+from .series import BLOCK_YEARS, DRAWS, EX, GROWTH, LEVELS, UNI, excess, growths, levels, places_sql
 
 PERIODS = EX + ", h AS (SELECT year AS t, avg(e) AS u FROM ex GROUP BY year), c AS (SELECT t, row_number() OVER (ORDER BY t) AS i, u - avg(u) OVER () AS u FROM h), n AS (SELECT count(*) AS n FROM c), g AS (SELECT j, sum(a.u * b.u) / any_value(n) AS gamma FROM range(0, 3) r(j), n, c a JOIN c b ON a.i = b.i + j GROUP BY j)"
 UNIFORM, BARTLETT = "sum(gamma * CASE j WHEN 0 THEN 1 ELSE 2 END)", "sum(gamma * CASE j WHEN 0 THEN 1 ELSE 2 * (1 - j / 3.0) END)"
@@ -81,7 +81,7 @@ def dk_scores(spark, d):
     return spark.createDataFrame([(slope, se)], "slope double, se double").select(r6("slope").alias("slope"), F.round("se", 6).alias("se"))
 
 
-@query("one_sided_p", f"WITH {EX}, o AS (SELECT avg(e) AS obs FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY entity) AS k FROM ex) WHERE k <= 3), r AS (SELECT draw, year, e, row_number() OVER (PARTITION BY draw, year ORDER BY {UNI.format("concat_ws(':', 11, draw, year, entity)")}, entity) AS k FROM ex, range({DRAWS}) t(draw)), m AS (SELECT draw, avg(e) AS mean FROM r WHERE k <= 3 GROUP BY draw) SELECT round((count(*) FILTER (round(mean, 9) >= round(obs, 9)) + 1) / (count(*) + 1.0), 9) AS p FROM m, o")
+@query("one_sided_p", f"WITH {EX}, o AS (SELECT avg(e) AS obs FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY entity) AS k FROM ex) WHERE k <= 3), {places_sql(11)}, m AS (SELECT draw, avg(e) AS mean FROM pk GROUP BY draw) SELECT round((count(*) FILTER (round(mean, 9) >= round(obs, 9)) + 1) / (count(*) + 1.0), 9) AS p FROM m, o")
 def one_sided_p(spark, d):
     """How many draws of the null reach what was observed, one added above and below."""
     from .series import null_draws
@@ -92,33 +92,45 @@ def one_sided_p(spark, d):
     return null_draws(spark, d).agg(F.round((F.count(F.when(F.round("mean", 9) >= F.round(obs, 9), 1)) + 1) / (F.count(F.lit(1)) + 1.0), 9).alias("p"))
 
 
-N2 = EX + f""", l AS (SELECT ex.*, ln(lv.y) AS ly FROM ex JOIN lv USING (entity, year)), pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY entity) AS k FROM l) WHERE k <= 3),
+N2 = EX + f""", l AS (SELECT ex.*, ln(lv.y) AS ly FROM ex JOIN lv USING (entity, year)), pick AS (SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY l.year ORDER BY round(b.g, 9) DESC, l.entity) AS k FROM l JOIN gr b ON b.h = 2 AND b.entity = l.entity AND b.year = l.year - 2) WHERE k <= 3),
 pool AS (SELECT p.year, p.entity, q.entity AS other, q.e FROM pick p JOIN l q ON p.year = q.year AND p.entity <> q.entity AND abs(p.ly - q.ly) <= 0.35)"""
 
 
-@query("null_n2", f"WITH {N2}, r AS (SELECT draw, e, row_number() OVER (PARTITION BY draw, year, entity ORDER BY {UNI.format("concat_ws(':', 12, draw, year, entity, other)")}, other) AS k FROM pool, range(200) t(draw)) SELECT draw, count(*) AS n, round(avg(e), 6) + 0.0 AS mean FROM r WHERE k = 1 GROUP BY draw")
+@query("null_n2", f"WITH {N2}, nb AS (SELECT year, entity, e, row_number() OVER (PARTITION BY year, entity ORDER BY other) - 1 AS place, count(*) OVER (PARTITION BY year, entity) AS n FROM pool), dr AS (SELECT DISTINCT draw, year, entity, floor({UNI.format("concat_ws(':', 12, draw, year, entity, 0)")} * n)::BIGINT AS place FROM nb, range({DRAWS}) t(draw)) SELECT draw, count(*) AS n, round(avg(e), 6) + 0.0 AS mean FROM dr JOIN nb USING (year, entity, place) GROUP BY draw")
 def null_n2(spark, d):
-    """Each pick is replaced by one at random of its year within the caliper of its log level, 200 times. Picks without partner are left out."""
-    from .series import excess as ex
-
-    rows = ex(spark, d).join(levels(spark, d), ["entity", "year"]).select("entity", "year", "e", F.log("y").alias("ly"))
-    pick = rows.withColumn("k", F.row_number().over(Window.partitionBy("year").orderBy("entity"))).where("k <= 3").select("entity", "year", "ly")
+    """Each of three momentum picks a year is replaced by one at random of its year within the caliper of its log level, DRAWS times. Picks without partner are left out."""
+    rows = excess(spark, d).join(levels(spark, d), ["entity", "year"]).select("entity", "year", "e", F.log("y").alias("ly"))
+    pick = picks_of(spark, d).join(rows.select("entity", "year", "ly"), ["entity", "year"])
     pool = pick.join(rows.select(F.col("entity").alias("other"), "year", "e", F.col("ly").alias("oy")), "year").where((F.col("entity") != F.col("other")) & (F.abs(F.col("ly") - F.col("oy")) <= 0.35))
-    drawn = pool.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
-    chosen = drawn.groupBy("draw", "year", "entity").agg(F.min_by("e", F.struct(St.uniform_of(F.lit(12), F.col("draw"), F.col("year"), F.col("entity"), F.col("other")), "other")).alias("e"))
-    return chosen.groupBy("draw").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("e")).alias("mean"))
+    drawn = St.draws_of(pool, ["year", "entity"], "other", "e", 1, DRAWS, 12)
+    return drawn.groupBy("draw").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("e")).alias("mean"))
+
+
+def picks_of(spark, d):
+    """Three entities a year: those of the highest growth over the two years before."""
+    before = growths(spark, d).where("h = 2").select("entity", (F.col("year") + 2).alias("year"), F.col("g").alias("was"))
+    now = excess(spark, d).select("entity", "year").join(before, ["entity", "year"])
+    w = Window.partitionBy("year").orderBy(F.desc(F.round("was", 9)), "entity")
+    return now.withColumn("k", F.row_number().over(w)).where("k <= 3").select("entity", "year")
 
 
-PAIRED = EX + ", gd AS (SELECT entity, avg(e) FILTER (year % 2 = 0) - avg(e) FILTER (year % 2 = 1) AS dd FROM ex GROUP BY entity), gg AS (SELECT entity, dd AS s, 1 AS n, row_number() OVER (ORDER BY entity) - 1 AS i FROM gd WHERE dd IS NOT NULL), z AS (SELECT count(*) AS c FROM gg)"
+PAIRED = EX + """, gd AS (SELECT entity, avg(e) FILTER (year % 2 = 0) - avg(e) FILTER (year % 2 = 1) AS dd FROM ex GROUP BY entity), gg AS (SELECT entity, dd AS s, 1 AS n, row_number() OVER (ORDER BY entity) - 1 AS i FROM gd WHERE dd IS NOT NULL), z AS (SELECT count(*) AS c FROM gg),
+yg AS (SELECT (year + year % 2)::INT AS g, avg(e) FILTER (year % 2 = 0) - avg(e) FILTER (year % 2 = 1) AS s FROM ex GROUP BY 1), yn AS (SELECT s, row_number() OVER (ORDER BY g) - 1 AS i FROM yg WHERE s IS NOT NULL), yz AS (SELECT count(*) AS c FROM yn)"""
+YEARLY = f"ys AS (SELECT draw, ((floor({UNI.format(f"concat_ws(':', 10, draw, slot // {BLOCK_YEARS})")} * c) + slot % {BLOCK_YEARS}) % c)::INT AS i FROM range({DRAWS}) t(draw), (SELECT c, unnest(range(c)) AS slot FROM yz)), ym AS (SELECT draw, avg(s) AS mean FROM ys JOIN yn USING (i) GROUP BY draw), yi AS (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM ym)"
 
 
-@query("paired_bootstrap", f"WITH {PAIRED}, sl AS (SELECT draw, floor({UNI.format("concat_ws(':', 9, draw, slot)")} * c)::INT AS i FROM range({DRAWS}) t(draw), (SELECT c, unnest(range(c)) AS slot FROM z)), m AS (SELECT draw, sum(s) / sum(n) AS mean FROM sl JOIN gg USING (i) GROUP BY draw) SELECT round(quantile_cont(mean, 0.025), 6) + 0.0 AS low, round(quantile_cont(mean, 0.975), 6) + 0.0 AS high, round((SELECT avg(s) FROM gg), 6) + 0.0 AS diff FROM m")
+@query("paired_bootstrap", f"WITH {PAIRED}, sl AS (SELECT draw, floor({UNI.format("concat_ws(':', 9, draw, slot)")} * c)::INT AS i FROM range({DRAWS}) t(draw), (SELECT c, unnest(range(c)) AS slot FROM z)), m AS (SELECT draw, sum(s) / sum(n) AS mean FROM sl JOIN gg USING (i) GROUP BY draw), ei AS (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m), {YEARLY} SELECT round(CASE WHEN yi.high - yi.low > ei.high - ei.low THEN yi.low ELSE ei.low END, 6) + 0.0 AS low, round(CASE WHEN yi.high - yi.low > ei.high - ei.low THEN yi.high ELSE ei.high END, 6) + 0.0 AS high, CASE WHEN yi.high - yi.low > ei.high - ei.low THEN 'years' ELSE 'entities' END AS scheme, round((SELECT avg(s) FROM gg), 6) + 0.0 AS diff FROM ei, yi")
 def paired_bootstrap(spark, d):
-    """Interval of the mean difference of two halves of the years, entities drawn as pairs of both."""
-    half = lambda k: F.avg(F.when(F.col("year") % 2 == k, F.col("e")))
-    sums = excess(spark, d).groupBy(F.col("entity").alias("g")).agg((half(0) - half(1)).alias("s")).where("s IS NOT NULL").withColumn("n", F.lit(1))
-    means = St.bootstrap_means(sums, DRAWS, seed=9)
-    return means.agg(r6(F.percentile("mean", 0.025)).alias("low"), r6(F.percentile("mean", 0.975)).alias("high")).crossJoin(sums.agg(r6(F.avg("s")).alias("diff")))
+    """Interval of the mean difference of two halves of the years: entities drawn as pairs of both, and pairs of years drawn in blocks; the wider one counts."""
+    ex, even = excess(spark, d), F.col("year") % 2 == 0
+    gap = F.avg(F.when(even, F.col("e"))) - F.avg(F.when(~even, F.col("e")))
+    own = lambda g: ex.groupBy(g.alias("g")).agg(gap.alias("s")).where("s IS NOT NULL").withColumn("n", F.lit(1))
+    ends = lambda means, n: means.agg(F.percentile("mean", 0.025).alias(f"{n}_low"), F.percentile("mean", 0.975).alias(f"{n}_high"))
+    sums = own(F.col("entity"))
+    years = own((F.col("year") + F.col("year") % 2).cast("int"))
+    both = ends(St.bootstrap_means(sums, DRAWS, seed=9), "e").crossJoin(ends(St.bootstrap_means(years, DRAWS, seed=10, block=BLOCK_YEARS), "y")).crossJoin(sums.agg(r6(F.avg("s")).alias("diff")))  # one row each
+    wide = F.col("y_high") - F.col("y_low") > F.col("e_high") - F.col("e_low")
+    return both.select(*[r6(F.when(wide, F.col(f"y_{c}")).otherwise(F.col(f"e_{c}"))).alias(c) for c in ("low", "high")], F.when(wide, "years").otherwise("entities").alias("scheme"), "diff")
 
 
 @query("pooled_stats", f"WITH {EX}, h AS (SELECT year, avg(e) AS m FROM ex GROUP BY year) SELECT count(*) AS periods, round(avg(m), 6) + 0.0 AS mean, round(avg((m > 1e-12)::INT), 6) AS hit, round(avg(m) / (stddev_samp(m) / sqrt(count(*))), 4) + 0.0 AS z FROM h")
