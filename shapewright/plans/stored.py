@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import codec as K
 from ..operators import corpus as C
 from ..session import shared_folder, table
-from ..sources import files
+from ..sources import export, files, store
 from .profile import QUANT, quantise_largest_remainder
 from .registry import on_profiles, query, r6
 
@@ -148,3 +148,70 @@ def manifest_changes(spark, d):
     differing = files.changed(found[1], found[0]).select("name", F.lit(True).alias("differs"))
     met = found[1].select("name").join(differing, "name", "left")
     return met.select(F.col("name").cast("int").alias("shard"), F.when(F.col("differs"), "changed").otherwise("same").alias("state"))
+
+
+# refreshed and exported tables ---------------------------------------------------------------------------------------------
+
+PATCHED = (1997, 3)
+"""Year and entity whose cells are changed before the third refresh."""
+
+
+def derived_tables():
+    shares = lambda t: C.shares(t["cells"]).select("entity", "year", "pos", "total", "s")
+    largest = lambda t: t["shares"].groupBy("year", "entity").agg(F.max("s").alias("largest"))
+    counts = lambda t: t["shares"].groupBy("year").agg(F.countDistinct("entity").alias("entities"))
+    span = lambda t: t["counts"].agg(F.min("year").alias("first"), F.max("year").alias("last"), F.sum("entities").alias("profiles"))
+    return [store.Derived("span", "first", span, whole=("counts",)), store.Derived("largest", "year", largest, ("shares",)), store.Derived("counts", "year", counts, ("shares",)), store.Derived("shares", "year", shares, ("cells",))]
+
+
+def refreshed(spark, d):
+    """The store's folder and the report of three refreshes: of nothing, of the same cells, and of cells of which one profile changed."""
+    path = place(spark, "store")
+    cells = C.cells(spark, d).select("entity", "year", "pos", "pop")
+    changed = cells.withColumn("pop", F.when((F.col("year") == PATCHED[0]) & (F.col("entity") == PATCHED[1]), F.col("pop") + F.col("pos") + 1).otherwise(F.col("pop")))
+    report = [(run, *r) for run, rows in enumerate((cells, cells, changed), 1) for r in store.refresh(spark, path, {"cells": (rows, "year")}, derived_tables())]
+    return path, report
+
+
+@query("refresh_report", on_profiles(f"SELECT run, name, part, CASE WHEN run = 1 OR (run = 3 AND part = '{PATCHED[0]}' AND name IN ('shares', 'largest', 'counts')) THEN 'written' ELSE 'kept' END AS state FROM range(1, 4) r(run), (SELECT DISTINCT n AS name, year::VARCHAR AS part FROM k, (VALUES ('shares'), ('largest'), ('counts')) v(n) UNION ALL SELECT 'span', 'all')"))
+def refresh_report(spark, d):
+    """What three refreshes of four tables wrote: all, nothing, and the dependants of the year that changed; a table whose input was rebuilt to the same rows stays."""
+    return spark.createDataFrame(refreshed(spark, d)[1], "run long, name string, part string, state string")
+
+
+@query("refresh_result", on_profiles("SELECT entity, year, pos, round(pop / sum(pop) OVER (PARTITION BY entity, year), 6) + 0.0 AS share FROM c2", f" c2 AS (SELECT entity, year, pos, pop + CASE WHEN year = {PATCHED[0]} AND entity = {PATCHED[1]} THEN pos + 1 ELSE 0 END AS pop FROM cells)"))
+def refresh_result(spark, d):
+    """Shares in the store after the third refresh."""
+    return store.read(spark, refreshed(spark, d)[0], "shares").select("entity", "year", "pos", r6("s").alias("share"))
+
+
+def sized(prefix: int) -> str:
+    """The size of a file whose other bytes are counted in b: the number whose digits make up the rest."""
+    return f"(SELECT min(b + k) FROM range(1, {prefix}) r(k) WHERE length((b + k)::VARCHAR) = k)"
+
+
+HEADER = """4 + length('{"title":"shares","part":"' || entity || '","rows":' || n || ',"arrays":[["year","<i4",' || n || '],["pos","<i4",' || n || '],["s","<f8",' || n || ']],"size":}') + 16 * n"""
+EXPORT = f" ex AS (SELECT entity, n, total, {sized(12)} AS n_bytes FROM (SELECT entity, n, total, {HEADER} AS b FROM (SELECT entity, count(*) AS n, round(sum(s * pos), 6) + 0.0 AS total FROM prof GROUP BY entity)))"
+BUDGET, WHOLE = 2350, 30_000
+
+
+def files_of(spark, d):
+    rows = C.shares(C.cells(spark, d)).select("entity", "year", "pos", "s")
+    made = export.exported(rows, "entity", ["year", "pos"], ["year", "pos", "s"], "shares", "not for redistribution|licen[cs]e")
+    path = place(spark, "export")
+    made.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("export_files", on_profiles("SELECT entity::VARCHAR AS part, n_bytes, n AS n_rows, total FROM ex", EXPORT))
+def export_files(spark, d):
+    """Shares as one self-describing file for each entity, written and read back; each holds its own size."""
+    files_ = files_of(spark, d)
+    back = export.opened(files_, {"year": "int", "pos": "int", "s": "double"}).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), r6(F.sum(F.col("s") * F.col("pos"))).alias("total"))
+    return files_.select("part", "n_bytes").join(back, "part")
+
+
+@query("export_violations", on_profiles(f"SELECT 'part ' || entity AS what, n_bytes, {BUDGET}::BIGINT AS allowed FROM ex WHERE n_bytes > {BUDGET} UNION ALL SELECT 'total', sum(n_bytes)::BIGINT, {WHOLE} FROM ex HAVING sum(n_bytes) > {WHOLE}", EXPORT))
+def export_violations(spark, d):
+    """Files over their budget, and all together over theirs."""
+    return export.violations(files_of(spark, d), F.lit(BUDGET), WHOLE)
