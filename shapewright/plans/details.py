@@ -52,10 +52,14 @@ def note_list(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.filter(F.transform(F.split(whole, ";"), lambda x: F.trim(x)), lambda x: x != ""), "|").alias("notes"))
 
 
-@query("drop_urls", "SELECT page_id, trim(regexp_replace(regexp_replace('see ' || url || ' for more', 'https?://\\S+', '', 'g'), ' +', ' ', 'g')) AS said FROM pages WHERE url IS NOT NULL")
+URLS = r"https?://[^\s\"<>]+"
+
+
+@query("drop_urls", rf"SELECT page_id, len(regexp_extract_all(html, '{URLS}'))::INT AS n_urls, md5(trim(regexp_replace(regexp_replace(html, '{URLS}', '', 'g'), '\s+', ' ', 'g'))) AS said FROM pages WHERE html IS NOT NULL")
 def drop_urls(spark, d):
-    said = F.concat(F.lit("see "), "url", F.lit(" for more"))
-    return table(spark, d, "pages").where("url IS NOT NULL").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(said, r"https?://\S+", ""), " +", " ")).alias("said"))
+    """Pages without their urls, runs of blanks one: how many there were, and a digest of the rest."""
+    rest = F.trim(F.regexp_replace(F.regexp_replace("html", URLS, ""), r"\s+", " "))
+    return table(spark, d, "pages").where("html IS NOT NULL").select("page_id", F.regexp_count("html", F.lit(URLS)).alias("n_urls"), F.md5(rest.cast("binary")).alias("said"))
 
 
 @query("render_template", "SELECT n_nationkey, regexp_replace('In ' || n_name || '  there are ' || count(c_custkey) || '   customers.', ' +', ' ', 'g') AS said FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")

@@ -12,7 +12,7 @@ from ..operators import metrics as M
 from ..operators import search as S
 from ..session import register_distances, table
 from .evaluation import EMB, K, search_vectors
-from .profile import BLEND, FEATURES, GRID_SQL, mmr_sql, over_pairs, search_sql
+from .profile import BLEND, FEATURES, GRID_SQL, L2, W1, mmr_sql, over_pairs, search_sql
 from .registry import on_profiles, query, r6
 from .relational import BARS, bars
 from .series import LEVELS, levels
@@ -137,14 +137,24 @@ def markdown_table(spark, d):
     return table(spark, d, "nation").select(line.alias("line")).select(F.transform(F.split("line", r"\|"), lambda x: F.trim(x)).alias("cells")).select(F.get("cells", F.lit(1)).cast("int").alias("n_nationkey"), F.get("cells", F.lit(2)).alias("name"), F.get("cells", F.lit(3)).alias("region"))
 
 
-@query("metric_prefers", on_profiles("SELECT x.entity, x.year, CASE WHEN abs(x.d - y.d) < 1e-9 THEN NULL WHEN x.d < y.d THEN 'first' ELSE 'second' END AS prefers FROM dist x JOIN dist y USING (entity, year) WHERE x.b_entity = (x.entity + 1) % 25 AND y.b_entity = (x.entity + 2) % 25", over_pairs(BLEND)))
+CHOICES = f"{over_pairs(L2)}, {over_pairs(W1).replace('dist AS', 'dw AS')}, {over_pairs(BLEND).replace('dist AS', 'db AS')}, n1 AS (SELECT entity, year, arg_min(b_entity, (round(d, 9), b_entity)) AS a FROM dist GROUP BY ALL), n2 AS (SELECT entity, year, arg_min(b_entity, (round(d, 9), b_entity)) AS b FROM dw GROUP BY ALL)"
+
+
+@query("metric_prefers", on_profiles("SELECT entity, year, a, b, CASE WHEN round(x.d, 9) = round(y.d, 9) THEN NULL WHEN x.d < y.d THEN 'first' ELSE 'second' END AS prefers FROM n1 JOIN n2 USING (entity, year) JOIN db x ON x.entity = n1.entity AND x.year = n1.year AND x.b_entity = a JOIN db y ON y.entity = n1.entity AND y.year = n1.year AND y.b_entity = b".replace("SELECT entity, year, a,", "SELECT n1.entity, n1.year, a,"), CHOICES))
 def metric_prefers(spark, d):
-    """Which of two candidates is nearer; neither where they are equal."""
-    p = C.profiles(spark, d)
-    met = C.pairs(p, p, (F.col("b_year") == F.col("year")) & (F.pmod(F.col("b_entity") - F.col("entity"), F.lit(25)).isin(1, 2)), S.FIELDS)
-    side = lambda i: F.max(F.when(F.pmod(F.col("b_entity") - F.col("entity"), F.lit(25)) == i, M.blend()))
-    both = met.groupBy("entity", "year").agg(side(1).alias("a"), side(2).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    return both.select("entity", "year", F.when(F.abs(F.col("a") - F.col("b")) < 1e-9, None).when(F.col("a") < F.col("b"), "first").otherwise("second").alias("prefers"))
+    """Of a profile's nearest by one metric and its nearest by another, the one that a third metric prefers; neither where they are equally near, as one profile always is."""
+    found = same_year_pairs(spark, d)
+    near = lambda m: F.min_by("b_entity", F.struct(m, "b_entity"))
+    two = found.groupBy("entity", "year").agg(near("l2").alias("a"), near("w1sex").alias("b"), F.collect_list(F.struct("b_entity", "blend")).alias("all"))  # a year's profiles
+    at = lambda c: F.get(F.filter("all", lambda x: x["b_entity"] == F.col(c)), F.lit(0))["blend"]
+    both = two.select("entity", "year", "a", "b", at("a").alias("x"), at("b").alias("y"))
+    return both.select("entity", "year", "a", "b", F.when(F.col("x") < F.col("y"), "first").when(F.col("x") > F.col("y"), "second").alias("prefers"))
+
+
+def same_year_pairs(spark, d):
+    """entity, year, b_entity and the distances l2, w1sex and blend, to nine places."""
+    met = C.pairs(C.profiles(spark, d), C.profiles(spark, d), (F.col("b_year") == F.col("year")) & (F.col("b_entity") != F.col("entity")), S.FIELDS)
+    return met.select("entity", "year", "b_entity", *[F.round(M.distance(m), 9).alias(m) for m in ("l2", "w1sex", "blend")])
 
 
 @query("bytes_by_family", "SELECT lang, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY lang")

@@ -199,12 +199,17 @@ def disconnect_multiples(spark, d):
 HELD = f"{BARS}, h AS (SELECT * FROM bars WHERE day(day) % 4 < 2 OR k = 'click')"
 
 
-@query("series_guard", f"WITH {HELD} SELECT k, concat_ws(',', CASE WHEN count(*) < 20 THEN 'bars' END, CASE WHEN min(day) > DATE '2024-01-03' THEN 'late' END, CASE WHEN DATE '2024-02-02' - max(day) > 3 THEN 'live' END, CASE WHEN k = 'view' THEN 'delisted' END, CASE WHEN max(gap) > 2 THEN 'gap' END) AS failed FROM (SELECT *, day - lag(day) OVER (PARTITION BY k ORDER BY day) AS gap FROM h) GROUP BY k")
+@query("series_guard", "WITH b AS (SELECT user_id AS k, ts::DATE AS day, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY ALL), g AS (SELECT *, day - lag(day) OVER (PARTITION BY k ORDER BY day) AS gap FROM b) SELECT k, concat_ws(',', CASE WHEN count(*) < 5 THEN 'bars' END, CASE WHEN min(day) > DATE '2024-01-08' THEN 'late' END, CASE WHEN DATE '2024-01-31' - max(day) > 5 AND arg_max(last_type, day) <> 'error' THEN 'live' END, CASE WHEN arg_max(last_type, day) = 'error' AND DATE '2024-01-31' - max(day) <= 2 THEN 'delisted' END, CASE WHEN max(gap) > 10 THEN 'gap' END) AS failed FROM g GROUP BY k")
 def series_guard(spark, d):
-    """All five rules a series must pass: enough bars, an early first one, a late last one, not delisted, no long gap."""
-    held = bars(spark, d).where((F.dayofmonth("day") % 4 < 2) | (F.col("k") == "click")).withColumn("gap", T.gap_days("k", "day"))
-    a = held.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi"), F.max("gap").alias("gap"))
-    rules = [(F.col("n") < 20, "bars"), (F.col("lo") > F.lit("2024-01-03").cast("date"), "late"), (F.datediff(F.lit("2024-02-02").cast("date"), "hi") > 3, "live"), (F.col("k") == "view", "delisted"), (F.col("gap") > 2, "gap")]
+    """All five rules a series must pass, here the daily bars of every user: enough bars, an early first one, a late last one unless it ended, none that looks live though it ended, no long gap.
+
+    A series has ended where its last event is an error.
+    """
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
+    b = e.groupBy("k", "day").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type")).withColumn("gap", T.gap_days("k", "day"))
+    a = b.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("lo"), F.max("day").alias("hi"), F.max("gap").alias("gap"), (F.max_by("last_type", "day") == "error").alias("ended"))
+    left = F.datediff(F.lit("2024-01-31").cast("date"), "hi")
+    rules = [(F.col("n") < 5, "bars"), (F.col("lo") > F.lit("2024-01-08").cast("date"), "late"), ((left > 5) & ~F.col("ended"), "live"), ((left <= 2) & F.col("ended"), "delisted"), (F.col("gap") > 10, "gap")]
     return a.select("k", F.array_join(F.array_compact(F.array(*[F.when(c, n) for c, n in rules])), ",").alias("failed"))
 
 
@@ -262,12 +267,14 @@ def last_bar_of_year(spark, d):
     return o.groupBy("entity", F.year("day").alias("year")).agg(F.max("day").cast("string").alias("last"))
 
 
-@query("cross_check", f"WITH {BARS}, p AS (SELECT k, arg_min(close, day) AS a, arg_max(close, day) AS b, max(day) - min(day) AS days FROM bars GROUP BY k) SELECT k, round(100 * ln(b / a) / (days / 365.25), 4) + 0.0 AS found, abs(ln(b / a)) <= 0.5 AS agrees FROM p")
+@query("cross_check", f"WITH {GROWTH}, li AS (SELECT c_nationkey AS entity, year(o_orderdate)::INT AS year, sum(l_extendedprice * (1 - l_discount)) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL), pu AS (SELECT a.entity, a.year, ln(b.y / a.y) / 2 AS published FROM li a JOIN li b ON a.entity = b.entity AND b.year = a.year + 2) SELECT entity, year, round(100 * g, 4) + 0.0 AS found, round(100 * published, 4) + 0.0 AS published, round(abs(100 * (g - published)), 6) <= 5 AS agrees FROM gr JOIN pu USING (entity, year) WHERE h = 2")
 def cross_check(spark, d):
-    """A series' annual return against a published value with a tolerance."""
-    p = bars(spark, d).groupBy("k").agg(F.min_by("close", "day").alias("a"), F.max_by("close", "day").alias("b"), F.datediff(F.max("day"), F.min("day")).alias("days"))
-    r = F.log(F.try_divide(F.col("b"), F.col("a")))
-    return p.select("k", (F.round(100 * r / (F.col("days") / 365.25), 4) + F.lit(0.0)).alias("found"), (F.abs(r) <= 0.5).alias("agrees"))
+    """Yearly growth of orders' totals against that of another source, the lines' net prices, within five points."""
+    owners = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year")).join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("entity")), F.col("o_custkey") == F.col("c_custkey"))
+    net = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    lines = net.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("entity", "year").agg(F.sum("net").alias("y"))
+    both = growths(spark, d).where("h = 2").join(T.growth(lines, 2).withColumnRenamed("g", "published"), ["entity", "year"])
+    return both.select("entity", "year", *[(F.round(100 * F.col(c), 4) + F.lit(0.0)).alias(n) for c, n in (("g", "found"), ("published", "published"))], (F.round(F.abs(100 * (F.col("g") - F.col("published"))), 6) <= 5).alias("agrees"))
 
 
 @query("log_to_percent", f"WITH {GROWTH} SELECT entity, year, h::INT AS h, round((exp(g) - 1) * 100, 6) + 0.0 AS cagr, round((exp(g * h) - 1) * 100, 6) + 0.0 AS total FROM gr")
@@ -317,11 +324,24 @@ def budget_violations(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes")).where("bytes > 20000")
 
 
-@query("verdict_staleness", "WITH h AS (SELECT lang, md5(string_agg(md5(text), '' ORDER BY md5(text))) AS now FROM documents WHERE text IS NOT NULL GROUP BY lang) SELECT lang, now, CASE WHEN now = 'x' THEN 'fresh' ELSE 'stale' END AS state FROM h")
+PARTS_SQL = "sum(('0x' || substr(md5(text), 1, 15))::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(md5(text), 16, 15))::HUGEINT)::VARCHAR || ':' || count(*)"
+
+
+def data_digest(text):
+    """A digest of a group's texts whatever their order: sums of two parts of their md5, and how many they are."""
+    part = lambda i: F.sum(F.conv(F.substring(F.md5(text.cast("binary")), i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.concat_ws(":", part(1), part(16), F.count(F.lit(1)).cast("string"))
+
+
+@query("verdict_staleness", f"WITH d AS (SELECT lang, source, text, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS gone FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL), n AS (SELECT lang, source, {PARTS_SQL} AS now FROM d WHERE NOT gone GROUP BY ALL), r AS (SELECT lang, source, {PARTS_SQL} AS recorded FROM d GROUP BY ALL) SELECT lang, source, CASE WHEN now IS NULL THEN 'gone' WHEN now = recorded THEN 'fresh' ELSE 'stale' END AS state FROM r LEFT JOIN n USING (lang, source)")
 def verdict_staleness(spark, d):
-    """A verdict holds for the hash of the data it was made from; digests are sorted, texts are not moved."""
-    h = table(spark, d, "documents").where("text IS NOT NULL").groupBy("lang").agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.md5(F.col("text").cast("binary")))), "").cast("binary")).alias("now"))
-    return h.select("lang", "now", F.when(F.col("now") == "x", "fresh").otherwise("stale").alias("state"))
+    """Verdicts on the documents of each language and source hold for the digest they were recorded with; since then the toxic documents were taken away."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL").select("doc_id", "lang", "source", "text")
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    of = lambda rows, name: rows.groupBy("lang", "source").agg(data_digest(F.col("text")).alias(name))
+    met = of(docs, "recorded").join(of(docs.join(toxic, "doc_id", "left_anti"), "now"), ["lang", "source"], "left")
+    state = F.when(F.col("now").isNull(), "gone").when(F.col("now") == F.col("recorded"), "fresh").otherwise("stale")
+    return met.select("lang", "source", state.alias("state"))
 
 
 @query("jaccard_sets", "WITH a AS (SELECT n_regionkey AS r, list(DISTINCT n_nationkey) AS s FROM nation GROUP BY 1), b AS (SELECT c_nationkey % 5 AS r, list(DISTINCT c_nationkey) AS s FROM customer WHERE c_acctbal > 5000 GROUP BY 1) SELECT a.r, round(len(list_intersect(a.s, coalesce(b.s, []))) / len(list_distinct(list_concat(a.s, coalesce(b.s, []))))::DOUBLE, 6) AS j FROM a LEFT JOIN b USING (r)")
