@@ -155,3 +155,64 @@ def panel_holdout(spark, d):
         new = P.rank_correlations(told, F.col(f"pred_{s}"), F.col("g"), "t").agg(r6(F.avg("rho")).alias("rho"), F.round(F.avg((F.col("rho") > 0).cast("int")), 6).alias("positive")).withColumn("spec", F.lit(s))
         rho = new if rho is None else rho.unionByName(new)
     return sums.select(wide).join(rho, "spec")
+
+
+@query("panel_sample", on_profiles("SELECT entity, t, region, block, self, overlap, round(g, 6) + 0.0 AS g, round(lny, 6) + 0.0 AS lny, round(wa, 6) + 0.0 AS wa, round(dwa, 6) + 0.0 AS dwa, round(dist, 6) + 0.0 AS dist, round(dist_floor, 6) + 0.0 AS dist_floor FROM smp", SAMPLE))
+def panel_sample(spark, d):
+    """The rows that the panel is fitted to: growth of a window, level, share and its change, distance to prototypes, and whether the row is or overlaps one."""
+    return sample(spark, d).select("entity", "t", "region", "block", "self", "overlap", *[r6(c).alias(c) for c in ("g", "lny", "wa", "dwa", "dist", "dist_floor")])
+
+
+@query("panel_report", on_profiles("SELECT count(*) AS n, count(DISTINCT entity) AS entities, min(t) AS first, max(t) AS last, (SELECT count(*) FROM pt) AS prototypes, count(*) FILTER (self) AS n_self, count(*) FILTER (overlap) AS n_overlap, round(avg((g >= q)::INT) FILTER (self), 6) + 0.0 AS top_of_self, round(avg(g) FILTER (overlap), 6) + 0.0 AS mean_overlap, round(avg(g) FILTER (NOT overlap), 6) + 0.0 AS mean_other, round(median(dist), 6) + 0.0 AS median_dist FROM smp, (SELECT quantile_cont(g, 0.9) AS q FROM smp)", SAMPLE))
+def panel_report(spark, d):
+    """How large the sample is and how much of it is its own prototype: counts, the share of such rows in the top decile of growth, mean growth with and without overlap."""
+    s = sample(spark, d)
+    top = s.agg(F.percentile("g", 0.9)).scalar()
+    held = spaced_prototypes(spark, d).agg(F.count(F.lit(1))).scalar()
+    when = lambda c, v: r6(F.avg(F.when(c, v)))
+    return s.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("entity").alias("entities"), F.min("t").alias("first"), F.max("t").alias("last"), held.alias("prototypes"), F.count(F.when(F.col("self"), 1)).alias("n_self"), F.count(F.when(F.col("overlap"), 1)).alias("n_overlap"),
+        when(F.col("self"), (F.col("g") >= top).cast("int")).alias("top_of_self"), when(F.col("overlap"), F.col("g")).alias("mean_overlap"), when(~F.col("overlap"), F.col("g")).alias("mean_other"), r6(F.percentile("dist", 0.5)).alias("median_dist"),
+    )
+
+
+SURE, SMALL_GAIN, SMALL_R2, GAIN = 1.959964, 0.02, 0.03, (0.02, 0.10)
+"""The standard errors of a two-sided level of 5 %, and what gains of fit count as small or as expected."""
+
+
+def predictions_sql() -> str:
+    parts = [spec_sql(f"all_{s}", "smp", xs, f"'{s}' AS spec") for s, xs in SPECS.items()]
+    whole = holdout_sql()
+    inner = whole[whole.index("tr AS (SELECT * FROM smp") : whole.rindex(") SELECT spec, n, ") + 1]
+    body = whole[whole.rindex(" SELECT spec, n, ") + 1 :]
+    ctes = ", ".join([SAMPLE, *[p[0] for p in parts], f"es AS ({' UNION ALL '.join(p[1] for p in parts)})", inner, f"ho AS ({body})"])
+    term = lambda t, s="S3": f"(SELECT {{}} FROM es WHERE spec = '{s}' AND term = '{t}')"
+    sure = lambda t: term(t).format(f"beta > 0 AND beta > {SURE} * se_dk")
+    rows = [
+        ("P6", "wa", sure("wa")), ("P6", "dwa", sure("dwa")), ("P7", "dist below 0", term("dist").format("beta < 0")),
+        ("P7", "small gain of fit", f"(SELECT max(r2) FILTER (spec = 'S3') - max(r2) FILTER (spec = 'S1') < {SMALL_R2} FROM es)"),
+        ("P7", "small gain held out", f"(SELECT vs_s1 < {SMALL_GAIN} FROM ho WHERE spec = 'S3')"), ("P8", "gain held out", f"(SELECT vs_s0 BETWEEN {GAIN[0]} AND {GAIN[1]} FROM ho WHERE spec = 'S1')"),
+    ]
+    told = " UNION ALL ".join(f"SELECT '{p}' AS prediction, '{c}' AS clause, {sql} AS ok" for p, c, sql in rows)
+    return on_profiles("SELECT *, bool_and(ok) OVER (PARTITION BY prediction) AS met FROM told", f"{ctes}, told AS ({told})")
+
+
+@query("panel_predictions", predictions_sql())
+def panel_predictions(spark, d):
+    """Which clauses of three predictions about the panel hold, and which predictions are met as a whole."""
+    from pyspark.sql import Window
+
+    es, ho = panel_specs(spark, d).persist(), panel_holdout(spark, d).persist()
+    term = lambda t: es.where((F.col("spec") == "S3") & (F.col("term") == t))
+    sure = lambda t: term(t).agg(F.max((F.col("beta") > 0) & (F.col("beta") > SURE * F.col("se_dk"))))
+    r2 = lambda s: F.max(F.when(F.col("spec") == s, F.col("r2")))
+    of = lambda s: ho.where(F.col("spec") == s)
+    rows = [
+        ("P6", "wa", sure("wa")), ("P6", "dwa", sure("dwa")), ("P7", "dist below 0", term("dist").agg(F.max(F.col("beta") < 0))), ("P7", "small gain of fit", es.agg(r2("S3") - r2("S1") < SMALL_R2)),
+        ("P7", "small gain held out", of("S3").agg(F.max(F.col("vs_s1") < SMALL_GAIN))), ("P8", "gain held out", of("S1").agg(F.max(F.col("vs_s0").between(*GAIN)))),
+    ]
+    told = None
+    for p, c, frame in rows:
+        new = frame.toDF("ok").select(F.lit(p).alias("prediction"), F.lit(c).alias("clause"), "ok")
+        told = new if told is None else told.unionAll(new)
+    return told.withColumn("met", F.min("ok").over(Window.partitionBy("prediction")))
