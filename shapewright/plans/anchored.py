@@ -83,7 +83,7 @@ ds AS (SELECT t, entity, any_value(dl.g) AS g, any_value(least) AS least, any_va
 def query_b_pick(spark, d):
     """The candidates of each origin nearest to the prototypes that it could know, by the least and by the soft minimum of distances, and what came of them."""
     p = C.profiles(spark, d).select("entity", "year", "s", "c")
-    proto = prototypes(spark, d).join(p, ["entity", "year"]).persist()
+    proto = prototypes(spark, d).join(p, ["entity", "year"])
     pool = with_excess(candidates(spark, d)).withColumn("year", F.col("t"))
     asked = pool.join(p, ["entity", "year"]).select("entity", "year", "t", "s", "c")
     least = S.soft_minima(asked, proto, metric="blend", group="t")

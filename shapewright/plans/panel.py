@@ -202,7 +202,7 @@ def panel_predictions(spark, d):
     """Which clauses of three predictions about the panel hold, and which predictions are met as a whole."""
     from pyspark.sql import Window
 
-    es, ho = panel_specs(spark, d).persist(), panel_holdout(spark, d).persist()
+    es, ho = panel_specs(spark, d), panel_holdout(spark, d)
     term = lambda t: es.where((F.col("spec") == "S3") & (F.col("term") == t))
     sure = lambda t: term(t).agg(F.max((F.col("beta") > 0) & (F.col("beta") > SURE * F.col("se_dk"))))
     r2 = lambda s: F.max(F.when(F.col("spec") == s, F.col("r2")))
