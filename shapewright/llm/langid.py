@@ -199,8 +199,8 @@ def identified_documents(docs: DataFrame) -> DataFrame:
 
 
 LEAST_LIKENESS = 0.15
-"""Texts less alike to every learned language than this are of none of them. Texts of other languages have 0 to 0.15, texts of a
-learned language down to single words 0.17 and more."""
+"""Texts less alike to every learned language than this are of none of them. Chosen by folds of the rows that may be learned from: one in
+a thousand of a fold's texts lies below it for the model of the others, and of a language that is left out 13 to 94 % of the texts do."""
 
 
 def keep_known(docs: DataFrame, text: str = "text") -> DataFrame:

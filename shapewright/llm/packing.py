@@ -1,10 +1,11 @@
 """Harmonic packing of documents into training sequences.
 
-A document's tokens are cut into pieces whose lengths are reciprocals of the capacity: the longest floor(capacity / j) that fits,
-then the same for what remains. Pieces of class j fill bins of exactly j pieces, so a bin wastes fewer than j tokens. Each worker
-fills its own bins and needs to know nothing of the others, so no row is moved. What is left over, that is pieces of bins that
-never filled and remainders shorter than a class of LAST pieces, is laid end to end and cut at the capacity; the last stretch is
-cut at powers of two, which need no padding. Thus padding does not grow with the number of workers.
+A document of n tokens is of class floor(capacity / n), and a bin of class j takes exactly j whole documents of its class. Each
+worker fills its own bins and needs to know nothing of the others, so no row is moved. What a full bin leaves free, the gap, is given
+to what lies over, that is documents shorter than those of class LAST, and else to the head of the documents that come next, the last
+of which is cut; so a sequence cuts one document or none and wastes fewer than LEAST_GAP tokens. Of a document longer than the
+capacity whole sequences are cut first. At the end documents of bins that never filled are laid end to end and cut at the capacity; the
+last stretch is cut at powers of two, which need no padding. Thus padding does not grow with the number of workers.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .shared import quoted, slices
 
 CAPACITY = 4096
 LAST = 64
+LEAST_GAP = 8
+"""Free tokens of a sequence from which on they are filled; fewer are padding, as a piece of a few tokens teaches nothing."""
 END_ID = 2
 MEMO = 300_000
 """Entries of each memory of tokenised words in a worker; it is emptied when it has so many."""
@@ -96,68 +99,84 @@ class WordTokenizer:
 class Packer:
     """Gives pieces (document, start, ids, sequence, offset) of documents, in one worker.
 
-    Sequence numbers are first, first + 1, ...; a document is any small object. An open bin holds the ids of its pieces, not those
-    of their whole documents, so all open bins hold fewer than capacity * last ids.
+    Sequence numbers are first, first + 1, ...; a document is any small object. An open bin holds fewer than j documents of class j,
+    none longer than capacity / j, so all open bins hold fewer than capacity * last ids. One sequence with a gap is held at most: what
+    comes next fills it before anything else.
     """
 
     def __init__(self, first: int = 0, capacity: int = CAPACITY, last: int = LAST):
         self.next, self.capacity, self.last = first, capacity, min(last, capacity)
         self.open: dict[int, list] = {}
+        self.held: list = []
+        self.held_size = 0
         self.tail: list = []
         self.tail_size = 0
 
-    def sequence(self) -> int:
-        self.next += 1
-        return self.next - 1
-
     def add(self, document, ids: bytes) -> Iterator[tuple]:
         start, tokens = 0, len(ids) // 4
-        while tokens > start:
-            j = -(-self.capacity // (tokens - start))
-            while self.capacity // j > tokens - start:
-                j += 1
-            if j > self.last:
-                yield from self.add_tail(document, start, ids[4 * start :])
-                return
-            size = self.capacity // j
-            bin_ = self.open.setdefault(j, [])
-            bin_.append((document, start, ids[4 * start : 4 * (start + size)]))
-            start += size
-            if len(bin_) == j:
-                s = self.sequence()
-                yield from ((d, b, x, s, k * size) for k, (d, b, x) in enumerate(bin_))
-                bin_.clear()
+        if self.held:
+            start = min(tokens, self.capacity - self.held_size)
+            self.hold(document, 0, ids[: 4 * start])
+            yield from self.settled()
+        while tokens - start >= self.capacity:
+            yield from self.sequence([(document, start, ids[4 * start : 4 * (start + self.capacity)])])
+            start += self.capacity
+        if start == tokens:
+            return
+        j = self.capacity // (tokens - start)
+        if j > self.last:
+            yield from self.add_tail(document, start, ids[4 * start :])
+            return
+        bin_ = self.open.setdefault(j, [])
+        bin_.append((document, start, ids[4 * start :]))
+        if len(bin_) == j:
+            for piece in [*bin_, *self.taken(self.capacity - sum(len(x) // 4 for *_, x in bin_))]:
+                self.hold(*piece)
+            bin_.clear()
+            yield from self.settled()
+
+    def hold(self, document, start: int, ids: bytes) -> None:
+        self.held.append((document, start, ids))
+        self.held_size += len(ids) // 4
+
+    def settled(self) -> Iterator[tuple]:
+        """The sequence that is held, once its gap is small enough."""
+        if self.capacity - self.held_size < LEAST_GAP:
+            yield from self.sequence(self.held)
+            self.held, self.held_size = [], 0
+
+    def sequence(self, pieces: list) -> Iterator[tuple]:
+        offset = 0
+        for d, b, x in pieces:
+            yield d, b, x, self.next, offset
+            offset += len(x) // 4
+        self.next += 1
 
     def add_tail(self, document, start: int, ids: bytes) -> Iterator[tuple]:
-        at = 0
-        while 4 * at < len(ids):
-            n = min(len(ids) // 4 - at, self.capacity - self.tail_size)
-            self.tail.append((document, start + at, ids[4 * at : 4 * (at + n)]))
-            self.tail_size += n
-            at += n
-            if self.tail_size == self.capacity:
-                yield from self.lay(self.capacity)
-
-    def lay(self, size: int) -> Iterator[tuple]:
-        """Makes a sequence of the tail's first size tokens."""
-        s, offset, rest = self.sequence(), 0, []
-        for d, b, x in self.tail:
-            n = len(x) // 4
-            take = min(n, size - offset)
-            if take:
-                yield d, b, x[: 4 * take], s, offset
-                offset += take
-            if take < n:
-                rest.append((d, b + take, x[4 * take :]))
-        self.tail, self.tail_size = rest, self.tail_size - size
+        self.tail.append((document, start, ids))
+        self.tail_size += len(ids) // 4
+        while self.tail_size >= self.capacity:
+            yield from self.sequence(self.taken(self.capacity))
+
+    def taken(self, size: int) -> list:
+        """Pieces of the tail's first size tokens, or of all it has."""
+        out = []
+        while size and self.tail:
+            d, b, x = self.tail.pop(0)
+            n = min(size, len(x) // 4)
+            out.append((d, b, x[: 4 * n]))
+            size, self.tail_size = size - n, self.tail_size - n
+            if 4 * n < len(x):
+                self.tail.insert(0, (d, b + n, x[4 * n :]))
+        return out
 
     def close(self) -> Iterator[tuple]:
-        for _, bin_ in sorted(self.open.items()):
-            for d, b, x in bin_:
-                yield from self.add_tail(d, b, x)
-            bin_.clear()
+        left = [*self.held, *[x for _, bin_ in sorted(self.open.items()) for x in bin_]]
+        self.open, self.held, self.held_size = {}, [], 0
+        for d, b, x in left:
+            yield from self.add_tail(d, b, x)
         while self.tail_size:
-            yield from self.lay(1 << (self.tail_size.bit_length() - 1))
+            yield from self.sequence(self.taken(1 << (self.tail_size.bit_length() - 1)))
 
 
 FIELDS = [

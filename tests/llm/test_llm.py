@@ -336,6 +336,61 @@ def test_mcd_equals_a_plain_one(spark, docs):
     assert all(r["d2"] == pytest.approx(want[r["doc_id"]], rel=1e-6, abs=1e-9) and r["kept"] == (want[r["doc_id"]] <= quality.CUTOFF) for r in out)
 
 
+def known_groups(spark, sizes, shift=0.0):
+    """Rows of estimate(): a language's sources with one known covariance and means of their own, an eighth of each far away."""
+    rng = np.random.default_rng(11)
+    root = np.array([[0.5, 0, 0, 0], [0.2, 0.4, 0, 0], [-0.1, 0.1, 0.5, 0], [0.1, 0.2, -0.1, 0.6]])
+    rows, x = [], {}
+    for g, n in sizes.items():
+        own = rng.normal(size=(n, 4)) @ root.T + shift * rng.normal(size=4)
+        own[: n // 8] += 12
+        x[g] = own
+        for level, name, parent in ((0, "*", ""), (1, "L", "*"), (2, g, "L")):
+            rows += [(name, level, parent, i % quality.SALTS, *map(float, v)) for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "g string, level int, parent string, salt int, x0 double, x1 double, x2 double, x3 double")
+    out = {}
+    for r in quality.estimate(df, True).collect():
+        low = np.array([[r[f"l_{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        out[r["g"]] = np.array([r[f"m_{a}"] for a in quality.STATS]), low @ low.T
+    return x, out, root @ root.T
+
+
+def unshrunk(x):
+    """A group's own minimum covariance determinant: the best of many starts, concentrated and reweighted, nothing borrowed."""
+    rng, best = np.random.default_rng(0), None
+    n, h = len(x), int(np.ceil(quality.H * len(x)))
+    d2 = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    for _ in range(60):
+        own = x[rng.choice(n, 6, replace=False)]
+        m, c = own.mean(axis=0), np.cov(own.T) + 1e-6 * np.eye(4)
+        for _ in range(20):
+            own = x[np.argsort(d2(m, c))[:h]]
+            m, c = own.mean(axis=0), np.cov(own.T, bias=True)
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, quality.CONSISTENCY * c
+    own = x[d2(*best[1:]) <= quality.REWEIGHT]
+    return own.mean(axis=0), np.cov(own.T, bias=True) * 0.975 / quality.chi2(quality.REWEIGHT, 6)
+
+
+def test_large_groups_are_estimated_as_without_their_prior(spark):
+    """A group of 4,000 rows has the location and scatter of an estimate that borrows nothing, and those that are known."""
+    x, out, truth = known_groups(spark, {"L/a": 4000, "L/b": 4000})
+    floor = np.diag(np.square(quality.FLOOR))
+    for g in x:
+        m, c = unshrunk(x[g])
+        assert np.abs(out[g][0] - m).max() < 0.02 and np.abs(out[g][1] - floor - c).max() < 0.02
+        assert np.abs(out[g][0]).max() < 0.04 and np.abs(out[g][1] - floor - truth).max() < 0.04
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """What PRIOR does: of a group of 10 rows far from its language's others the location moves most of the way to theirs, of 400 hardly."""
+    sizes = {"L/big": 3000, "L/ten": 10, "L/four": 400}
+    x, out, _ = known_groups(spark, sizes, shift=1.0)
+    center = lambda g: x[g][len(x[g]) // 8 :].mean(axis=0)
+    moved = {g: np.linalg.norm(out[g][0] - center(g)) / np.linalg.norm(center("L/big") - center(g)) for g in ("L/ten", "L/four")}
+    assert 0.5 < moved["L/ten"] < 1.0 and moved["L/four"] < 0.25
+
+
 def test_repeated_windows_beside_alike_hashes(spark):
     words = " ".join(f"w{i}" for i in range(4000)) + " w7 w8 w9 w10"
     row = quality.judged_documents(spark.createDataFrame([(1, words, "en", "s", 0)], DOCS)).first()
@@ -551,15 +606,46 @@ def test_packing(spark, docs, texts, edge):
         assert lost < 0.02 * sum(r["length"] for r in out)
 
 
-def test_bins_hold_pieces_not_documents():
+def test_open_bins_are_bounded():
     packer = packing.Packer()
     for i in range(400):
-        for *_, x, _, _ in packer.add(i, b"\0\0\0\0" * (4097 + 997 * i)):
+        for *_, x, _, _ in packer.add(i, b"\0\0\0\0" * (1 + 997 * i % 9000)):
             assert 0 < len(x) <= 4 * packing.CAPACITY
+        assert all(len(bin_) < j and all(len(x) <= 4 * (packing.CAPACITY // j) for *_, x in bin_) for j, bin_ in packer.open.items())
         held = [x for bin_ in packer.open.values() for *_, x in bin_] + [x for *_, x in packer.tail]
         assert sum(map(len, held)) <= 4 * packing.CAPACITY * (packing.LAST + 1)
 
 
+@pytest.mark.parametrize("capacity,last", [(64, 8), (37, 5), (4096, 64), (16, 16)])
+def test_bins_take_whole_documents(capacity, last):
+    """Whole documents of a class, a bin of class j with exactly j; gaps filled, a document or none cut for each sequence."""
+    rng = np.random.default_rng(capacity)
+    sizes = [int(x) for x in np.concatenate((rng.integers(1, capacity, 600), rng.integers(1, 4 * capacity, 60), [capacity, capacity - 1, 1, 1]))]
+    packer, out = packing.Packer(5, capacity, last), []
+    for i, n in enumerate(sizes):
+        out += packer.add(i, np.arange(n, dtype="<u4").tobytes())
+        assert not packer.held or capacity - packer.held_size >= packing.LEAST_GAP
+    out += packer.close()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for d, b, x, s, at in out:
+        by_doc[d].append((b, x))
+        by_sequence[s].append((at, len(x) // 4, d))
+    for i, n in enumerate(sizes):
+        assert b"".join(x for _, x in sorted(by_doc[i])) == np.arange(n, dtype="<u4").tobytes()
+    lost = 0
+    for parts in by_sequence.values():
+        ends = 0
+        for at, n, _ in sorted(parts):
+            assert at == ends and n > 0
+            ends += n
+        assert ends <= capacity
+        lost += capacity - ends if ends & (ends - 1) else 0
+    assert sorted(by_sequence) == list(range(5, 5 + len(by_sequence)))
+    assert lost < packing.LEAST_GAP * len(by_sequence) * (0.5 if capacity > 100 else 1)
+    cut = sum(len(by_doc[i]) > 1 for i, n in enumerate(sizes) if n <= capacity)
+    assert cut <= len(by_sequence) and sum(map(len, by_doc.values())) <= len(sizes) + 2 * len(by_sequence)
+
+
 def test_pack_with_a_tokenizer_that_keeps_blanks(spark):
     from pyspark.sql import functions as F
     from tokenizers import Tokenizer
