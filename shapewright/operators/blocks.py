@@ -1,8 +1,10 @@
 """All rows that ask against all rows that are held, block by block in the executors.
 
-Both sides are dealt into blocks of a bounded number of rows by a hash. The blocks that ask are repeated for every block that is held
-and meet it in a join on its number, so each pair of blocks is one row that a worker compares at once. What is held is shuffled
-once, whole; nothing comes to the driver and nothing is broadcast.
+Both sides are dealt into blocks of a bounded number of rows by a hash, and the blocks of each side into groups. A pair of groups is one
+key of a join, so what is held is sent as often as there are groups that ask, and what asks as often as there are groups that are held.
+There are as many pairs of groups as keep the cores busy, however many rows there are, and groups are cut so that both sides send about
+as many rows. Inside a pair every block of one side meets every block of the other, and each such pair of blocks is one row that a
+worker compares at once. Nothing comes to the driver and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -11,27 +13,37 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ASKED, HELD = 1024, 8192
 """Rows of a block that asks, and of one that is held."""
 SPREAD = 2
-"""Blocks that are held for each core at least, so that few rows also keep all cores busy."""
+"""Pairs of groups for each core, about."""
 
 Compare = Callable[[pa.RecordBatch, pa.RecordBatch], pa.RecordBatch | None]
 
 
-def block_count(rows: DataFrame, size: int, least: int):
-    """A column with the number of blocks, counted within the query."""
-    return F.greatest(F.lit(least), F.ceil(rows.agg(F.count(F.lit(1))).scalar() / F.lit(size))).cast("int")
+def grid(n_asked: Column, n_held: Column, asked_rows: int, held_rows: int, pairs: int) -> dict[str, Column]:
+    """Numbers of groups and blocks of both sides, as columns.
+
+    For g groups held and h that ask, g * n_asked + h * n_held rows are sent; with g * h pairs that is least where g / h is n_held / n_asked.
+    """
+    many = F.greatest(n_asked, n_held) > 0
+    wide = F.ceil(F.sqrt(F.lit(float(pairs)) * n_held / F.greatest(n_asked, F.lit(1))))
+    held = F.when(many, F.least(F.greatest(wide, F.lit(1)), F.greatest(n_held, F.lit(1)))).otherwise(1)
+    asked = F.least(F.greatest(F.ceil(F.lit(float(pairs)) / held), F.lit(1)), F.greatest(n_asked, F.lit(1)))
+    blocks = lambda n, size, groups: F.greatest(groups, F.ceil(n / F.lit(size)))
+    out = {"held_groups": held, "asked_groups": asked, "held_blocks": blocks(n_held, held_rows, held), "asked_blocks": blocks(n_asked, asked_rows, asked)}
+    return {k: v.cast("int") for k, v in out.items()}
 
 
-def dealt(rows: DataFrame, by: list[str], n, name: str) -> DataFrame:
-    """name, and the block's rows as a list of structs; a block has about as many rows as it was counted for."""
-    at = F.pmod(F.xxhash64(*by), n).cast("int")
-    return rows.select(at.alias("at"), F.struct(*rows.columns).alias("row")).groupBy("at").agg(F.collect_list("row").alias(name))
+def dealt(rows: DataFrame, by: list[str], sizes: DataFrame, name: str, other: str) -> DataFrame:
+    """name, a block's rows as a list of structs, name_group, and other_group, one row for each group of the other side."""
+    at = F.pmod(F.xxhash64(*by), F.col(f"{name}_blocks")).cast("int")
+    listed = rows.select(F.struct(*rows.columns).alias("row"), *by).join(F.broadcast(sizes)).groupBy(at.alias("at"), f"{name}_groups", f"{other}_groups").agg(F.collect_list("row").alias(name))
+    return listed.select(name, F.pmod(F.col("at"), F.col(f"{name}_groups")).alias(f"{name}_group"), F.explode(F.sequence(F.lit(0), F.col(f"{other}_groups") - 1)).alias(f"{other}_group"))
 
 
 def met(asked: DataFrame, held: DataFrame, compare: Compare, schema: T.StructType | str, asked_by: list[str], held_by: list[str], asked_rows: int = ASKED, held_rows: int = HELD) -> DataFrame:
@@ -39,10 +51,12 @@ def met(asked: DataFrame, held: DataFrame, compare: Compare, schema: T.StructTyp
 
     Rows are dealt by a hash of the columns named, which should tell rows apart: equal rows fall into one block.
     """
-    cores = asked.sparkSession.sparkContext.defaultParallelism
-    slices = block_count(held, held_rows, SPREAD * cores)
-    asking = dealt(asked, asked_by, block_count(asked, asked_rows, 1), "asked").select("asked", F.explode(F.sequence(F.lit(0), slices - 1)).alias("at"))
-    both = asking.join(dealt(held, held_by, slices, "held"), "at").select("asked", "held")
+    pairs = SPREAD * asked.sparkSession.sparkContext.defaultParallelism
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    counts = count(asked, "n_asked").join(count(held, "n_held"))  # one row
+    sizes = counts.select(*[c.alias(n) for n, c in grid(F.col("n_asked"), F.col("n_held"), asked_rows, held_rows, pairs).items()])
+    asking, holding = dealt(asked, asked_by, sizes, "asked", "held"), dealt(held, held_by, sizes, "held", "asked")
+    both = asking.join(holding, ["held_group", "asked_group"]).select("asked", "held")
     own = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from ..operators import corpus as C
 from ..operators import metrics as M
 from ..operators import search as S
 from ..operators import stats as St
+from ..session import shared_folder
 from .profile import BLEND
 from .registry import on_profiles, query, r6
 from .series import GROWTH, growths
@@ -82,12 +83,13 @@ ds AS (SELECT t, entity, any_value(dl.g) AS g, any_value(least) AS least, any_va
 @query("query_b_pick", on_profiles(RANKED.format("B", "least, second, entity", "(SELECT *, least AS d FROM ds)") + " UNION ALL " + RANKED.format("B soft", "round(soft, 9), second, entity", "(SELECT *, soft AS d FROM ds)"), f"{PROTOTYPES}, {MEDIAN}, {NEAR}"))
 def query_b_pick(spark, d):
     """The candidates of each origin nearest to the prototypes that it could know, by the least and by the soft minimum of distances, and what came of them."""
+    shared_folder(spark)
     p = C.profiles(spark, d).select("entity", "year", "s", "c")
-    proto = prototypes(spark, d).join(p, ["entity", "year"])
-    pool = with_excess(candidates(spark, d)).withColumn("year", F.col("t"))
-    asked = pool.join(p, ["entity", "year"]).select("entity", "year", "t", "s", "c")
+    proto = prototypes(spark, d).join(p, ["entity", "year"]).checkpoint()  # read by two searches, as the candidates are
+    pool = with_excess(candidates(spark, d)).withColumn("year", F.col("t")).checkpoint()
+    asked = pool.join(p, ["entity", "year"]).select("entity", "year", "t", "s", "c").checkpoint()
     least = S.soft_minima(asked, proto, metric="blend", group="t")
-    tau = least.groupBy("t").agg((TAU * F.percentile("least", 0.5)).alias("tau"))
+    tau = least.groupBy("t").agg((TAU * F.percentile("least", 0.5)).alias("tau")).checkpoint()  # a row for each origin
     found = S.soft_minima(asked.join(tau, "t"), proto, metric="blend", group="t")
     rows = pool.join(found.withColumn("second", F.coalesce("second", "least")), ["entity", "year", "t"])
     hard = picked(rows.withColumn("d", F.col("least")), ["d", "second", "entity"], "B")

@@ -36,9 +36,9 @@ def spaced_prototypes(spark, d):
 def sample(spark, d):
     """entity, t, g, regressors, region, block, self and overlap; kept in the shared folder, as every fit reads it several times."""
     shared_folder(spark)
-    p, proto = C.profiles(spark, d), spaced_prototypes(spark, d).persist()
+    p, proto = C.profiles(spark, d), spaced_prototypes(spark, d).checkpoint()
     held = p.join(proto, ["entity", "year"], "left_semi").select("entity", "year", "c")
-    near = S.soft_minima(p.select("entity", "year", "c"), held).select("entity", "year", F.col("least").alias("d"))
+    near = S.soft_minima(p.select("entity", "year", "c"), held).select("entity", "year", F.col("least").alias("d")).checkpoint()
     wa = p.select("entity", "year", F.aggregate(F.zip_with("s", F.sequence(F.lit(0), F.lit(19)), lambda s, i: F.when((i % 10).between(3, 6), s).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x).alias("wa"))
     before = wa.select("entity", (F.col("year") + 1).alias("year"), F.col("wa").alias("was"))
     rows = growths(spark, d).where(F.col("h") == H).drop("h").join(levels(spark, d), ["entity", "year"]).join(wa, ["entity", "year"]).join(before, ["entity", "year"]).join(near, ["entity", "year"])
@@ -47,7 +47,6 @@ def sample(spark, d):
     rows = rows.join(gap, ["entity", "year"], "left").join(table(spark, d, "nation").select(F.col("n_nationkey").alias("entity"), F.col("n_regionkey").alias("region")), "entity")
     floor = near.where(F.col("d") > CLIP).agg(F.min("d")).scalar()
     out = rows.select("entity", F.col("year").alias("t"), "g", F.log("y").alias("lny"), "wa", (F.col("wa") - F.col("was")).alias("dwa"), F.log(F.greatest("d", F.lit(CLIP))).alias("dist"), F.log(F.greatest("d", floor)).alias("dist_floor"), "region", F.floor((F.col("year") - 1995) / 2).cast("int").alias("block"), (F.coalesce("gap", F.lit(99)) == 0).alias("self"), (F.coalesce("gap", F.lit(99)) < H).alias("overlap")).checkpoint()
-    proto.unpersist()
     return out
 
 

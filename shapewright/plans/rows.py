@@ -17,12 +17,13 @@ ANCHOR, HORIZONS = (7, 1996), (1, 2, 3)
 BINS = {"low": (0, 1), "mid": (2, 6), "high": (7, 9)}
 
 
-def share_of(low: int, high: int, s: str = "s"):
-    """The share of the bins from low to high, both sides together."""
-    return F.aggregate(F.filter(F.transform(s, lambda x, i: F.when((i % C.BINS).between(low, high), x)), lambda x: x.isNotNull()), F.lit(0.0), lambda t, x: t + x)
+def shares(spark, d):
+    """entity, year and the share of the bins of each of BINS, both sides together, from counts."""
+    part = lambda low, high: F.sum(F.when(F.col("bin").between(low, high), F.col("pop")).otherwise(0.0)) / F.sum("pop")
+    return C.cells(spark, d).groupBy("entity", "year").agg(*[part(*b).alias(n) for n, b in BINS.items()])
 
 
-SHARES = "sh AS (SELECT entity, year, " + ", ".join(f"sum(s) FILTER (bin BETWEEN {a} AND {b}) AS {n}" for n, (a, b) in BINS.items()) + " FROM prof GROUP BY entity, year)"
+SHARES = "sh AS (SELECT entity, year, " + ", ".join(f"sum(CASE WHEN bin BETWEEN {a} AND {b} THEN pop ELSE 0 END) / sum(pop) AS {n}" for n, (a, b) in BINS.items()) + " FROM cells GROUP BY entity, year)"
 NEARNESS = "CASE WHEN entity = {0} AND year = {1} THEN 'the anchor' WHEN pct <= 0.05 THEN 'nearest 5 %' WHEN pct <= 0.1 THEN 'nearest 10 %' WHEN pct <= 0.25 THEN 'nearest quarter' WHEN pct <= 0.5 THEN 'nearest half' ELSE 'farther half' END".format(*ANCHOR)
 
 
@@ -33,7 +34,7 @@ def disconnect_rows(spark, d):
     """Every profile in a row: shares and their ratio, distance to an anchor with its percentile among the year's and its band, and how its level went on, cut at the last year there is."""
     p = C.profiles(spark, d).select("entity", "year", "s", "c")
     anchor = p.where((F.col("entity") == ANCHOR[0]) & (F.col("year") == ANCHOR[1])).select(F.col("s").alias("b_s"), F.col("c").alias("b_c"))  # one row
-    rows = p.join(F.broadcast(anchor)).select("entity", "year", *[share_of(*b).alias(n) for n, b in BINS.items()], F.round(M.distance("blend"), 9).alias("d"))
+    rows = p.join(F.broadcast(anchor)).select("entity", "year", F.round(M.distance("blend"), 9).alias("d")).join(shares(spark, d), ["entity", "year"])
     rows = rows.withColumn("pct", F.cume_dist().over(Window.partitionBy("year").orderBy("d")))
     lv = levels(spark, d)
     last = lv.groupBy("entity").agg(F.max("year").alias("last"), F.max_by("y", "year").alias("y_last"))
@@ -56,9 +57,9 @@ def pair_page(spark, d):
     p = C.profiles(spark, d)
     found = S.matches(p, S.Query())
     grid = B.bands(found, "year").select("year", "q")
-    shares = p.select("entity", "year", *[share_of(*b).alias(n) for n, b in BINS.items()])
-    other = shares.select(F.col("entity").alias("b_entity"), "year", *[F.col(n).alias(f"b_{n}") for n in BINS])
-    met = S.top(S.best_of_entity(found), 1).join(grid, "year").join(shares, ["entity", "year"]).join(other, ["b_entity", "year"])
+    own = shares(spark, d)
+    other = own.select(F.col("entity").alias("b_entity"), "year", *[F.col(n).alias(f"b_{n}") for n in BINS])
+    met = S.top(S.best_of_entity(found), 1).join(grid, "year").join(own, ["entity", "year"]).join(other, ["b_entity", "year"])
     gap = lambda n: F.col(f"b_{n}") - F.col(n)
     differs = F.when(F.round(F.abs(gap("low")), 9) >= F.round(F.abs(gap("high")), 9), "low").otherwise("high")
     percent = lambda c: F.round(100 * F.col(c)).cast("int").cast("string")

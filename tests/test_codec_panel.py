@@ -145,3 +145,17 @@ def test_soft_minima_over_blocks(spark, monkeypatch):
         two = np.sort(d[i])[:2]
         assert np.allclose((got[i]["least"], got[i]["second"], got[i]["soft"]), (*two, two[0] - 0.25 * np.log(np.exp(-(d[i] - two[0]) / 0.25).sum())))
     assert S.soft_minima(df, df.where("entity = 3")).where("entity = 4").first()["second"] is None
+
+
+def test_both_sides_of_a_large_search_are_sent_about_as_often(spark):
+    sizes = [(10**7, 10**9, 16_000), (10, 10, 16), (1, 10**6, 16), (10**6, 1, 16), (0, 5, 16), (5, 0, 16), (175, 175, 16)]
+    df = spark.createDataFrame(sizes, "a long, h long, p int")
+    for a, h, pairs in sizes:
+        g = blocks.grid(F.col("a"), F.col("h"), 1024, 8192, pairs)
+        r = df.where((F.col("a") == a) & (F.col("h") == h)).select(*[c.alias(n) for n, c in g.items()]).first()
+        assert 1 <= r["held_groups"] <= r["held_blocks"] and 1 <= r["asked_groups"] <= r["asked_blocks"]
+        assert r["held_groups"] <= max(1, h) and r["asked_groups"] <= max(1, a)
+        if a > 10**5 and h > 10**5:
+            sent = (a * r["held_groups"], h * r["asked_groups"])
+            assert max(sent) < 1.2 * min(sent) and sum(sent) < 30 * h and r["held_groups"] * r["asked_groups"] >= pairs
+            assert r["held_blocks"] >= h / 8192 and r["asked_blocks"] >= a / 1024
