@@ -30,6 +30,8 @@ SCALE = 1024
 LARGEST = 1 << 24
 """Vectors with a scaled component beyond this are not searched; within it the inner product of 2**15 components fits 64 bits."""
 SALTS = 16
+ASKED, HELD = 512, 4096
+"""Vectors of a block that asks, and of one that is searched: a worker holds a few matrices of the scores of such a pair."""
 EXACT = 2.0**53
 """Up to here doubles hold all integers."""
 
@@ -145,11 +147,11 @@ def search(rows: DataFrame, asked: DataFrame, k: int = K, parts: int = PARTS) ->
     order = Window.partitionBy("q").orderBy(F.desc("score"), "first", "x")
     ranked = lambda df: df.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
 
-    gathered = ranked(met(each, vectors, best_lists(k + 1, parts), f"{found}, score long", by, by))
+    gathered = ranked(met(each, vectors, best_lists(k + 1, parts), f"{found}, score long", by, by, ASKED, HELD))
     cutoffs = gathered.where(F.col("n") == k + 1).select(F.col("q").alias("num"), F.col("score").alias("cutoff"))
     told = cut(each.join(cutoffs, "num", "left"))
 
-    met_all = cut(met(told, vectors, beyond(parts), f"{found}, known long, mask int", by, by))
+    met_all = cut(met(told, vectors, beyond(parts), f"{found}, known long, mask int", by, by, ASKED, HELD))
     full = F.col("mask") == (1 << parts) - 1
     second = ranked(met_all.where(full).withColumn("score", F.col("known"))).where(F.col("n") == k + 1).select("q", F.col("score").alias("tight"))
     bounds = told.select(F.col("num").alias("q"), "cutoff").join(second, "q", "left").select("q", "cutoff", F.greatest("cutoff", "tight").alias("tight"))

@@ -9,7 +9,6 @@ import pyarrow as pa
 import pytest
 
 from shapewright.llm import fim, kmeans, topk
-from shapewright.operators import blocks
 
 NAN, INF = float("nan"), float("inf")
 
@@ -103,8 +102,8 @@ def test_thresholds_equal_all_pairs(spark, monkeypatch, parts, asked, held, scal
     rows += [(9000 + i, rows[40][1]) for i in range(150)]  # one vector of very many rows, some of which ask
     rows += [(200, [1.0] * 7), (100, [2.0, 1.0]), (101, [1.0, 1.0]), (300, []), (301, [])]  # no other has id 200; others are of other lengths
     rows = [r for r in rows if r != (200, rows[20][1])] + rows[-30:]
-    meet = blocks.met
-    monkeypatch.setattr(topk, "met", lambda *a: meet(*a, asked_rows=asked, held_rows=held))
+    monkeypatch.setattr(topk, "ASKED", asked)
+    monkeypatch.setattr(topk, "HELD", held)
     df = spark.createDataFrame(rows, "id long, v array<double>").selectExpr("id AS vec_id", "v AS embedding", "1 AS q", "2 AS num", "3 AS d", "4 AS score").repartition(5)
     e = df.selectExpr("vec_id AS id", "embedding")
     scaled = e.select("id", topk.scaled(e["embedding"]).alias("v"))
