@@ -1 +1 @@
-"""Training-data operators: ten dealt operators and their digest queries."""
+"""Training-data operators: thirteen dealt operators and their digest queries."""
