@@ -133,6 +133,37 @@ def test_blocks_meet_once(spark):
     assert blocks.met(a, b.limit(0), cross, "a long, b long", ["a"], ["b"]).count() == 0
 
 
+def test_a_worker_holds_few_blocks(spark):
+    """What two blocks keep in a worker does not grow with the pairs of blocks that it compares."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rows = lambda n, name: spark.range(n).select(F.col("id").alias(name), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: x + F.rand(1)).alias("v"))
+
+    def watched(x, y):
+        return pa.RecordBatch.from_arrays([pa.array([k]) for k in (len(x) * len(y), len(x), len(y), x.get_total_buffer_size() + y.get_total_buffer_size())], names=["n", "a", "b", "held"])
+
+    got = blocks.met(rows(12_000, "a"), rows(30_000, "b"), watched, "n long, a long, b long, held long", ["a"], ["b"], 128, 1024).agg(F.sum("n"), F.max("a"), F.max("b"), F.max("held")).first()
+    assert got[0] == 12_000 * 30_000 and got[1] < 256 and got[2] < 2048 and got[3] < 8 << 20, got
+
+
+def test_groups_that_ask_are_bounded(spark):
+    """With one pair of groups, or many rows that ask, every pair of rows still meets once, and rows of one key stay in one block."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    a, b = spark.range(3000).withColumnRenamed("id", "a"), spark.range(600).select(F.col("id").alias("b"), (F.col("id") % 7).alias("k"))
+
+    def counted(x, y):
+        keys = np.unique(y.column("k").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array([len(x) * len(y)]), pa.array([keys.tolist()], pa.list_(pa.int64()))], names=["n", "keys"])
+
+    out = blocks.met(a, b, counted, "n long, keys array<long>", ["a"], ["k"], 10, 4)
+    assert out.agg(F.sum("n")).first()[0] == 3000 * 600
+    met = out.select(F.explode("keys").alias("k")).groupBy("k").count().select("count").distinct().collect()
+    assert len(met) == 1  # every key meets each block that asks in one block
+
+
 def test_soft_minima_over_blocks(spark, monkeypatch):
     r = np.random.default_rng(3)
     c = np.round(r.random((60, 20)), 2)

@@ -152,6 +152,55 @@ def test_blocks_of_queries_find_the_same(spark):
     assert rows(7) == rows(2048) and len(rows(7)) == 5 * e.where("id % 10 = 0").count()
 
 
+def peak_of(compare, asked, held):
+    import tracemalloc
+
+    tracemalloc.start()
+    out = compare(asked, held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def block_of(n, start, seed):
+    import numpy as np
+    import pyarrow as pa
+
+    v = np.round(np.random.default_rng(seed).normal(size=(n, 64)), 1)
+    v[1::5] = v[0]  # copies, so that distances tie
+    v[2], v[3, 0] = 0, np.nan
+    return v, pa.RecordBatch.from_arrays([pa.array(range(start, start + n)), pa.array([i % 3 for i in range(n)], pa.int32()), *[pa.array(v.tolist(), pa.list_(pa.float64()))] * 2], names=["id", "label", "v", "o"])
+
+
+def test_whole_blocks_are_compared_in_strips(spark, monkeypatch):
+    """A block of the largest size that asks meets one that is held without a matrix of all their distances; ties go to the smaller id."""
+    import numpy as np
+
+    from shapewright.operators import axes, blocks
+    from shapewright.plans.evaluation import QUERY_BLOCK, SLICE, search_vectors
+
+    caught = []
+    monkeypatch.setattr(blocks, "met", lambda asked, held, compare, schema, *a: caught.append(compare) or spark.createDataFrame([], schema))
+    (q, asked), (v, held) = block_of(QUERY_BLOCK, 500, 1), block_of(SLICE, 0, 2)
+    frame = spark.createDataFrame([], "id long, label int, v array<double>")
+    search_vectors(frame, frame, 7)
+    out, peak = peak_of(caught.pop(), asked, held)
+    with np.errstate(all="ignore"):
+        d = np.round(1 - (q @ v.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))[None, :] + 1e-12), 9)
+    want = []
+    for i in range(QUERY_BLOCK):
+        near = sorted((x, j) for j, x in enumerate(d[i].tolist()) if j != i + 500 and np.isfinite(x))[:7]
+        want += [(i + 500, i % 3, j, j % 3, x) for x, j in near]
+    got = list(zip(*[c.to_pylist() for c in out.columns], strict=True))
+    assert [r[:4] for r in got] == [r[:4] for r in want] and np.allclose([r[4] for r in got], [r[4] for r in want], atol=2e-9)
+    assert peak < 24 << 20
+
+    axes.self_ranks(frame.select("id", "v"), frame.select("id", "v"))
+    (q, asked), (v, held) = block_of(blocks.ASKED, 500, 3), block_of(blocks.HELD, 0, 4)
+    out, peak = peak_of(caught.pop(), asked, held)
+    assert out.num_rows == blocks.ASKED and peak < 32 << 20
+
+
 def test_fuzzy_tiers(spark):
     from pyspark.sql import functions as F
 
