@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,8 +40,13 @@ def subsequence_span(query: Column, name: Column) -> Column:
     return F.when(end["at"] > 0, end["at"] - end["first"])
 
 
-def fuzzy_score(query: Column, name: Column, aliases: Column | None = None) -> Column:
-    """100 equal to the name or an alias, 80 prefix, 70 prefix of a word, 60 prefix of an alias, 40 inside either, 10 to 20 in order with gaps; null for none."""
+def fuzzy_score(query: Column | str, name: Column, aliases: Column | list[Column] | None = None) -> Column:
+    """100 equal to the name or an alias, 80 prefix, 70 prefix of a word, 60 prefix of an alias, 40 inside either, 10 to 20 in order with gaps; null for none.
+
+    A query that is a str, with aliases as a list of columns or none, needs no arrays and is compiled: far faster for many rows.
+    """
+    if isinstance(query, str):
+        return score_of(asked_text(query), matchable(name), [matchable(a) for a in aliases or []])
     q, n = matchable(query), matchable(name)
     others = F.transform(F.coalesce(aliases, F.array().cast("array<string>")) if aliases is not None else F.array().cast("array<string>"), matchable)
     some = lambda test: F.exists(others, test)
@@ -49,6 +58,30 @@ def fuzzy_score(query: Column, name: Column, aliases: Column | None = None) -> C
     return out.when((F.length(q) >= 2) & span.isNotNull(), 10 + F.round(10 * F.greatest(F.lit(0.0), tight))).cast("int")
 
 
+def asked_text(query: str) -> str:
+    """matchable() of a query at hand."""
+    return re.sub("[\u2019'`]", "", query.translate(str.maketrans(ACCENTED, PLAIN)).lower()).strip(" ")
+
+
+def score_of(q: str, n: Column, others: list[Column]) -> Column:
+    """fuzzy_score() of matchable texts, without arrays. The pattern finds each character of q as early as can be, from the first one on."""
+    if not q:
+        return F.lit(None).cast("int")
+    some = lambda test, *more: reduce(or_, [*more, *map(test, others)], F.lit(False))
+    at = [f"\\x{{{ord(c):x}}}" for c in q]
+    out = F.when(some(lambda a: a == q, n == q), 100).when(F.startswith(n, F.lit(q)), 80)
+    if not re.search(r"[ \t\n\x0b\f\r-]", q):  # else no word holds it
+        out = out.when(n.rlike(r"(?:^|[\s-])" + "".join(at)), 70)
+    out = out.when(some(lambda a: F.startswith(a, F.lit(q))), 60).when(some(lambda a: F.contains(a, F.lit(q)), F.contains(n, F.lit(q))), 40)
+    if len(q) > 1:
+        pattern = at[0] + "".join(f"[^{c}]*{c}" for c in at[1:])
+        spans = [F.when(x.rlike(pattern), F.length(F.regexp_extract(x, pattern, 0)) - 1) for x in (n, *others)]
+        span = F.least(*spans) if others else spans[0]
+        tight = 1 - (span - (len(q) - 1)) / F.greatest(F.length(n), F.lit(1))
+        out = out.when(some(lambda a: a.rlike(pattern), n.rlike(pattern)), 10 + F.round(10 * F.greatest(F.lit(0.0), tight)))
+    return out.cast("int")
+
+
 def bin_label(pos: Column, bins: int = 10, width: int = 5) -> Column:
     k = pos % bins
     side = F.when(pos < bins, "O").otherwise("F")

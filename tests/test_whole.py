@@ -210,3 +210,28 @@ def test_fuzzy_tiers(spark):
     frame = spark.createDataFrame([(i, n, q, a) for i, (n, q, a, _) in enumerate(rows)], "i int, n string, q string, a array<string>")
     got = {r["i"]: r["s"] for r in frame.select("i", X.fuzzy_score(F.col("q"), F.col("n"), F.col("a")).alias("s")).collect()}
     assert got == {i: s for i, (*_, s) in enumerate(rows)}
+
+
+def test_fuzzy_scores_of_given_queries_are_compiled(spark):
+    """A query as a str scores as one in a column does, and no array is walked a row."""
+    import io
+    from contextlib import redirect_stdout
+
+    from pyspark.sql import functions as F
+
+    from shapewright.functions import text as X
+    from shapewright.plans import QUERIES
+
+    names = ["Widget", "hot widget", "new-widget", "Ünïted wídget's", "w i d", "xxwidgetxx", "x[y]^z", "a\tbc", "", "  ring ", "wwiiddggeett", "d.i.w.g", None, "Brand#12", "a-b c", "a\nb"]
+    aliases = ["Brand#12", "w", None, "", "x^", "hot w", "ring-a", "widget"]
+    queries = ["widget", "hot w", "w", "it", "", " ' ", "Wídget's", "y]", "^z", "d#1", "ab", "a\tb", "-w", "xz", "]^", "zq", ".g", "a\nb", "bc"]
+    pairs = spark.createDataFrame([(n, a) for n in names for a in aliases], "n string, a string")
+    for q in queries:
+        q_, n, a = F.lit(q), F.col("n"), F.col("a")
+        for two, slow in (([a], F.array("a")), ([], None), ([a, n], F.array("a", "n"))):
+            got = pairs.select("n", "a", X.fuzzy_score(q, n, two).alias("x"), X.fuzzy_score(q_, n, slow).alias("y"))
+            assert got.where(~F.col("x").eqNullSafe(F.col("y"))).collect() == [], q
+    frame = QUERIES["fuzzy_score"](spark, SF)
+    with redirect_stdout(io.StringIO()) as said:
+        frame.explain()
+    assert "lambda" not in said.getvalue() and "split(" not in said.getvalue()
